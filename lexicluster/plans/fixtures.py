@@ -31,3 +31,48 @@ def feat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shuffle_key(id_col: str, seed: int = 42):
     """Reproducible pseudo-random order key, same digest in Spark and DuckDB."""
     return F.md5(F.concat(F.lit(f"{seed}-"), F.col(id_col).cast("string")))
+
+
+# ------------------------------------------------------------------ embedding fixtures
+
+N_LABELS = 10
+
+
+def fixed_centers(spark: SparkSession, sf_dir: str, max_label: int = N_LABELS) -> list[list[float]]:
+    """Per-label mean of feat for labels < max_label (K×D, collected: bounded by K·D)."""
+    from ..operators.clustering import centers_to_list, label_centroids
+    f = feat(spark, sf_dir).filter(F.col("label") < max_label)
+    return centers_to_list(label_centroids(f, max_label), max_label)
+
+
+def pred(spark: SparkSession, sf_dir: str, max_label: int = N_LABELS) -> DataFrame:
+    """feat (labels < max_label) with pred = nearest fixed centre (ties → lowest id)."""
+    from ..operators.clustering import assign_nearest
+    f = feat(spark, sf_dir).filter(F.col("label") < max_label)
+    return assign_nearest(f, fixed_centers(spark, sf_dir, max_label), "x", "pred")
+
+
+def trial_centers(spark: SparkSession, sf_dir: str, k: int, n_trials: int = 10, max_label: int | None = None):
+    """Trial t uses the embeddings ranked t·k+1 … (t+1)·k in shuffle order as centres.
+    TakeOrdered of n_trials·k rows (bounded by the parameters)."""
+    f = feat(spark, sf_dir)
+    if max_label is not None:
+        f = f.filter(F.col("label") < max_label)
+    rows = (f.select(shuffle_key("vec_id").alias("h"), "vec_id", "x")
+             .orderBy("h", "vec_id").limit(n_trials * k).collect())
+    return [[list(rows[t * k + j]["x"]) for j in range(k)] for t in range(n_trials)]
+
+
+def trials(spark: SparkSession, sf_dir: str, k: int = 4, n_trials: int = 10, max_label: int | None = 4) -> DataFrame:
+    """(trial, vec_id, label, pred): each row assigned to the nearest centre of every trial.
+    The trial index is a small generated column (bounded by n_trials), not a join."""
+    from ..functions.vectors import nearest_center
+    from ..operators.common import literal_matrix
+    cs = trial_centers(spark, sf_dir, k, n_trials, max_label)
+    allc = F.array(*[literal_matrix(c) for c in cs])
+    f = feat(spark, sf_dir)
+    if max_label is not None:
+        f = f.filter(F.col("label") < max_label)
+    t = f.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(n_trials - 1))))
+    return t.select("trial", "vec_id", "label",
+                    nearest_center(F.col("x"), F.element_at(allc, F.col("trial") + 1))["center_id"].cast("int").alias("pred"))

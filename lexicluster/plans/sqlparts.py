@@ -30,3 +30,39 @@ def shuffle_key(id_expr: str, seed: int = 42) -> str:
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+def sq_dist(a: str, b: str) -> str:
+    return f"list_sum(list_transform(generate_series(1, len({a})), lambda i: ({a}[i] - {b}[i]) * ({a}[i] - {b}[i])))"
+
+
+def dot(a: str, b: str) -> str:
+    return f"list_sum(list_transform(generate_series(1, len({a})), lambda i: {a}[i] * {b}[i]))"
+
+
+def centers_cte(max_label: int = 10, name: str = "centers", src: str = "feat") -> str:
+    """Per-label mean vectors as (center_id, center DOUBLE[])."""
+    return (f"{name}_long AS (SELECT label AS center_id, d, avg(v) AS v FROM (SELECT label, "
+            f"unnest(x) AS v, generate_subscripts(x, 1) AS d FROM {src} WHERE label < {max_label}) GROUP BY label, d),\n"
+            f"{name} AS (SELECT center_id, list(v ORDER BY d) AS center FROM {name}_long GROUP BY center_id)")
+
+
+def pred_cte(max_label: int = 10, name: str = "pred", centers: str = "centers") -> str:
+    """Nearest centre per feat row, ties → lowest centre id."""
+    return (f"{name} AS (SELECT vec_id, label, x, CAST(arg_min(center_id, struct_pack(d := dist, c := center_id)) AS INTEGER) AS pred, "
+            f"min(dist) AS dist2 FROM (SELECT f.vec_id, f.label, f.x, c.center_id, {sq_dist('f.x', 'c.center')} AS dist "
+            f"FROM feat f, {centers} c WHERE f.label < {max_label}) GROUP BY vec_id, label, x)")
+
+
+def trials_cte(k: int = 4, n_trials: int = 10, max_label: int = 4) -> str:
+    return (f"tc AS (SELECT CAST((rn - 1) // {k} AS INTEGER) AS trial, CAST((rn - 1) % {k} AS INTEGER) AS center_id, x AS center "
+            f"FROM (SELECT x, row_number() OVER (ORDER BY {shuffle_key('vec_id')}, vec_id) AS rn FROM feat "
+            f"WHERE label < {max_label}) WHERE rn <= {k * n_trials}),\n"
+            f"trials AS (SELECT trial, vec_id, label, CAST(arg_min(center_id, struct_pack(d := dist, c := center_id)) AS INTEGER) AS pred "
+            f"FROM (SELECT t.trial, f.vec_id, f.label, t.center_id, {sq_dist('f.x', 't.center')} AS dist "
+            f"FROM feat f, tc t WHERE f.label < {max_label}) GROUP BY trial, vec_id, label)")
+
+
+def long_form(id_cols: str, arr: str, src: str, value: str = "value") -> str:
+    return (f"SELECT {id_cols}, CAST(dim AS INTEGER) AS dim, round(v, 6) AS {value} FROM (SELECT {id_cols}, "
+            f"unnest({arr}) AS v, generate_subscripts({arr}, 1) - 1 AS dim FROM {src})")

@@ -59,4 +59,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """Scan one driver table.  A table that fits in fewer scan splits than the cluster has cores
+    (a single small file) is spread round-robin so CPU-bound text work is parallel; a large
+    table already has at least that many splits and is left exactly as scanned."""
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
