@@ -76,3 +76,42 @@ def trials(spark: SparkSession, sf_dir: str, k: int = 4, n_trials: int = 10, max
     t = f.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(n_trials - 1))))
     return t.select("trial", "vec_id", "label",
                     nearest_center(F.col("x"), F.element_at(allc, F.col("trial") + 1))["center_id"].cast("int").alias("pred"))
+
+
+# ------------------------------------------------------------------ word-vector fixtures
+
+VOCAB_SIZE = 2000
+
+
+def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(word, idx, vec): vocabulary rank r joined to embeddings on vec_id = r mod count(embeddings)."""
+    from ..operators import features as feats
+    vocab = feats.top_vocabulary(feats.term_statistics(tokens(spark, sf_dir)), VOCAB_SIZE)
+    emb = feat(spark, sf_dir)
+    n = emb.count()
+    return (vocab.join(F.broadcast(emb.select("vec_id", "x")) if n <= 1_000_000 else emb.select("vec_id", "x"),
+                       F.col("vec_id") == F.col("idx") % F.lit(n))
+                 .select(F.col("term").alias("word"), "idx", F.col("x").alias("vec")))
+
+
+def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, label, pos, token) from the vectoriser tokens."""
+    return tokens(spark, sf_dir).select("doc_id", "label", F.posexplode("tokens").alias("pos", "token"))
+
+
+def cluster_words(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
+    """(cluster, word, count, rank, vec): per label the k most frequent tokens that have a vector."""
+    from ..operators.windows import top_k_per_group
+    wv = word_vectors(spark, sf_dir)
+    t = token_rows(spark, sf_dir).join(F.broadcast(wv.select(F.col("word").alias("token"))), "token", "left_semi")
+    c = t.groupBy(F.col("label").alias("cluster"), F.col("token").alias("word")).agg(F.count(F.lit(1)).alias("count"))
+    top = top_k_per_group(c, ["cluster"], [F.col("count").desc(), F.col("word").asc()], k)
+    return top.join(F.broadcast(wv.select("word", "vec")), "word")
+
+
+def explain_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, label, toks, tokens): whitespace tokens, and the same minus stop words / punctuation."""
+    from ..constants import PUNCTUATION, english_stop_words
+    from ..functions.text import remove_words, whitespace_tokens
+    c = corpus(spark, sf_dir).select("doc_id", "label", whitespace_tokens("text").alias("toks"))
+    return c.withColumn("tokens", remove_words("toks", list(english_stop_words()) + list(PUNCTUATION)))
