@@ -101,9 +101,11 @@ def _count_data(spark, sf_dir):
 @register("lda_cluster")
 def q_lda(spark, sf_dir):
     """ML-8, 8 topics: each theta row sums to 1, clusters within range."""
+    from pyspark.ml.functions import vector_to_array
+    from ..functions.vectors import vsum
     data, _ = _count_data(spark, sf_dir)
+    data = data.filter(vsum(vector_to_array("counts")) > 0)          # FLT-4: documents with a known word
     out = C.lda_cluster(data.select("doc_id", "counts"), 8, "counts", seed=0, max_iter=10)
-    from ..functions.vectors import vsum
     r = out.agg(F.max(F.abs(vsum("theta") - 1)).alias("e"), F.min("pred").alias("lo"), F.max("pred").alias("hi"), F.count(F.lit(1)).alias("n")).first()
     return _props(spark, [("rows", r["n"]), ("rows_sum_to_one", r["e"] < 1e-6), ("pred_in_range", 0 <= r["lo"] and r["hi"] < 8)])
 
@@ -293,3 +295,22 @@ def q_tfidf_kmeans(spark, sf_dir):
     """PIPE-1 (flagship): 10 trials × 10 restarts, scored against the language labels."""
     from .flagship import tfidf_kmeans
     return tfidf_kmeans(spark, sf_dir)
+
+
+@register("streaming_online_kmeans", lambda: __import__("lexicluster.plans.q_vectors", fromlist=["x"])._online_sql(False))
+def q_stream_kmeans(spark, sf_dir):
+    """STR-1: feat split into 4 parquet files (vec_id mod 4), streamed one file per trigger and
+    folded into the fixed label centres (prior counts = label sizes), assignment against the
+    initial centres; the final state equals one update over all rows."""
+    from ..session import shared_path
+    from ..streaming.online_kmeans import online_kmeans_stream
+    f = fx.feat(spark, sf_dir)
+    src = shared_path(spark, "stream_src")
+    f.repartition(4, F.col("vec_id") % 4).write.mode("overwrite").parquet(src)
+    counts_rows = {r["label"]: r["n"] for r in f.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = [counts_rows.get(k, 0) for k in range(fx.N_LABELS)]
+    stream = spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    centres, _ = online_kmeans_stream(spark, stream, fx.fixed_centers(spark, sf_dir), counts,
+                                      shared_path(spark, "stream_state"), shared_path(spark, "stream_ckpt"), "x", "initial")
+    rows = [(k, d, round(v, 6)) for k, c in enumerate(centres) for d, v in enumerate(c)]
+    return spark.createDataFrame(rows, "center_id int, dim int, value double")
