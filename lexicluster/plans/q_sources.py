@@ -235,3 +235,68 @@ def q_class_names(spark, sf_dir):
     p = shared_path(spark, "classes")
     src.orderBy("source").write.mode("overwrite").text(p)
     return R.label_dimension(spark, p, "lines")
+
+
+@register("append_interpretation", lambda: with_(corpus_cte(), __import__("lexicluster.plans.sqlparts", fromlist=["x"]).explain_tokens_cte(),
+          __import__("lexicluster.plans.q_relational", fromlist=["x"])._top_words_sql(5)) +
+          "SELECT 'documents' AS corpora, 'lang' AS feat_name, 'count' AS label, cluster, array_to_string(list(word ORDER BY rank), ' ') AS words "
+          "FROM tw GROUP BY cluster")
+def q_append_interpretation(spark, sf_dir):
+    """SNK-7: per-cluster word lists (EVAL-11, k = 5) stored as ARRAY<ARRAY<STRING>> and re-read."""
+    from ..operators.explain import explain_by_count
+    r = explain_by_count(fx.explain_tokens(spark, sf_dir), 5, "tokens", "label")
+    lists = r.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda s: s["word"]).alias("words"))
+    rec = lists.agg(F.transform(F.array_sort(F.collect_list(F.struct("cluster", "words"))), lambda s: s["words"]).alias("result")) \
+               .select(F.lit("documents").alias("corpora"), F.lit("lang").alias("feat_name"), "result", F.lit("count").alias("label"))
+    p = shared_path(spark, "interpretation")
+    S.append_interpretation(rec, p)
+    back = spark.read.parquet(p)
+    return back.select("corpora", "feat_name", "label", F.posexplode("result").alias("cluster", "w")).select(
+        "corpora", "feat_name", "label", F.col("cluster").cast("int"), F.array_join("w", " ").alias("words"))
+
+
+@register("write_word_stats", lambda: __import__("lexicluster.plans.q_relational", fromlist=["x"])._positions_sql(True))
+def q_write_word_stats(spark, sf_dir):
+    """SNK-8: word position statistics written as CSV with a header and re-read."""
+    from .q_relational import _positions
+    st = _positions(spark, sf_dir, True)
+    p = shared_path(spark, "word_stats")
+    S.write_word_stats(st, p)
+    back = spark.read.option("header", "true").schema(st.schema).csv(p)
+    return back
+
+
+@register("append_training_metrics")
+def q_training_metrics(spark, sf_dir):
+    """SNK-9: DEC loss per step appended as (run_id, metric, step, value), re-read: step count and
+    monotone step ids."""
+    from ..operators import deep as DP
+    f = fx.feat(spark, sf_dir).withColumnRenamed("vec_id", "id")
+    m = []
+    DP.dec_refine(f, fx.fixed_centers(spark, sf_dir), max_steps=5, update_interval=5, tol=0.0, metrics=m)
+    df = spark.createDataFrame([("dec-0", k, s, float(v)) for k, s, v in m], "run_id string, metric string, step int, value double")
+    p = shared_path(spark, "metrics")
+    S.append_training_metrics(df, p)
+    S.append_training_metrics(df.withColumn("run_id", F.lit("dec-1")), p)
+    back = spark.read.parquet(p)
+    return back.groupBy("run_id", "metric").agg(F.count(F.lit(1)).alias("n"), F.min("step").alias("first_step"), F.max("step").alias("last_step"))
+
+
+@register("save_network")
+def q_save_network(spark, sf_dir):
+    """SNK-10: a trained network is written per stage and loaded back; encoding with the loaded
+    weights reproduces the original hidden vectors exactly."""
+    import numpy as np
+    from ..operators import deep as DP
+    f = fx.feat(spark, sf_dir).withColumnRenamed("vec_id", "id")
+    net, _ = DP.autoencoder_fit(f, [64, 16], epochs=3, lr=0.5, seed=3)
+    p = shared_path(spark, "network")
+    S.save_network(DP.network_table(spark, net, "final"), p)
+    net2 = DP.network_from_table(S.load_network(spark, p, "final"))
+    h1 = DP.autoencoder_encode(f, net, "x", "h", ["id"]).withColumnRenamed("h", "h1")
+    h2 = DP.autoencoder_encode(f, net2, "x", "h", ["id"]).withColumnRenamed("h", "h2")
+    diff = h1.join(h2, "id").select(F.aggregate(F.zip_with("h1", "h2", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, v: F.greatest(a, v)).alias("d"))
+    r = diff.agg(F.count(F.lit(1)).alias("rows"), F.max("d").alias("max_abs_diff")).first()
+    same = all(np.array_equal(a, b) for a, b in zip(DP._params(net), DP._params(net2)))
+    return spark.createDataFrame([("rows", float(r["rows"])), ("max_abs_diff", float(r["max_abs_diff"])), ("weights_equal", float(same))],
+                                 "property string, value double")
