@@ -37,28 +37,87 @@ def _uniform(seed: int, run: int, step: int, ids: np.ndarray) -> np.ndarray:
 
 
 class _Rows:
-    """Decode an Arrow batch into a dense float64 matrix."""
+    """An Arrow batch as a dense matrix, or as its non-zeros (row, column, value) for sparse rows;
+    the k-means kernels below never densify sparse rows."""
 
     def __init__(self, x_col, idx_col, val_col, dim):
         self.x_col, self.idx_col, self.val_col, self.dim = x_col, idx_col, val_col, dim
 
-    def matrix(self, pdf: pd.DataFrame) -> np.ndarray:
+    def load(self, pdf: pd.DataFrame):
         n = len(pdf)
         if self.x_col is not None:
-            return np.vstack(pdf[self.x_col].to_numpy()).astype(np.float64) if n else np.zeros((0, self.dim))
-        m = np.zeros((n, self.dim))
+            X = np.vstack(pdf[self.x_col].to_numpy()).astype(np.float64) if n else np.zeros((0, self.dim))
+            return _Dense(X)
         lens = pdf[self.idx_col].map(len).to_numpy()
-        if lens.sum():
-            rows = np.repeat(np.arange(n), lens)
-            m[rows, np.concatenate(pdf[self.idx_col].to_numpy()).astype(np.int64)] = np.concatenate(pdf[self.val_col].to_numpy())
-        return m
+        r = np.repeat(np.arange(n), lens)
+        c = np.concatenate(pdf[self.idx_col].to_numpy()).astype(np.int64) if lens.sum() else np.zeros(0, np.int64)
+        v = np.concatenate(pdf[self.val_col].to_numpy()).astype(np.float64) if lens.sum() else np.zeros(0)
+        return _Sparse(n, self.dim, r, c, v)
+
+    def matrix(self, pdf: pd.DataFrame) -> np.ndarray:
+        return self.load(pdf).dense()
+
+
+class _Dense:
+    def __init__(self, X):
+        self.X, self.n = X, len(X)
+
+    def sq(self):
+        return (self.X * self.X).sum(1)
+
+    def dot(self, C):
+        return self.X @ C.T
+
+    def scatter(self, j, K):
+        onehot = np.zeros((self.n, K))
+        onehot[np.arange(self.n), j] = 1.0
+        return onehot.T @ self.X
+
+    def row(self, i):
+        return self.X[i]
+
+    def colsum(self):
+        return self.X.sum(0), (self.X * self.X).sum(0)
+
+    def dense(self):
+        return self.X
+
+
+class _Sparse:
+    def __init__(self, n, d, r, c, v):
+        self.n, self.d, self.r, self.c, self.v = n, d, r, c, v
+
+    def sq(self):
+        return np.bincount(self.r, self.v * self.v, minlength=self.n)
+
+    def dot(self, C):
+        return np.stack([np.bincount(self.r, C[k, self.c] * self.v, minlength=self.n) for k in range(C.shape[0])], 1)
+
+    def scatter(self, j, K):
+        return np.bincount(j[self.r] * self.d + self.c, self.v, minlength=K * self.d).reshape(K, self.d)
+
+    def row(self, i):
+        out = np.zeros(self.d)
+        m = self.r == i
+        out[self.c[m]] = self.v[m]
+        return out
+
+    def colsum(self):
+        return np.bincount(self.c, self.v, minlength=self.d), np.bincount(self.c, self.v * self.v, minlength=self.d)
+
+    def dense(self):
+        out = np.zeros((self.n, self.d))
+        out[self.r, self.c] = self.v
+        return out
 
 
 def _nearest(X, C, cnorm):
-    """argmin and min squared distance of rows X (n×D) to centres C (K×D)."""
-    d = (X * X).sum(1)[:, None] - 2.0 * X @ C.T + cnorm[None, :]
+    """argmin and min squared distance of rows X (n×D, dense or _Dense/_Sparse) to centres C (K×D)."""
+    if isinstance(X, np.ndarray):
+        X = _Dense(X)
+    d = X.sq()[:, None] - 2.0 * X.dot(C) + cnorm[None, :]
     j = d.argmin(1)
-    return j, np.maximum(d[np.arange(len(X)), j], 0.0)
+    return j, np.maximum(d[np.arange(X.n), j], 0.0)
 
 
 def kmeans_runs(df: DataFrame, k: int, n_runs: int, id_col: str = "id", x_col: str | None = "x",
@@ -78,8 +137,9 @@ def kmeans_runs(df: DataFrame, k: int, n_runs: int, id_col: str = "id", x_col: s
     def moments(it):
         s, s2, n = np.zeros(dim), np.zeros(dim), 0
         for pdf in it:
-            X = dec.matrix(pdf)
-            s += X.sum(0); s2 += (X * X).sum(0); n += len(X)
+            X = dec.load(pdf)
+            a, b = X.colsum()
+            s += a; s2 += b; n += X.n
         yield pd.DataFrame({"s": [s.tolist()], "s2": [s2.tolist()], "n": [n]})
     mom = data.mapInPandas(moments, "s array<double>, s2 array<double>, n long").collect()  # one row per partition
     n_tot = sum(r["n"] for r in mom)
@@ -99,7 +159,7 @@ def kmeans_runs(df: DataFrame, k: int, n_runs: int, id_col: str = "id", x_col: s
             for pdf in it:
                 if pdf.empty:
                     continue
-                X = dec.matrix(pdf)
+                X = dec.load(pdf)
                 ids = pdf[id_col].to_numpy()
                 for r in range(R):
                     u = _uniform(seed, r, step, ids)
@@ -112,7 +172,7 @@ def kmeans_runs(df: DataFrame, k: int, n_runs: int, id_col: str = "id", x_col: s
                             key = np.where(d2 > 0, -np.log(u) / d2, np.inf)
                     i = int(np.argmin(key))
                     if np.isfinite(key[i]) and (r not in best or key[i] < best[r][0]):
-                        best[r] = (float(key[i]), int(ids[i]), X[i].tolist())
+                        best[r] = (float(key[i]), int(ids[i]), X.row(i).tolist())
             yield pd.DataFrame({"run": list(best), "key": [v[0] for v in best.values()],
                                 "rid": [v[1] for v in best.values()], "x": [v[2] for v in best.values()]})
 
@@ -143,15 +203,13 @@ def kmeans_runs(df: DataFrame, k: int, n_runs: int, id_col: str = "id", x_col: s
             for pdf in it:
                 if pdf.empty:
                     continue
-                X = dec.matrix(pdf)
+                X = dec.load(pdf)
                 for r in range(Cs.shape[0]):
                     if not act[r]:
                         continue
                     j, d2 = _nearest(X, Cs[r], cn[r])
-                    onehot = np.zeros((len(X), Cs.shape[1]))
-                    onehot[np.arange(len(X)), j] = 1.0
-                    sums[r] += onehot.T @ X
-                    cnt[r] += onehot.sum(0)
+                    sums[r] += X.scatter(j, Cs.shape[1])
+                    cnt[r] += np.bincount(j, minlength=Cs.shape[1])
                     cost[r] += d2.sum()
             rr, kk = np.nonzero(cnt > 0)
             yield pd.DataFrame({"run": rr.astype(np.int32), "c": kk.astype(np.int32), "n": cnt[rr, kk],
@@ -199,7 +257,7 @@ def assign_runs(df: DataFrame, centers: np.ndarray, run_ids: list[int], id_col:
         for pdf in it:
             if pdf.empty:
                 continue
-            X = dec.matrix(pdf)
+            X = dec.load(pdf)
             for i, r in enumerate(runs):
                 j, _ = _nearest(X, Cs[i], cn[i])
                 out = pd.DataFrame({"run": np.int32(r), id_col: pdf[id_col].to_numpy()})
