@@ -100,8 +100,11 @@ def _unflatten_like(flat, like):
     return out
 
 
-def distributed_gradient(df: DataFrame, x_col: str, state, batch_fn, id_col: str = "id") -> tuple[np.ndarray, float, int]:
-    """Σ over rows of ``batch_fn(state, X, ids) -> (flat_grad, loss_sum)``; returns (grad, loss, n)."""
+def distributed_gradient(df: DataFrame, x_col: str, state, batch_fn, id_col: str = "id",
+                         extra_cols=()) -> tuple[np.ndarray, float, int]:
+    """Σ over rows of ``batch_fn(state, X, ids[, extra]) -> (flat_grad, loss_sum)``; returns
+    (grad, loss, n).  ``extra_cols`` (per-row targets such as pseudo labels) travel with the rows."""
+    extra_cols = list(extra_cols)
     spark = df.sparkSession
     bc = spark.sparkContext.broadcast(state)
 
@@ -111,7 +114,10 @@ def distributed_gradient(df: DataFrame, x_col: str, state, batch_fn, id_col: str
             if pdf.empty:
                 continue
             X = np.vstack(pdf[x_col].to_numpy()).astype(np.float64)
-            gg, ll = batch_fn(bc.value, X, pdf[id_col].to_numpy())
+            if extra_cols:
+                gg, ll = batch_fn(bc.value, X, pdf[id_col].to_numpy(), pdf[extra_cols])
+            else:
+                gg, ll = batch_fn(bc.value, X, pdf[id_col].to_numpy())
             g = gg if g is None else g + gg
             loss += ll
             n += len(X)
@@ -122,7 +128,7 @@ def distributed_gradient(df: DataFrame, x_col: str, state, batch_fn, id_col: str
                             "loss": [loss] + [0.0] * (len(chunks) - 1), "n": [n] + [0] * (len(chunks) - 1)})
 
     from pyspark.ml.functions import array_to_vector as a2v
-    rows = (df.select(id_col, x_col).mapInPandas(part, "chunk int, g array<double>, loss double, n long")
+    rows = (df.select(id_col, x_col, *extra_cols).mapInPandas(part, "chunk int, g array<double>, loss double, n long")
               .withColumn("gv", a2v("g")).groupBy("chunk")
               .agg(Summarizer.sum(F.col("gv")).alias("g"), F.sum("loss").alias("loss"), F.sum("n").alias("n"))
               .select("chunk", vector_to_array("g").alias("g"), "loss", "n").collect())     # parameter-sized
@@ -421,3 +427,157 @@ def constraint_loss(pairs: DataFrame, centers, x1: str = "x1", x2: str = "x2") -
     q = pairs.select(student_t_assignment(x1, cs).alias("q1"), student_t_assignment(x2, cs).alias("q2"))
     b = F.zip_with("q1", "q2", lambda a, t: -(t * F.log(a) + (1 - t) * F.log(1 - a)))
     return q.select(F.explode(b).alias("b")).agg(F.avg("b").alias("constraint_bce"))
+
+
+# ---------------------------------------------------------------------- DCN family (ML-18 … ML-20)
+
+def _dcn_batch(state, X, ids):
+    """recons_lam·MSE(x̂, x) + cluster_lam·MSE(h, c_assigned); seeded rows use their seed centre."""
+    net, C, n_total, recons_lam, cluster_lam, pinned = state
+    ea = _forward(net["enc"], X)
+    H = ea[-1]
+    j, _ = _nearest_np(H, C)
+    if pinned:
+        j = np.array([pinned.get(int(i), jj) for i, jj in zip(ids, j)])
+    da = _forward(net["dec"], H)
+    diff = da[-1] - X
+    dc = H - C[j]
+    D, Hd = X.shape[1], H.shape[1]
+    loss = recons_lam * float((diff ** 2).sum()) / (n_total * D) + cluster_lam * float((dc ** 2).sum()) / (n_total * Hd)
+    gdec, dH = _backward(net["dec"], da, recons_lam * 2.0 * diff / (n_total * D))
+    dH = dH + cluster_lam * 2.0 * dc / (n_total * Hd)
+    genc, _ = _backward(net["enc"], ea, dH)
+    return _flatten([a for (gw, gb) in genc for a in (gw, gb)] + [a for (gw, gb) in gdec for a in (gw, gb)]), loss
+
+
+def _nearest_np(H, C):
+    d = (H * H).sum(1)[:, None] - 2 * H @ C.T + (C * C).sum(1)[None, :]
+    j = d.argmin(1)
+    return j, d[np.arange(len(H)), j]
+
+
+def dcn_fit(df: DataFrame, net, centers, epochs: int = 5, lr: float = 0.01, momentum: float = 0.9,
+            recons_lam: float = 1.0, cluster_lam: float = 0.5, tol: float = 1e-3, init_num: int = 0,
+            seeds: DataFrame | None = None, x_col: str = "x", id_col: str = "id", metrics=None):
+    """ML-18 (DCN), ML-19 (``init_num``: prior centre counts; < 0 → current cluster sizes) and ML-20
+    (``seeds`` (id, label), at most a few per class: seeded rows are pinned to their label).
+    Per epoch: one SGD-momentum step on the joint loss, the running-mean centre update on the new
+    hidden vectors (ML-16/17), Lloyd iterations from the current centres (ML-7), and a stop when the
+    share of changed assignments falls below ``tol``.  Returns (net, centres, predictions)."""
+    from . import clustering as CL
+    from .metrics import label_change_rate
+    data = df.select(id_col, x_col).persist()
+    n = data.count()
+    C = np.asarray(centers, dtype=np.float64).copy()
+    pinned = {int(r[0]): int(r[1]) for r in seeds.select(id_col, "label").collect()} if seeds is not None else {}
+    vel = np.zeros(sum(p.size for p in _params(net)))
+    prev = None
+    pred = None
+    for ep in range(epochs):
+        g, loss, _ = distributed_gradient(data, x_col, (net, C, n, recons_lam, cluster_lam, pinned), _dcn_batch, id_col)
+        vel = momentum * vel + lr * g
+        net = _apply_update(net, vel)
+        H = autoencoder_encode(data, net, x_col, "h", [id_col]).persist()
+        if seeds is not None:
+            H = H.join(F.broadcast(seeds.select(id_col, F.col("label").alias("_seed"))), id_col, "left")
+        sizes = {r["pred"]: r["count"] for r in CL.assign_nearest(H, C.tolist(), "h", "pred").groupBy("pred").count().collect()}
+        counts = [sizes.get(k, 0) if init_num < 0 else init_num for k in range(len(C))]
+        C, _ = CL.online_centroid_update(H, C.tolist(), counts, "h", "_seed" if seeds is not None else None)
+        C, _ = CL.kmeans_from_centers(H.select("h"), C, "h", max_iter=10)
+        C = np.asarray(C)
+        pred = CL.assign_nearest(H, C.tolist(), "h", "pred").select(id_col, "pred").persist()
+        if metrics is not None:
+            metrics.append(("loss", ep, loss))
+        if prev is not None and label_change_rate(prev, pred, id_col, "pred").first()[0] < tol:
+            break
+        prev = pred
+    data.unpersist()
+    return net, C, pred
+
+
+# ---------------------------------------------------------------------- VAT (ML-22), pseudo labels (ML-23)
+
+def _vat_rows(state, X):
+    C, xi, ip, seed = state
+    _, _, q0 = soft_assign(X, C)
+    rng = np.random.default_rng(seed)
+    d = rng.normal(size=X.shape)
+    for _ in range(ip):
+        d = d / np.maximum(np.linalg.norm(d, axis=1, keepdims=True), 1e-12)
+        Xr = X + xi * d
+        u, s, q = soft_assign(Xr, C)
+        g = (q - q0) / np.clip(q * (1 - q), 1e-12, None)
+        coef = (g - (g * q).sum(1, keepdims=True)) / s * (-2.0) * u * u
+        d = coef @ C * -1.0 + coef.sum(1, keepdims=True) * Xr       # Σ_j coef_j (x + r − c_j)
+    d = d / np.maximum(np.linalg.norm(d, axis=1, keepdims=True), 1e-12)
+    _, _, qa = soft_assign(X + xi * d, C)
+    qa = np.clip(qa, 1e-12, 1 - 1e-12)
+    return -(q0 * np.log(qa) + (1 - q0) * np.log(1 - qa)).mean(1, keepdims=True)
+
+
+def virtual_adversarial_loss(df: DataFrame, centers, xi: float = 0.1, ip: int = 1, seed: int = 0,
+                             x_col: str = "x", id_col: str = "id") -> DataFrame:
+    """ML-22: perturb every row along its most sensitive direction (power iteration, ``ip`` steps)
+    and average BCE(q(x), q(x + ξ·d)).  Row-local; the random start direction is seeded per batch."""
+    C = np.asarray(centers, dtype=np.float64)
+    m = map_rows(df, x_col, (C, xi, ip, seed), _vat_rows, "b", [id_col])
+    return m.agg(F.avg(F.col("b")[0]).alias("vat_loss"))
+
+
+def _pseudo_batch(state, X, ids, extra):
+    """gamma·CE(softmax(head(h)), pseudo label) + MSE(x̂, x)."""
+    net, head, n_total, gamma = state
+    y = extra["target"].to_numpy().astype(int)
+    ea = _forward(net["enc"], X)
+    H = ea[-1]
+    W, b = head
+    z = H @ W.T + b
+    z = z - z.max(1, keepdims=True)
+    P = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+    ce = float(-np.log(np.clip(P[np.arange(len(y)), y], 1e-12, None)).sum()) / n_total
+    dz = P.copy()
+    dz[np.arange(len(y)), y] -= 1.0
+    dz *= gamma / n_total
+    gW, gb = dz.T @ H, dz.sum(0)
+    dH = dz @ W
+    da = _forward(net["dec"], H)
+    diff = da[-1] - X
+    D = X.shape[1]
+    gdec, dh2 = _backward(net["dec"], da, 2.0 * diff / (n_total * D))
+    genc, _ = _backward(net["enc"], ea, dH + dh2)
+    loss = gamma * ce + float((diff ** 2).sum()) / (n_total * D)
+    return _flatten([a for (gw, gb2) in genc for a in (gw, gb2)] + [a for (gw, gb2) in gdec for a in (gw, gb2)] + [gW, gb]), loss
+
+
+def pseudo_label_finetune(df: DataFrame, net, k: int, epochs: int = 3, lr: float = 1e-3, gamma: float = 0.1,
+                          x_col: str = "x", id_col: str = "id", seed: int = 0):
+    """ML-23: k-means on the hidden vectors gives pseudo labels; the encoder, decoder and a softmax
+    head are trained jointly (Adam); returns (net, head, accuracy on the pseudo labels)."""
+    from .kmeans_runs import assign_runs, kmeans_runs
+    H = autoencoder_encode(df, net, x_col, "h", [id_col]).persist()
+    Cs, inertia, _ = kmeans_runs(H, k, 4, id_col, "h", seed=seed)
+    lab = assign_runs(H, Cs[[int(np.argmin(inertia))]], [0], id_col, "h").select(id_col, F.col("pred").alias("target"))
+    data = df.select(id_col, x_col).join(lab, id_col).persist()
+    n = data.count()
+    hdim = net["enc"][-1][0].shape[0]
+    rng = np.random.default_rng(seed)
+    head = (rng.uniform(-1 / np.sqrt(hdim), 1 / np.sqrt(hdim), (k, hdim)), np.zeros(k))
+    size = sum(p.size for p in _params(net)) + head[0].size + head[1].size
+    adam = (np.zeros(size), np.zeros(size), 0)
+    for _ in range(epochs):
+        g, loss, _ = distributed_gradient(data, x_col, (net, head, n, gamma), _pseudo_batch, id_col, ["target"])
+        step, adam = _adam(adam, g, lr)
+        npar = sum(p.size for p in _params(net))
+        net = _apply_update(net, step[:npar])
+        hw = head[0].size
+        head = (head[0] - step[npar:npar + hw].reshape(head[0].shape), head[1] - step[npar + hw:])
+
+    def predict(state, X):
+        nt, hd = state
+        z = encode_matrix(nt, X) @ hd[0].T + hd[1]
+        return np.eye(hd[0].shape[0])[z.argmax(1)]
+    p = map_rows(data, x_col, (net, head), predict, "p", [id_col, "target"])
+    from ..functions.vectors import argmax
+    acc = p.select(F.avg(F.when(argmax("p") == F.col("target"), 1.0).otherwise(0.0))).first()[0]
+    data.unpersist()
+    return net, head, acc

@@ -314,3 +314,57 @@ def q_stream_kmeans(spark, sf_dir):
                                       shared_path(spark, "stream_state"), shared_path(spark, "stream_ckpt"), "x", "initial")
     rows = [(k, d, round(v, 6)) for k, c in enumerate(centres) for d, v in enumerate(c)]
     return spark.createDataFrame(rows, "center_id int, dim int, value double")
+
+
+def _hidden_start(spark, sf_dir):
+    f = fx.feat(spark, sf_dir).withColumnRenamed("vec_id", "id")
+    net = DP.autoencoder([64, 32, 8], seed=0)
+    h = DP.autoencoder_encode(f.select("id", "label", "x"), net, "x", "h", ["id", "label"])
+    c0 = C.centers_to_list(C.label_centroids(h, fx.N_LABELS, "h", "label"), fx.N_LABELS)
+    return f, net, c0
+
+
+def _dcn_props(spark, sf_dir, **kw):
+    f, net, c0 = _hidden_start(spark, sf_dir)
+    m = []
+    net2, c1, pred = DP.dcn_fit(f, net, c0, epochs=4, lr=0.05, metrics=m, **kw)
+    losses = [v for _, _, v in m]
+    r = pred.agg(F.count(F.lit(1)).alias("n"), F.min("pred").alias("lo"), F.max("pred").alias("hi")).first()
+    return _props(spark, [("epochs", len(losses)), ("rows", r["n"]), ("pred_in_range", 0 <= r["lo"] and r["hi"] < fx.N_LABELS),
+                          ("loss_first", round(losses[0], 9)), ("loss_last", round(losses[-1], 9))])
+
+
+@register("dcn_fit")
+def q_dcn(spark, sf_dir):
+    """ML-18: DCN alternating network step, running-mean centre update and Lloyd refresh."""
+    return _dcn_props(spark, sf_dir)
+
+
+@register("dcn_fit_shuffled")
+def q_dcn_shuffled(spark, sf_dir):
+    """ML-19: centre counts start at the current cluster sizes (init_num < 0)."""
+    return _dcn_props(spark, sf_dir, init_num=-1)
+
+
+@register("seeded_dcn_fit")
+def q_seeded_dcn(spark, sf_dir):
+    """ML-20: ten seeds per label pinned to their label during centre updates."""
+    from ..operators import windows as W
+    seeds = W.select_seeds(fx.feat(spark, sf_dir).select(F.col("vec_id").alias("id"), "label"), "id", "label", 10, 42)
+    return _dcn_props(spark, sf_dir, seeds=seeds)
+
+
+@register("virtual_adversarial_loss")
+def q_vat(spark, sf_dir):
+    """ML-22: VAT loss at the fixed label centres is finite and non-negative."""
+    f = fx.feat(spark, sf_dir).withColumnRenamed("vec_id", "id")
+    v = DP.virtual_adversarial_loss(f, fx.fixed_centers(spark, sf_dir), 0.1, 1, 0).first()[0]
+    return _props(spark, [("vat_loss", round(v, 9)), ("non_negative", v >= 0)])
+
+
+@register("pseudo_label_finetune")
+def q_pseudo(spark, sf_dir):
+    """ML-23: three joint epochs on k-means pseudo labels; accuracy on the pseudo labels."""
+    f, net, _ = _hidden_start(spark, sf_dir)
+    _, _, acc = DP.pseudo_label_finetune(f, net, 4, epochs=3)
+    return _props(spark, [("pseudo_label_acc", round(acc, 6)), ("acc_in_range", 0.0 <= acc <= 1.0)])
