@@ -99,10 +99,14 @@ RESULT_SCHEMA = ("corpora STRING, feat_name STRING, n_topics INT, best_acc DOUBL
                  "_corrupt_record STRING")
 
 
-def scan_result_files(spark: SparkSession, path_glob: str, required=("corpora", "feat_name", "best_acc")) -> DataFrame:
-    """SRC-10: all run-result JSON lines; unparsable lines and lines lacking a required key are skipped."""
-    df = spark.read.schema(RESULT_SCHEMA).option("mode", "PERMISSIVE").option(
-        "columnNameOfCorruptRecord", "_corrupt_record").json(path_glob)
+def scan_result_files(spark: SparkSession, path_glob: str, required=("corpora", "feat_name", "best_acc"),
+                      base_path: str | None = None) -> DataFrame:
+    """SRC-10: all run-result JSON lines; unparsable lines and lines lacking a required key are skipped.
+    ``base_path`` recovers partition columns (e.g. feat_name=…) of appended result directories."""
+    r = spark.read.schema(RESULT_SCHEMA).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
+    if base_path:
+        r = r.option("basePath", base_path)
+    df = r.json(path_glob)
     cond = F.col("_corrupt_record").isNull()
     for r in required:
         cond = cond & F.col(r).isNotNull()
