@@ -17,7 +17,7 @@ def _pairs_sql() -> str:
 
 
 def _vocab_sql(n: int = MAX_FEATURES) -> str:
-    return (f"stats AS (SELECT term, sum(tf) AS total, count(*) AS df FROM pairs GROUP BY term),\n"
+    return (f"stats AS (SELECT term, CAST(sum(tf) AS BIGINT) AS total, count(*) AS df FROM pairs GROUP BY term),\n"
             f"vocab AS (SELECT term, total, df, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS idx "
             f"FROM (SELECT * FROM stats ORDER BY total DESC, term LIMIT {n}))")
 
@@ -29,7 +29,7 @@ def q_term_counts(spark, sf_dir):
 
 
 @register("document_frequency", lambda: with_(corpus_cte(), tokens_cte(), _pairs_sql()) +
-          "SELECT term, sum(tf) AS total, count(*) AS df, (SELECT count(*) FROM corpus) AS n_docs "
+          "SELECT term, CAST(sum(tf) AS BIGINT) AS total, count(*) AS df, (SELECT count(*) FROM corpus) AS n_docs "
           "FROM pairs GROUP BY term")
 def q_document_frequency(spark, sf_dir):
     tok = fx.tokens(spark, sf_dir)

@@ -24,7 +24,7 @@ def q_scan_labeled_csv(spark, sf_dir):
     return R.scan_labeled_csv(spark, p)
 
 
-@register("write_labeled_csv", lambda: with_(corpus_cte()) + "SELECT label, count(*) AS n, sum(length(text)) AS chars FROM corpus GROUP BY label")
+@register("write_labeled_csv", lambda: with_(corpus_cte()) + "SELECT label, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM corpus GROUP BY label")
 def q_write_labeled_csv(spark, sf_dir):
     p = shared_path(spark, "labeled_csv")
     S.write_labeled_csv(fx.corpus(spark, sf_dir), p)
@@ -80,7 +80,7 @@ def q_scan_features(spark, sf_dir):
         "id", "label", F.col("dim").cast("int"), F.round("v", 6).alias("value"))
 
 
-@register("write_features", lambda: with_(feat_cte()) + "SELECT vec_id AS id, label, len(x) AS n_dims, round(list_sum(x), 6) AS total FROM feat")
+@register("write_features", lambda: with_(feat_cte()) + "SELECT vec_id AS id, label, CAST(len(x) AS INTEGER) AS n_dims, round(list_sum(x), 6) AS total FROM feat")
 def q_write_features(spark, sf_dir):
     p = shared_path(spark, "features")
     S.write_features(fx.feat(spark, sf_dir), p, "x", "label", "vec_id")
@@ -150,7 +150,7 @@ def _write_vectors(wv, p):
 
 
 @register("scan_word_vectors", lambda: with_(corpus_cte(), tokens_cte(), feat_cte(), _vocab_sql()) +
-          "SELECT word, len(x) AS n_dims, round(list_sum(x), 6) AS total FROM wv")
+          "SELECT word, CAST(len(x) AS INTEGER) AS n_dims, round(list_sum(x), 6) AS total FROM wv")
 def q_scan_wv(spark, sf_dir):
     from ..functions.vectors import vsum
     p = shared_path(spark, "word_vectors")
@@ -160,7 +160,7 @@ def q_scan_wv(spark, sf_dir):
 
 
 @register("scan_word_vectors_top_k", lambda: with_(corpus_cte(), tokens_cte(), feat_cte(), _vocab_sql()) +
-          "SELECT idx AS line_no, word FROM wv WHERE idx < 100 UNION ALL SELECT 2000 + i AS line_no, w AS word "
+          "SELECT CAST(idx AS BIGINT) AS line_no, word FROM wv WHERE idx < 100 UNION ALL SELECT CAST(2000 + i AS BIGINT) AS line_no, w AS word "
           "FROM (VALUES (0, '<s>'), (1, '</s>')) t(i, w) WHERE (SELECT count(*) FROM vocab) = 2000")
 def q_scan_wv_top_k(spark, sf_dir):
     p = shared_path(spark, "word_vectors_k")
