@@ -412,3 +412,49 @@ def q_filter_variants(spark, sf_dir):
     registry = sweep_grid(d.filter(F.col("source") == first_src).select(F.col("lang").alias("corpora")).distinct(),
                           feat_name=["tfidf", "infersent"])
     return FL.filter_available_variants(grid, registry, ["corpora", "feat_name"])
+
+
+@register("wrap_sentinels", lambda: with_(*wv_ctes()) +
+          "SELECT doc_id, CASE WHEN len(k) = 0 THEN '</s>' ELSE '<s> ' || array_to_string(k, ' ') || ' </s>' END AS text FROM "
+          "(SELECT doc_id, list_filter(tokens, lambda t: list_contains(wl.words, t)) AS k FROM tokens, (SELECT list(word) AS words FROM wv) wl)")
+def q_wrap_sentinels(spark, sf_dir):
+    """TXT-10 after FLT-3: known tokens wrapped in <s> … </s>; no known token → [</s>]."""
+    words = [r["word"] for r in fx.word_vectors(spark, sf_dir).select("word").collect()]   # ≤ VOCAB_SIZE words
+    t = FL.filter_vocab_tokens(fx.tokens(spark, sf_dir), "tokens", words, "kept")
+    return t.select("doc_id", F.array_join(T.wrap_sentinels("kept"), " ").alias("text"))
+
+
+@register("densify", lambda: with_(corpus_cte(), *wv_ctes()[1:3], *__import__("lexicluster.plans.sqlparts", fromlist=["x"]).vocab_ctes()[:3]) +
+          "SELECT t.doc_id, CAST((SELECT count(*) FROM vocab) AS INTEGER) AS n_dims, CAST(count(DISTINCT v.term) AS INTEGER) AS nnz "
+          "FROM tokens t LEFT JOIN (SELECT doc_id, unnest(tokens) AS term FROM tokens) u USING (doc_id) LEFT JOIN vocab v ON v.term = u.term GROUP BY t.doc_id")
+def q_densify(spark, sf_dir):
+    """VEC-9: sparse TF-IDF vector → dense FLOAT array (width = vocabulary size)."""
+    from pyspark.ml.functions import vector_to_array
+    from ..operators import features as feats
+    tok = fx.tokens(spark, sf_dir)
+    vocab = feats.fit_vocabulary(tok, 2000)
+    d = feats.tfidf_vectors(tok, vocab).select("doc_id", vector_to_array("features", "float32").alias("dense"))
+    return d.select("doc_id", F.size("dense").alias("n_dims"), F.size(F.filter("dense", lambda v: v != 0)).alias("nnz"))
+
+
+@register("map_topic_to_index", "SELECT d.doc_id, CAST(m.idx AS INTEGER) AS source_idx FROM documents d JOIN "
+          "(SELECT source, row_number() OVER (ORDER BY source) - 1 AS idx FROM (SELECT DISTINCT source FROM documents)) m USING (source)")
+def q_map_topic(spark, sf_dir):
+    """VEC-10: name → dense class index through the name→index map (a dimension of distinct names)."""
+    d = table(spark, sf_dir, "documents")
+    names = [r["source"] for r in d.select("source").distinct().orderBy("source").collect()]   # distinct names: a dimension
+    m = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
+    return d.select("doc_id", F.element_at(m, F.col("source")).cast("int").alias("source_idx"))
+
+
+@register("word_vector_doc_embedding", lambda: ORACLE_POOL_SENTENCES())
+def q_doc_embedding(spark, sf_dir):
+    """ML-4: token → word vector (JOIN-5) → sentence vector (mean) → document vector (mean of
+    sentences); the encoder is a pluggable df → df step, sentence mean pooling by default."""
+    return q_pool_sentences(spark, sf_dir)
+
+
+def ORACLE_POOL_SENTENCES():  # noqa: N802
+    from .registry import ORACLES
+    o = ORACLES["pool_sentences"]
+    return o() if callable(o) else o
