@@ -2,21 +2,28 @@
 from __future__ import annotations
 
 import functools
-import glob
 import html.entities
-import os
-import zipfile
 
 
-@functools.lru_cache(maxsize=1)
+# The default English stop words of Spark ML.
+ENGLISH_STOP_WORDS = tuple((
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her "
+    "hers herself it its itself they them their theirs themselves what which who whom this that these "
+    "those am is are was were be been being have has had having do does did doing a an the and but if or "
+    "because as until while of at by for with about against between into through during before after "
+    "above below to from up down in out on off over under again further then once here there when where "
+    "why how all any both each few more most other some such no nor not only own same so than too very s "
+    "t can will just don should now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd "
+    "they'd i'm you're he's she's it's we're they're i've we've you've they've isn't aren't wasn't "
+    "weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't shouldn't mustn't can't "
+    "couldn't cannot could here's how's let's ought that's there's what's when's where's who's why's "
+    "would "
+).split())
+
+
 def english_stop_words() -> tuple[str, ...]:
-    """Spark ML's default English stop-word list (181 words), read from the Spark jar so that
-    Python-side SQL builders and JVM-side operators use one list."""
-    import pyspark
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    with zipfile.ZipFile(sorted(jars)[0]) as z:
-        words = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8").split()
-    return tuple(words)
+    """One list for the Spark operators and the SQL oracles."""
+    return ENGLISH_STOP_WORDS
 
 
 # ASCII punctuation removed together with stop words when explaining clusters.
