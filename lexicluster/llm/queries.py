@@ -6,8 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
-from .common import documents
+from . import ann, bpe, html_extraction, lm_scoring, mixing, quality_model, quality_rules, sharding, simhash, token_files
+from .common import documents, shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,6 +18,69 @@ def _register(fn):
     return fn
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@_register
+def op1_lm_scoring(spark, sf_dir):
+    return lm_scoring.score(documents(spark, sf_dir), folds=5, held=1)
+
+
+@_register
+def op2_simhash(spark, sf_dir):
+    near = simhash.near_duplicates(documents(spark, sf_dir), shingle=3, max_distance=3)
+    return near.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                       F.col("component").alias("component_id"), "n_links")
+
+
+@_register
+def op3_nearest_neighbours(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
+@_register
+def op4_html_extraction(spark, sf_dir):
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
+@_register
+def op5_mixing(spark, sf_dir):
+    units = mixing.mix(documents(spark, sf_dir))
+    return units.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"),
+                        "source", F.explode(F.sequence(F.lit(1).cast("long"), "m")).alias("row")).drop("row")
+
+
+@_register
+def op7_token_files(spark, sf_dir):
+    path = shared_path(spark, "token-files")
+    token_files.write_files(documents(spark, sf_dir), tokenizer_path(), path, end_id=0)
+    return token_files.read_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@_register
+def op8_quality_classifier(spark, sf_dir):
+    s = quality_model.score(documents(spark, sf_dir), table(spark, sf_dir, "labels"), folds=5, held=0)
+    return s.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@_register
+def op9_bpe(spark, sf_dir):
+    ids = bpe.encode(documents(spark, sf_dir), tokenizer_path(), keep=("doc_id",), decoded=True)
+    return ids.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
+                      F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+                      F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@_register
+def op10_sharding(spark, sf_dir):
+    s = sharding.shard_documents(documents(spark, sf_dir), shards=24)
+    return s.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                    F.lit(None).cast("int").alias("grown_shard"))
+
+
 @_register
 def op6_quality_rules(spark, sf_dir):
     return quality_rules.apply_rules(documents(spark, sf_dir)).select(
