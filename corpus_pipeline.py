@@ -1,12 +1,18 @@
-"""Corpus pipeline: documents through quality rules (further stages follow)."""
+"""Corpus pipeline: quality rules, quality classifier, near-duplicates, mixing, BPE ids.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; its
+result is written as Parquet and read again.  All stages but the last return the columns of
+``documents``.
+"""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexicluster.llm import quality_rules
-from lexicluster.llm.common import documents, written
+from lexicluster.llm import bpe, mixing, quality_model, quality_rules, simhash
+from lexicluster.llm.common import documents, table, written
+from lexicluster.llm.queries import tokenizer_path
 
-# The later stages use trained models and random draws, which SQL cannot express.
+# The classifier is trained and the mix is drawn, which SQL cannot express.
 ORACLE_SQL = None
 
 
@@ -14,7 +20,24 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_documents(docs)
 
 
-STAGES = [("quality rules", rules_stage)]
+def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_model.keep_documents(docs, table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(docs, shingle=3, max_distance=3)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode(docs, tokenizer_path(), keep=("doc_id", "lang", "source"))
+
+
+STAGES = [("quality rules", rules_stage), ("quality classifier", classifier_stage), ("SimHash near-dedup", near_duplicates_stage),
+          ("mixing sources", mixing_stage), ("BPE encoding", bpe_stage)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
