@@ -4,8 +4,9 @@ Every vector is projected on ``PROJECTIONS`` random directions (a seed fixes the
 vectors keeps one sorted array per direction.  For a query, a window centred on its own projection
 opens in every array and widens step by step (virtual rehashing): each vector it reaches collides
 once.  When enough vectors of the block have collided in at least ``THRESHOLD`` of the directions,
-all vectors at or above the threshold are verified by their exact Euclidean distance.  Nothing at
-the threshold is left out, so equal vectors stand or fall together.
+all vectors at or above the threshold are verified by their exact Euclidean distance; the windows
+stop widening when the nearest verified ones are well inside them.  Nothing at the threshold is
+left out, so equal vectors stand or fall together.
 
 All rows are indexed, block by block; the queries go round in broadcasts of at most
 ``QUERY_BLOCK`` rows.  The nearest of the blocks are merged by a window per query.
@@ -26,9 +27,11 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-PROJECTIONS, THRESHOLD, WIDEN, FIRST_WIDTH = 64, 0.75, 1.15, 0.35
-#: A block verifies this share of its vectors at least, and ten for each neighbour asked for.
-VERIFY_SHARE, VERIFY_EACH = 0.05, 10
+PROJECTIONS, THRESHOLD, WIDEN, FIRST_WIDTH = 128, 0.75, 1.1, 0.5
+#: A query stops once the k-th verified distance is so near that a vector at MARGIN times that
+#: distance collides in THRESHOLD of the directions in expectation (REACH: the half width at which
+#: it does, in distances), or else once this share of the block and ten a neighbour are verified.
+MARGIN, REACH, VERIFY_SHARE, VERIFY_EACH = 1.2, 1.15, 0.2, 10
 BLOCK_ROWS, QUERY_BLOCK = 32_768, 16_384
 
 
@@ -58,9 +61,8 @@ class Block:
         hits = np.zeros((len(queries), n), np.uint8)
         lo = np.stack([np.searchsorted(self.sorted[j], at[:, j]) for j in range(m)], axis=1)
         hi, open_ = lo.copy(), np.arange(len(queries))
-        spread = np.median(np.abs(self.sorted - np.median(self.sorted, axis=1, keepdims=True)))
-        width = FIRST_WIDTH * max(float(spread), 1e-12)
-        found: list[tuple[int, np.ndarray]] = []
+        width = FIRST_WIDTH * max(float(self.sorted.std(axis=1).mean()), 1e-9)
+        exact = np.full((len(queries), n), np.nan)
         while len(open_):
             left, right = lo.copy(), hi.copy()
             for j in range(m):
@@ -68,21 +70,22 @@ class Block:
                 right[open_, j] = np.searchsorted(self.sorted[j], at[open_, j] + width, "right")
             still = []
             for q in open_:
-                new = np.concatenate([self.order[j, a:b] for j in range(m) for a, b in
-                                      ((left[q, j], min(lo[q, j], right[q, j])), (max(hi[q, j], left[q, j]), right[q, j])) if a < b]
-                                     or [np.zeros(0, np.int32)])
-                hits[q] += np.bincount(new, minlength=n).astype(np.uint8)
+                new = [self.order[j, a:b] for j in range(m) for a, b in ((left[q, j], lo[q, j]), (hi[q, j], right[q, j])) if a < b]
+                if new:
+                    hits[q] += np.bincount(np.concatenate(new), minlength=n).astype(np.uint8)
                 near = np.flatnonzero(hits[q] >= least)
-                if len(near) >= need or ((left[q] == 0) & (right[q] == n)).all():
-                    found.append((q, near))
+                fresh = near[np.isnan(exact[q, near])]
+                exact[q, fresh] = np.sqrt(((self.vectors[fresh] - queries[q]) ** 2).sum(axis=1))
+                near = near[self.ids[near] != ids[q]]
+                d = exact[q, near]
+                close = len(d) >= k and np.partition(d, k - 1)[k - 1] * MARGIN * REACH <= width
+                if close or len(near) >= need or ((left[q] == 0) & (right[q] == n)).all():
+                    best = np.lexsort((self.ids[near], d))
+                    best = best[np.sort(np.unique(self.ids[near][best], return_index=True)[1])][:k]     # an id once
+                    yield q, near[best], d[best]
                 else:
                     still.append(q)
             lo, hi, open_, width = left, right, np.array(still, np.int64), width * WIDEN
-        for q, near in found:
-            near = near[self.ids[near] != ids[q]]
-            d = np.sqrt(((self.vectors[near] - queries[q]) ** 2).sum(axis=1))
-            best = np.lexsort((self.ids[near], d))[:k]
-            yield q, near[best], d[best]
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding",
@@ -113,7 +116,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
 
             def search(held):
                 block = Block(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), directions)
-                step = max(1, (64 << 20) // len(block.ids))       # bytes of collision counts
+                step = max(1, (8 << 20) // len(block.ids))        # queries whose counts and distances are held at once
                 for a in range(0, len(ids), step):
                     for i, near, d in block.search(ids[a:a + step], vecs[a:a + step], directions, k):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), ids[a + i])), pa.array(block.ids[near]), pa.array(d)],
