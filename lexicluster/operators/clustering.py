@@ -38,7 +38,7 @@ def assign_nearest(df: DataFrame, centers: list[list[float]], x_col: str = "x",
 def assigned_center(df: DataFrame, centers: DataFrame, pred_col: str = "pred", n_clusters: int | None = None) -> DataFrame:
     """JOIN-8: each row's assigned centre vector (equi-join; centres bounded by K)."""
     c = centers.select(F.col("center_id").alias(pred_col), F.col("center"))
-    return df.join(F.broadcast(c) if n_clusters is not None and n_clusters <= 100_000 else c, pred_col)
+    return df.join(c, pred_col)
 
 
 def cluster_sums(df: DataFrame, x_col: str = "x", pred_col: str = "pred") -> DataFrame:
@@ -102,9 +102,16 @@ def kmeans(df: DataFrame, k: int, n_init: int = 10, seed: int = 0, features_col:
     return KMeansResult([list(map(float, c)) for c in model.clusterCenters()], cost, s, preds)
 
 
-def lloyd_step(df: DataFrame, centers: list[list[float]], x_col: str = "x") -> tuple[list[list[float]], int]:
+def assign_pinned(df: DataFrame, centers, x_col: str = "x", pred_col: str = "pred", pinned_col: str | None = None) -> DataFrame:
+    """The nearest centre, or for a seeded row its seed."""
+    a = assign_nearest(df, centers, x_col, pred_col)
+    return a if pinned_col is None else a.withColumn(pred_col, F.coalesce(F.col(pinned_col).cast("int"), F.col(pred_col)))
+
+
+def lloyd_step(df: DataFrame, centers: list[list[float]], x_col: str = "x",
+               pinned_col: str | None = None) -> tuple[list[list[float]], int]:
     """One Lloyd iteration: assign row-locally, aggregate per centre; empty centres stay put."""
-    s = cluster_sums(assign_nearest(df, centers, x_col, "_p"), x_col, "_p").collect()  # ≤ K rows
+    s = cluster_sums(assign_pinned(df, centers, x_col, "_p", pinned_col), x_col, "_p").collect()  # ≤ K rows
     new = [list(c) for c in centers]
     for r in s:
         if r["n"] > 0:
@@ -113,13 +120,13 @@ def lloyd_step(df: DataFrame, centers: list[list[float]], x_col: str = "x") -> t
 
 
 def kmeans_from_centers(df: DataFrame, centers: list[list[float]], x_col: str = "x", max_iter: int = 300,
-                        tol: float = 1e-4) -> tuple[list[list[float]], int]:
+                        tol: float = 1e-4, pinned_col: str | None = None) -> tuple[list[list[float]], int]:
     """ML-7: Lloyd iterations from given centres until the largest centre shift² ≤ tol."""
-    data = df.select(x_col).persist()
+    data = df.select(x_col, *([pinned_col] if pinned_col else [])).persist()
     cur = [list(c) for c in centers]
     it = 0
     for it in range(1, max_iter + 1):
-        new, _ = lloyd_step(data, cur, x_col)
+        new, _ = lloyd_step(data, cur, x_col, pinned_col)
         shift = max(sum((a - b) ** 2 for a, b in zip(c0, c1)) for c0, c1 in zip(cur, new))
         cur = new
         if shift <= tol:

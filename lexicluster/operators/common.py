@@ -1,20 +1,9 @@
-"""Small shared helpers: bounded broadcasts and literal arrays of model-sized state."""
+"""Small shared helpers: literal arrays of model-sized state."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A side is broadcast only when its row count is bounded by a parameter (vocabulary size,
-# number of clusters, number of classes …) and that bound is below this many rows.
-BROADCAST_ROW_LIMIT = 1_000_000
-
-
-def bounded_broadcast(df: DataFrame, bound_rows: int) -> DataFrame:
-    """Broadcast ``df`` if its proven row bound is small, otherwise leave the join to the planner
-    (sort-merge / shuffle-hash with AQE)."""
-    return F.broadcast(df) if bound_rows <= BROADCAST_ROW_LIMIT else df
-
-
 def literal_matrix(rows) -> Column:
     """K×D model state (centres, weights) as a literal ARRAY<ARRAY<DOUBLE>>."""
     return F.array(*[F.array(*[F.lit(float(v)) for v in r]) for r in rows])

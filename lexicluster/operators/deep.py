@@ -274,12 +274,13 @@ def target_from_q(q, mass):
     return w / w.sum(1, keepdims=True)
 
 
-def _dec_batch(state, X, ids):
-    """Closed-form gradient of mean BCE(q, p) w.r.t. the centres (p fixed)."""
+def _dec_batch(state, X, ids, extra=None):
+    """Closed-form gradient of mean BCE(q, p) w.r.t. the centres.  p is the row's stored target, or
+    without one the target of the current q."""
     C, mass, n_total = state
     K = C.shape[0]
     u, s, q = soft_assign(X, C)
-    p = target_from_q(q, mass)
+    p = np.vstack(extra["p"].to_numpy()) if extra is not None else target_from_q(q, mass)
     qc = np.clip(q, 1e-12, 1 - 1e-12)
     loss = float(-(p * np.log(qc) + (1 - p) * np.log(1 - qc)).sum()) / (n_total * K)
     g = (q - p) / (qc * (1 - qc)) / (n_total * K)
@@ -307,23 +308,32 @@ def _adam(state, g, lr, b1=0.9, b2=0.999, eps=1e-8):
     return step, (m, v, t)
 
 
+def frozen_targets(data: DataFrame, q: DataFrame, id_col: str):
+    """(rows with their target p, predictions) of a refresh.  Both are written to the shared
+    directory, so the steps up to the next refresh read the same p by id."""
+    from ..functions.vectors import argmax
+    from ..session import checkpoint
+    mass = np.array(soft_cluster_mass(q, "q"))
+    p = map_rows(q, "q", mass, lambda m, Q: target_from_q(Q, m), "p", [id_col])
+    return checkpoint(data.join(p, id_col)), checkpoint(q.select(id_col, argmax("q").alias("pred")))
+
+
 def dec_refine(df: DataFrame, centers, max_steps: int = 20, update_interval: int = 10, tol: float = 1e-3,
                lr: float = 1e-3, x_col: str = "x", id_col: str = "id", metrics=None):
     """ML-14: start from k-means centres, Adam steps on the centres for mean BCE(q, p); p (and the
-    predictions) are refreshed every ``update_interval`` steps; stop when the share of changed
-    predictions falls below ``tol``.  Every step is one distributed pass."""
+    predictions) are refreshed every ``update_interval`` steps and stay as they are in between;
+    stop when the share of changed predictions falls below ``tol``.  Every step is one distributed
+    pass."""
     data = df.select(id_col, x_col).persist()
     n = data.count()
     C = np.asarray(centers, dtype=np.float64).copy()
     adam = (np.zeros_like(C), np.zeros_like(C), 0)
-    prev = None
-    mass = None
+    prev = target = None
     for step in range(max_steps):
         if step % update_interval == 0:
             qdf = map_rows(data, x_col, C, lambda Cs, X: soft_assign(X, Cs)[2], "q", [id_col]).persist()
-            mass = np.array(soft_cluster_mass(qdf, "q"))
-            from ..functions.vectors import argmax
-            cur = qdf.select(id_col, argmax("q").alias("pred")).persist()
+            target, cur = frozen_targets(data, qdf, id_col)
+            qdf.unpersist()
             if prev is not None:
                 from .metrics import label_change_rate
                 rate = label_change_rate(prev, cur, id_col, "pred").first()[0]
@@ -332,7 +342,7 @@ def dec_refine(df: DataFrame, centers, max_steps: int = 20, update_interval: int
                 if rate < tol:
                     break
             prev = cur
-        g, loss, _ = distributed_gradient(data, x_col, (C, mass, n), _dec_batch, id_col)
+        g, loss, _ = distributed_gradient(target, x_col, (C, None, n), _dec_batch, id_col, ["p"])
         stepv, adam = _adam(adam, g.reshape(C.shape), lr)
         C = C - stepv
         if metrics is not None:
@@ -341,14 +351,14 @@ def dec_refine(df: DataFrame, centers, max_steps: int = 20, update_interval: int
     return C
 
 
-def _idec_batch(state, X, ids):
-    """gamma·BCE(q(h), p) + MSE(x̂, x) over network and centres; p looked up per row id."""
-    net, C, mass, n_total, gamma, use_ae = state
+def _idec_batch(state, X, ids, extra):
+    """gamma·BCE(q(h), p) + MSE(x̂, x) over network and centres; p is the row's stored target."""
+    net, C, n_total, gamma, use_ae = state
     K, D = C.shape[0], X.shape[1]
     ea = _forward(net["enc"], X)
     H = ea[-1]
     u, s, q = soft_assign(H, C)
-    p = target_from_q(q, mass)
+    p = np.vstack(extra["p"].to_numpy())
     qc = np.clip(q, 1e-12, 1 - 1e-12)
     bce = float(-(p * np.log(qc) + (1 - p) * np.log(1 - qc)).sum()) / (n_total * K)
     g = gamma * (q - p) / (qc * (1 - qc)) / (n_total * K)
@@ -373,18 +383,29 @@ def _idec_batch(state, X, ids):
 
 def idec_fit(df: DataFrame, net, centers, max_steps: int = 20, update_interval: int = 5, tol: float = 1e-3,
              lr: float = 1e-3, gamma: float = 0.1, use_ae: bool = True, x_col: str = "x", id_col: str = "id", metrics=None):
-    """ML-15: joint training of encoder, decoder (use_ae) and centres with Adam; use_ae=False is DEC."""
+    """ML-15: joint training of encoder, decoder (use_ae) and centres with Adam; use_ae=False is DEC.
+    p is frozen between refreshes; the share of predictions that a refresh changes is reported, and
+    below ``tol`` it ends the training."""
     data = df.select(id_col, x_col).persist()
     n = data.count()
     C = np.asarray(centers, dtype=np.float64).copy()
     params = _params(net) + [C]
     adam = (np.zeros(sum(p.size for p in params)), np.zeros(sum(p.size for p in params)), 0)
-    mass = None
+    prev = target = None
     for step in range(max_steps):
         if step % update_interval == 0:
-            qdf = map_rows(data, x_col, (net, C), lambda s, X: soft_assign(encode_matrix(s[0], X), s[1])[2], "q", [id_col])
-            mass = np.array(soft_cluster_mass(qdf, "q"))
-        g, loss, _ = distributed_gradient(data, x_col, (net, C, mass, n, gamma, use_ae), _idec_batch, id_col)
+            qdf = map_rows(data, x_col, (net, C), lambda s, X: soft_assign(encode_matrix(s[0], X), s[1])[2], "q", [id_col]).persist()
+            target, cur = frozen_targets(data, qdf, id_col)
+            qdf.unpersist()
+            if prev is not None:
+                from .metrics import label_change_rate
+                rate = label_change_rate(prev, cur, id_col, "pred").first()[0]
+                if metrics is not None:
+                    metrics.append(("change_rate", step, rate))
+                if rate < tol:
+                    break
+            prev = cur
+        g, loss, _ = distributed_gradient(target, x_col, (net, C, n, gamma, use_ae), _idec_batch, id_col, ["p"])
         stepv, adam = _adam(adam, g, lr)
         nparam = sum(p.size for p in _params(net))
         net = _apply_update(net, stepv[:nparam])
@@ -431,14 +452,15 @@ def constraint_loss(pairs: DataFrame, centers, x1: str = "x1", x2: str = "x2") -
 
 # ---------------------------------------------------------------------- DCN family (ML-18 … ML-20)
 
-def _dcn_batch(state, X, ids):
+def _dcn_batch(state, X, ids, extra=None):
     """recons_lam·MSE(x̂, x) + cluster_lam·MSE(h, c_assigned); seeded rows use their seed centre."""
-    net, C, n_total, recons_lam, cluster_lam, pinned = state
+    net, C, n_total, recons_lam, cluster_lam = state
     ea = _forward(net["enc"], X)
     H = ea[-1]
     j, _ = _nearest_np(H, C)
-    if pinned:
-        j = np.array([pinned.get(int(i), jj) for i, jj in zip(ids, j)])
+    if extra is not None:
+        seed = extra["_seed"].to_numpy(dtype=float, na_value=np.nan)
+        j = np.where(np.isnan(seed), j, seed).astype(int)
     da = _forward(net["dec"], H)
     diff = da[-1] - X
     dc = H - C[j]
@@ -460,32 +482,38 @@ def dcn_fit(df: DataFrame, net, centers, epochs: int = 5, lr: float = 0.01, mome
             recons_lam: float = 1.0, cluster_lam: float = 0.5, tol: float = 1e-3, init_num: int = 0,
             seeds: DataFrame | None = None, x_col: str = "x", id_col: str = "id", metrics=None):
     """ML-18 (DCN), ML-19 (``init_num``: prior centre counts; < 0 → current cluster sizes) and ML-20
-    (``seeds`` (id, label), at most a few per class: seeded rows are pinned to their label).
+    (``seeds`` (id, label): seeded rows are pinned to their label in the loss, in every centre
+    update, in the Lloyd iterations and in the predictions).
     Per epoch: one SGD-momentum step on the joint loss, the running-mean centre update on the new
     hidden vectors (ML-16/17), Lloyd iterations from the current centres (ML-7), and a stop when the
     share of changed assignments falls below ``tol``.  Returns (net, centres, predictions)."""
     from . import clustering as CL
     from .metrics import label_change_rate
-    data = df.select(id_col, x_col).persist()
+    data = df.select(id_col, x_col)
+    extra = []
+    if seeds is not None:
+        data = data.join(seeds.select(id_col, F.col("label").cast("int").alias("_seed")), id_col, "left")
+        extra = ["_seed"]
+    data = data.persist()
     n = data.count()
     C = np.asarray(centers, dtype=np.float64).copy()
-    pinned = {int(r[0]): int(r[1]) for r in seeds.select(id_col, "label").collect()} if seeds is not None else {}
     vel = np.zeros(sum(p.size for p in _params(net)))
     prev = None
     pred = None
     for ep in range(epochs):
-        g, loss, _ = distributed_gradient(data, x_col, (net, C, n, recons_lam, cluster_lam, pinned), _dcn_batch, id_col)
+        g, loss, _ = distributed_gradient(data, x_col, (net, C, n, recons_lam, cluster_lam), _dcn_batch, id_col, extra)
         vel = momentum * vel + lr * g
         net = _apply_update(net, vel)
-        H = autoencoder_encode(data, net, x_col, "h", [id_col]).persist()
-        if seeds is not None:
-            H = H.join(F.broadcast(seeds.select(id_col, F.col("label").alias("_seed"))), id_col, "left")
-        sizes = {r["pred"]: r["count"] for r in CL.assign_nearest(H, C.tolist(), "h", "pred").groupBy("pred").count().collect()}
+        H = autoencoder_encode(data, net, x_col, "h", [id_col, *extra]).persist()
+        pin = extra[0] if extra else None
+        sizes = {r["pred"]: r["count"] for r in CL.assign_pinned(H, C.tolist(), "h", "pred", pin).groupBy("pred").count().collect()}
         counts = [sizes.get(k, 0) if init_num < 0 else init_num for k in range(len(C))]
-        C, _ = CL.online_centroid_update(H, C.tolist(), counts, "h", "_seed" if seeds is not None else None)
-        C, _ = CL.kmeans_from_centers(H.select("h"), C, "h", max_iter=10)
+        C, _ = CL.online_centroid_update(H, C.tolist(), counts, "h", pin)
+        C, _ = CL.kmeans_from_centers(H, C, "h", pinned_col=pin)
         C = np.asarray(C)
-        pred = CL.assign_nearest(H, C.tolist(), "h", "pred").select(id_col, "pred").persist()
+        from ..session import checkpoint
+        pred = checkpoint(CL.assign_pinned(H, C.tolist(), "h", "pred", pin).select(id_col, "pred"))
+        H.unpersist()
         if metrics is not None:
             metrics.append(("loss", ep, loss))
         if prev is not None and label_change_rate(prev, pred, id_col, "pred").first()[0] < tol:

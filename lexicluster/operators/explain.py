@@ -101,9 +101,8 @@ def word_position_stats(docs: DataFrame, words: DataFrame, tokens_col: str = "to
     """EVAL-12: for each (class, word): documents of that class whose whitespace tokens contain the
     word → relative first position → describe → drop incomplete rows.  One join of the word list
     with each document's distinct tokens instead of one scan per word."""
-    from .common import bounded_broadcast
     from .filters import drop_incomplete_rows
     ex = docs.select(class_col, tokens_col, F.explode(F.array_distinct(tokens_col)).alias("word"))
-    hits = ex.join(bounded_broadcast(words.select(class_col, "word"), max_words), [class_col, "word"])
+    hits = ex.join(words.select(class_col, "word"), [class_col, "word"])
     pos = hits.withColumn("position", relative_position(tokens_col, F.col("word")))
     return drop_incomplete_rows(describe_values(pos, [class_col, "word"], "position"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast
 
 
 def project_columns(df: DataFrame, cols) -> DataFrame:
@@ -16,7 +15,6 @@ def seed_mask_and_label(df: DataFrame, seeds: DataFrame, id_col: str = "id", max
     """PRJ-2: per row a 0/1 seed mask and the seed label (0 when not seeded).  Seeds are a few per
     class; broadcast only when their bound is known."""
     s = seeds.select(F.col(id_col), F.col("label").alias("_seed_label"))
-    s = bounded_broadcast(s, max_seeds) if max_seeds is not None else s
     j = df.join(s, id_col, "left")
     return (j.withColumn("mask", F.when(F.col("_seed_label").isNotNull(), 1).otherwise(0))
              .withColumn("seed_label", F.coalesce(F.col("_seed_label"), F.lit(0)))
@@ -62,7 +60,7 @@ def docs_containing_tokens(df: DataFrame, words: DataFrame, tokens_col: str, max
     """FLT-5 for a list of words at once: whole-token equality (not substring) via one broadcast
     equi-join of each document's distinct tokens with the bounded word list."""
     ex = df.withColumn("_tok", F.explode(F.array_distinct(F.col(tokens_col))))
-    w = bounded_broadcast(words.select(F.col(word_col).alias("_tok")).distinct(), max_words)
+    w = words.select(F.col(word_col).alias("_tok")).distinct()
     return ex.join(w, "_tok").withColumnRenamed("_tok", word_col)
 
 

@@ -5,7 +5,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded_broadcast
 
 
 def constraint_pair_features(pairs: DataFrame, feat: DataFrame, id_col: str = "id", x_col: str = "x") -> DataFrame:
@@ -17,14 +16,14 @@ def constraint_pair_features(pairs: DataFrame, feat: DataFrame, id_col: str = "i
 
 def seed_features(feat: DataFrame, seeds: DataFrame, id_col: str = "id", max_seeds: int | None = None) -> DataFrame:
     """JOIN-2: features of the seed rows (seeds are bounded: seed_num per class)."""
-    s = bounded_broadcast(seeds, max_seeds) if max_seeds is not None else seeds
+    s = seeds
     return feat.join(s, id_col)
 
 
 def known_tokens(tokens: DataFrame, word_vectors: DataFrame, token_col: str = "token", max_words: int | None = None) -> DataFrame:
     """JOIN-3: token rows that have a word vector (left semi-join)."""
     wv = word_vectors.select(F.col("word").alias(token_col))
-    return tokens.join(bounded_broadcast(wv, max_words) if max_words else wv, token_col, "left_semi")
+    return tokens.join(wv, token_col, "left_semi")
 
 
 def new_vocabulary(asked: DataFrame, known: DataFrame, word_col: str = "word") -> DataFrame:
@@ -61,7 +60,7 @@ def token_vectors(tokens: DataFrame, word_vectors: DataFrame, token_col: str = "
     """JOIN-5: token → vector, position kept.  The word table is broadcast when its size is bounded
     (a vocabulary of max_words); otherwise a shuffle join with AQE skew handling for frequent words."""
     wv = word_vectors.select(F.col("word").alias(token_col), F.col("vec"))
-    return tokens.join(bounded_broadcast(wv, max_words) if max_words else wv, token_col)
+    return tokens.join(wv, token_col)
 
 
 def feature_word_vectors(words: DataFrame, word_vectors: DataFrame, word_col: str = "word") -> DataFrame:

@@ -15,6 +15,8 @@ import hashlib
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,7 +124,7 @@ def _nearest(X, C, cnorm):
 
 def kmeans_runs(df: DataFrame, k: int, n_runs: int, id_col: str = "id", x_col: str | None = "x",
                 idx_col: str | None = None, val_col: str | None = None, dim: int | None = None,
-                seed: int = 0, max_iter: int = 100, tol: float = 1e-4):
+                seed: int = 0, max_iter: int = 300, tol: float = 1e-4):
     """Run ``n_runs`` independent k-means (k-means++ seeding, Lloyd) over the same rows.
     Returns (centres[R][K][D], inertia[R], iterations)."""
     spark = df.sparkSession
@@ -141,10 +143,10 @@ def kmeans_runs(df: DataFrame, k: int, n_runs: int, id_col: str = "id", x_col: s
             a, b = X.colsum()
             s += a; s2 += b; n += X.n
         yield pd.DataFrame({"s": [s.tolist()], "s2": [s2.tolist()], "n": [n]})
-    mom = data.mapInPandas(moments, "s array<double>, s2 array<double>, n long").collect()  # one row per partition
-    n_tot = sum(r["n"] for r in mom)
-    s = np.sum([np.array(r["s"]) for r in mom], 0)
-    s2 = np.sum([np.array(r["s2"]) for r in mom], 0)
+    mom = data.mapInPandas(moments, "s array<double>, s2 array<double>, n long") \
+        .select(array_to_vector("s").alias("s"), array_to_vector("s2").alias("s2"), "n") \
+        .agg(Summarizer.sum(F.col("s")).alias("s"), Summarizer.sum(F.col("s2")).alias("s2"), F.sum("n").alias("n")).first()
+    n_tot, s, s2 = mom["n"], mom["s"].toArray(), mom["s2"].toArray()
     var = s2 / max(n_tot, 1) - (s / max(n_tot, 1)) ** 2
     tol_abs = tol * float(np.mean(var))
 
@@ -216,8 +218,6 @@ def kmeans_runs(df: DataFrame, k: int, n_runs: int, id_col: str = "id", x_col: s
                                 "cost": [cost[r] if i == 0 or rr[i - 1] != r else 0.0 for i, r in enumerate(rr)],
                                 "s": [sums[r, c].tolist() for r, c in zip(rr, kk)]})
 
-        from pyspark.ml.functions import array_to_vector
-        from pyspark.ml.stat import Summarizer
         agg = (data.mapInPandas(step_fn, "run int, c int, n double, cost double, s array<double>")
                    .withColumn("sv", array_to_vector("s"))
                    .groupBy("run", "c").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"),

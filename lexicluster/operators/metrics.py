@@ -13,9 +13,10 @@ from ..functions.vectors import ln_factorial
 
 
 def contingency_table(df: DataFrame, pred_col: str = "pred", label_col: str = "label", by=()) -> DataFrame:
-    """AGG-1: (by…, pred, label, n) for non-empty cells (partial+final hash aggregate)."""
-    return df.groupBy(*by, F.col(pred_col).alias("pred"), F.col(label_col).alias("label")).agg(
-        F.count(F.lit(1)).alias("n"))
+    """AGG-1: (by…, pred, label, n) for non-empty cells (partial+final hash aggregate).  Rows that are
+    cells already bring their counts in ``_cell_n``."""
+    n = F.sum("_cell_n") if "_cell_n" in df.columns else F.count(F.lit(1))
+    return df.groupBy(*by, F.col(pred_col).alias("pred"), F.col(label_col).alias("label")).agg(n.alias("n"))
 
 
 def dense_contingency(df: DataFrame, pred_col="pred", label_col="label", by=()) -> DataFrame:
@@ -221,7 +222,10 @@ def label_change_rate(prev: DataFrame, cur: DataFrame, id_col="id", pred_col="pr
 def cluster_scores(df: DataFrame, pred_col="pred", label_col="label", by=()) -> DataFrame:
     """acc, nmi, ami per run (EVAL-1/3/4 together)."""
     df, by, done = _keyed(df, by)
-    acc = clustering_accuracy(df, pred_col, label_col, by)
-    nmi = normalized_mutual_information(df, pred_col, label_col, by)
-    ami = adjusted_mutual_information(df, pred_col, label_col, by)
+    # The K×K tables of the runs are counted once; the three scores start from them.
+    ct = contingency_table(df, pred_col, label_col, by).withColumnRenamed("n", "_cell_n")
+    cells = df.sparkSession.createDataFrame(ct.collect(), ct.schema).coalesce(1)
+    acc = clustering_accuracy(cells, "pred", "label", by)
+    nmi = normalized_mutual_information(cells, "pred", "label", by)
+    ami = adjusted_mutual_information(cells, "pred", "label", by)
     return done(acc.join(nmi, by).join(ami, by))

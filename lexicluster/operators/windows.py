@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import checkpoint
+
 N_BUCKETS_HEX = 4          # hash prefix of 4 hex digits → 65,536 buckets per class
 
 
@@ -65,6 +67,13 @@ def select_seeds(df: DataFrame, id_col: str, label_col: str, seed_num: int, seed
 
 # ---------------------------------------------------------------- distributed prefix scan
 
+def _key_value(v):
+    """A group key as a plain value; every kind of missing value is None."""
+    if v is None or v != v or v is pd.NaT:
+        return None
+    return v.item() if hasattr(v, "item") else v
+
+
 def prefix_scan(df: DataFrame, group_cols, order_cols, value_cols, out_cols=None, op: str = "sum") -> DataFrame:
     """Running sum (or max) of ``value_cols`` per group in (group, order) order, without putting a
     group into one task: range-partition on (group, order), scan each partition in pandas, and
@@ -72,48 +81,52 @@ def prefix_scan(df: DataFrame, group_cols, order_cols, value_cols, out_cols=None
     group_cols, order_cols, value_cols = list(group_cols), list(order_cols), list(value_cols)
     out_cols = list(out_cols or [f"cum_{v}" for v in value_cols])
     keys = group_cols + order_cols
-    s = (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-           .withColumn("_pid", F.spark_partition_id()).persist())
     gk = group_cols or ["_one"]
     if not group_cols:
-        s = s.withColumn("_one", F.lit(0))
+        df = df.withColumn("_one", F.lit(0))
+    # Both passes must see the same partitions: they are written once to the shared directory.
+    s = checkpoint(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_pid", F.spark_partition_id()))
     vschema = ", ".join(f"`{c}` {dict(s.dtypes)[c]}" for c in gk)
+    fold = (lambda a, b: a + b) if op == "sum" else max
+
+    def totals(pdf):
+        """(key, totals) of the groups of a batch, in order."""
+        change = pd.Series(False, index=pdf.index)
+        for c in gk:
+            v, before = pdf[c], pdf[c].shift()
+            change |= ~((v == before) | (v.isna() & before.isna()))
+        run = change.cumsum()
+        for _, part in pdf.groupby(run, sort=False):
+            yield tuple(_key_value(v) for v in part[gk].iloc[0]), [float(getattr(part[v], op)()) for v in value_cols]
 
     def edges(it):
+        """The totals of the first and the last group of the partition."""
+        first = last = pid = None
         for pdf in it:
             if pdf.empty:
                 continue
             pid = int(pdf["_pid"].iloc[0])
-            g = pdf.groupby(gk, sort=False, dropna=False)[value_cols].agg(op).reset_index()
-            first, last = g.iloc[[0]].copy(), g.iloc[[-1]].copy()
-            first["_pos"], last["_pos"] = 0, 1
-            out = pd.concat([first, last]) if len(g) > 1 else first.assign(_pos=2)
-            out["_pid"] = pid
-            yield out[gk + value_cols + ["_pos", "_pid"]]
-
-    # one partition arrives as several Arrow batches: gather the batch-level edges per partition
+            for key, vals in totals(pdf):
+                if last is not None and last[0] == key:
+                    last[1] = [fold(a, b) for a, b in zip(last[1], vals)]
+                else:
+                    last = [key, vals]
+                    first = first or last
+        if pid is not None:
+            rows = [(*first[0], *first[1], 0, pid)] + ([(*last[0], *last[1], 1, pid)] if last is not first else [])
+            yield pd.DataFrame(rows, columns=[*gk, *value_cols, "_pos", "_pid"])
+
     vtypes = ", ".join(f"`{v}` double" for v in value_cols)
     e = s.select(*gk, *[F.col(v).cast("double").alias(v) for v in value_cols], "_pid").mapInPandas(
-        edges, f"{vschema}, {vtypes}, _pos int, _pid int").collect()   # ≤ 2 rows per batch
-    # fold batch edges into per-partition (first group, last group, totals) in order
-    per_pid: dict = {}
-    for r in e:
-        per_pid.setdefault(r["_pid"], []).append(r)
+        edges, f"{vschema}, {vtypes}, _pos int, _pid int").collect()   # ≤ 2 rows per partition
     offsets = {}          # (pid) -> (group key, offset values) for the partition's first group
     carry_key, carry = None, None
-    for pid in sorted(per_pid):
-        rows = per_pid[pid]
-        first = rows[0]
-        fkey = tuple(first[c] for c in gk)
-        offsets[pid] = (fkey, carry if carry_key == fkey else [0.0] * len(value_cols))
-        # recompute the running carry through this partition's edge groups in batch order
-        for r in rows:
-            key = tuple(r[c] for c in gk)
-            vals = [float(r[v]) for v in value_cols]
-            if carry_key == key:
-                carry = [a + b for a, b in zip(carry, vals)] if op == "sum" else [max(a, b) for a, b in zip(carry, vals)]
-            else:
-                carry_key, carry = key, vals
+    for r in sorted(e, key=lambda r: (r["_pid"], r["_pos"])):
+        key, vals = tuple(_key_value(r[c]) for c in gk), [float(r[v]) for v in value_cols]
+        same = carry_key == key
+        if r["_pos"] == 0:
+            offsets[r["_pid"]] = (key, list(carry) if same else [0.0 if op == "sum" else float("-inf")] * len(value_cols))
+        carry_key, carry = key, [fold(a, b) for a, b in zip(carry, vals)] if same else vals
     bc = df.sparkSession.sparkContext.broadcast(offsets)   # ≤ one entry per partition
 
     out_schema = s.drop("_pid").schema
@@ -123,7 +136,7 @@ def prefix_scan(df: DataFrame, group_cols, order_cols, value_cols, out_cols=None
     def match(pdf, key):
         m = pd.Series(True, index=pdf.index)
         for c, v in zip(gk, key):
-            m &= pdf[c] == v
+            m &= pdf[c].isna() if v is None else pdf[c] == v
         return m
 
     def scan(it):
@@ -144,7 +157,7 @@ def prefix_scan(df: DataFrame, group_cols, order_cols, value_cols, out_cols=None
                         res.loc[hit, v] = res.loc[hit, v] + state[i]
                     else:
                         res.loc[hit, v] = res.loc[hit, v].clip(lower=state[i])
-            state_key = tuple(pdf[gk].iloc[-1])
+            state_key = tuple(_key_value(v) for v in pdf[gk].iloc[-1])
             state = [float(res[v].iloc[-1]) for v in value_cols]
             pdf = pdf.drop(columns=["_pid"])
             for v, o in zip(value_cols, out_cols):

@@ -63,7 +63,7 @@ def trial_centers(spark: SparkSession, sf_dir: str, k: int, n_trials: int = 10,
     return [[list(rows[t * k + j]["x"]) for j in range(k)] for t in range(n_trials)]
 
 
-def trials(spark: SparkSession, sf_dir: str, k: int = 4, n_trials: int = 10, max_label: int | None = 4) -> DataFrame:
+def trials(spark: SparkSession, sf_dir: str, k: int = 10, n_trials: int = 10, max_label: int | None = None) -> DataFrame:
     """(trial, vec_id, label, pred): each row assigned to the nearest centre of every trial.
     The trial index is a small generated column (bounded by n_trials), not a join."""
     from ..functions.vectors import nearest_center
@@ -89,7 +89,7 @@ def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocab = feats.top_vocabulary(feats.term_statistics(tokens(spark, sf_dir)), VOCAB_SIZE)
     emb = feat(spark, sf_dir)
     n = emb.count()
-    return (vocab.join(F.broadcast(emb.select("vec_id", "x")) if n <= 1_000_000 else emb.select("vec_id", "x"),
+    return (vocab.join(emb.select("vec_id", "x"),
                        F.col("vec_id") == F.col("idx") % F.lit(n))
                  .select(F.col("term").alias("word"), "idx", F.col("x").alias("vec")))
 

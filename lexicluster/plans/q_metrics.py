@@ -1,8 +1,6 @@
 """Queries: contingency tables and clustering scores (AGG-1, AGG-7, AGG-16, EVAL-1…5, WIN-5, TXT-12)."""
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import functions as F
 
 from ..functions.text import format_mean_std
@@ -18,12 +16,8 @@ def _pred10():
     return [feat_cte(), centers_cte(10), pred_cte(10)]
 
 
-def _pred4():
-    return [feat_cte(), centers_cte(4), pred_cte(4)]
-
-
-def sql_scores(src: str, by: str | None = None, k_perm: int | None = None) -> list[str]:
-    """CTEs computing mi/h_label/h_pred/emi (and acc by permutations when k_perm is given) per ``by``."""
+def sql_scores(src: str, by: str | None = None, k: int | None = None) -> list[str]:
+    """CTEs computing mi/h_label/h_pred/emi (and acc by the best matching of k clusters when k is given) per ``by``."""
     g = f"{by}, " if by else ""
     gb = f"GROUP BY {by}" if by else ""
     j = (lambda t: f"USING ({by})") if by else (lambda t: "ON TRUE")
@@ -47,15 +41,18 @@ def sql_scores(src: str, by: str | None = None, k_perm: int | None = None) -> li
         f"THEN least(greatest(h_label, h_pred) - emi, -2.220446049250313e-16) ELSE greatest(greatest(h_label, h_pred) - emi, "
         f"2.220446049250313e-16) END END AS ami FROM mi JOIN ha {j('ha')} JOIN hb {j('hb')} JOIN emi {j('emi')})",
     ]
-    if k_perm:
-        perms = list(itertools.permutations(range(k_perm)))
-        ptab = "(VALUES " + ", ".join("(" + ", ".join(str(x) for x in p) + ")" for p in perms) + ") AS perm(" + \
-               ", ".join(f"p{i}" for i in range(k_perm)) + ")"
-        match = " OR ".join(f"(ct.pred = {i} AND ct.label = p{i})" for i in range(k_perm))
-        pcols = ", ".join(f"p{i}" for i in range(k_perm))
-        ctes.append(f"pm AS (SELECT {('ct.' + by + ', ') if by else ''}{pcols}, sum(CASE WHEN {match} THEN n ELSE 0 END) AS s "
-                    f"FROM ct, {ptab} GROUP BY {g}{pcols})")
-        ctes.append(f"acc AS (SELECT {('pm.' + by + ', ') if by else ''}max(s) / max(tot.N) AS acc FROM pm JOIN tot {j('tot')} {('GROUP BY pm.' + by) if by else ''})")
+    if k:
+        # Best one-to-one matching: clusters in turn, over the sets of labels already taken.
+        one = f"{by}, " if by else ""
+        on = f"ct.{by} = d.{by} AND " if by else ""
+        got = f"d.{by}, " if by else ""
+        ctes.append(f"d0 AS (SELECT {one}CAST(0 AS BIGINT) AS mask, CAST(0 AS HUGEINT) AS s, CAST([] AS INTEGER[]) AS path FROM tot)")
+        for i in range(k):
+            ctes.append(f"d{i + 1} AS (SELECT {one}mask, max(s) AS s, arg_max(path, s) AS path FROM (SELECT {got}d.mask | (1 << l) AS mask, "
+                        f"d.s + coalesce(ct.n, 0) AS s, list_append(d.path, CAST(l AS INTEGER)) AS path FROM d{i} d "
+                        f"JOIN (SELECT unnest(range({k})) AS l) t ON (d.mask & (1 << l)) = 0 "
+                        f"LEFT JOIN ct ON {on}ct.pred = {i} AND ct.label = l) GROUP BY {one}mask)")
+        ctes.append(f"acc AS (SELECT {one}s / N AS acc, path FROM d{k} JOIN tot {j('tot')})")
     return ctes
 
 
@@ -64,17 +61,16 @@ def q_contingency(spark, sf_dir):
     return M.contingency_table(fx.pred(spark, sf_dir))
 
 
-@register("clustering_accuracy", lambda: with_(*_pred4(), *sql_scores("pred", None, 4)) + "SELECT round(acc, 6) AS acc FROM acc")
+@register("clustering_accuracy", lambda: with_(*_pred10(), *sql_scores("pred", None, 10)) + "SELECT round(acc, 6) AS acc FROM acc")
 def q_accuracy(spark, sf_dir):
-    a = M.clustering_accuracy(fx.pred(spark, sf_dir, 4))
+    a = M.clustering_accuracy(fx.pred(spark, sf_dir))
     return a.select(F.round("acc", 6).alias("acc"))
 
 
-@register("align_labels", lambda: with_(*_pred4(), *sql_scores("pred", None, 4)) +
-          "SELECT CAST(unnest([0, 1, 2, 3]) AS INTEGER) AS pred, CAST(unnest([p0, p1, p2, p3]) AS INTEGER) AS aligned_label "
-          "FROM (SELECT * FROM pm ORDER BY s DESC, p0, p1, p2, p3 LIMIT 1)")
+@register("align_labels", lambda: with_(*_pred10(), *sql_scores("pred", None, 10)) +
+          "SELECT CAST(generate_subscripts(path, 1) - 1 AS INTEGER) AS pred, unnest(path) AS aligned_label FROM acc")
 def q_align(spark, sf_dir):
-    return M.align_labels(fx.pred(spark, sf_dir, 4))
+    return M.align_labels(fx.pred(spark, sf_dir))
 
 
 @register("normalized_mutual_information", lambda: with_(*_pred10(), *sql_scores("pred")) + "SELECT round(nmi, 6) AS nmi FROM sc")
@@ -93,24 +89,24 @@ def q_label_acc(spark, sf_dir):
     return M.label_accuracy(fx.pred(spark, sf_dir)).select(F.round("label_acc", 6).alias("label_acc"))
 
 
-@register("label_change_rate", lambda: with_(feat_cte(), trials_cte(4, 10, 4)) +
+@register("label_change_rate", lambda: with_(feat_cte(), trials_cte()) +
           "SELECT round(avg(CASE WHEN a.pred <> b.pred THEN 1.0 ELSE 0.0 END), 6) AS change_rate "
           "FROM trials a JOIN trials b ON a.vec_id = b.vec_id AND a.trial = 0 AND b.trial = 1")
 def q_change_rate(spark, sf_dir):
-    t = fx.trials(spark, sf_dir, 4, 10, 4)
+    t = fx.trials(spark, sf_dir)
     r = M.label_change_rate(t.filter("trial = 0"), t.filter("trial = 1"), "vec_id", "pred")
     return r.select(F.round("change_rate", 6).alias("change_rate"))
 
 
 def _trial_metrics_sql():
-    return [feat_cte(), trials_cte(4, 10, 4), *sql_scores("trials", "trial", 4),
+    return [feat_cte(), trials_cte(), *sql_scores("trials", "trial", 10),
             "tm AS (SELECT trial, acc, nmi, ami FROM acc JOIN sc USING (trial))"]
 
 
 @register("trial_metrics", lambda: with_(*_trial_metrics_sql()) +
           "SELECT trial, round(acc, 6) AS acc, round(nmi, 6) AS nmi, round(ami, 6) AS ami FROM tm")
 def q_trial_metrics(spark, sf_dir):
-    t = fx.trials(spark, sf_dir, 4, 10, 4).persist()
+    t = fx.trials(spark, sf_dir).persist()
     s = M.cluster_scores(t, by=["trial"])
     return s.select("trial", *[F.round(c, 6).alias(c) for c in ("acc", "nmi", "ami")])
 
@@ -121,7 +117,7 @@ def q_trial_metrics(spark, sf_dir):
           "round(avg(ami), 6) AS ami_mean, round(stddev_pop(ami), 6) AS ami_std, round(max(ami), 6) AS best_ami, "
           "CAST(arg_max(trial, struct_pack(a := acc, t := -trial)) AS INTEGER) AS best_trial FROM tm")
 def q_trial_summary(spark, sf_dir):
-    t = fx.trials(spark, sf_dir, 4, 10, 4).persist()
+    t = fx.trials(spark, sf_dir).persist()
     s = M.cluster_scores(t, by=["trial"])
     out = trial_summary(s, [])
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns if c != "best_trial"], "best_trial")
@@ -130,7 +126,7 @@ def q_trial_summary(spark, sf_dir):
 @register("best_trial_so_far", lambda: with_(*_trial_metrics_sql()) +
           "SELECT trial, acc > coalesce(max(acc) OVER (ORDER BY trial ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS kept FROM tm")
 def q_best_so_far(spark, sf_dir):
-    t = fx.trials(spark, sf_dir, 4, 10, 4).persist()
+    t = fx.trials(spark, sf_dir).persist()
     s = M.cluster_scores(t, by=["trial"]).withColumn("run", F.lit(0))
     return W.best_trial_so_far(s, ["run"], "trial", "acc").select("trial", "kept")
 
@@ -140,6 +136,6 @@ def q_best_so_far(spark, sf_dir):
           "printf('$%.2f\\pm%.2f\\%%$', avg(nmi) * 100, stddev_pop(nmi) * 100) || ' | ' || "
           "printf('$%.2f\\pm%.2f\\%%$', avg(ami) * 100, stddev_pop(ami) * 100) AS report FROM tm")
 def q_format(spark, sf_dir):
-    t = fx.trials(spark, sf_dir, 4, 10, 4).persist()
+    t = fx.trials(spark, sf_dir).persist()
     s = trial_summary(M.cluster_scores(t, by=["trial"]), [])
     return s.select(format_mean_std([("acc_mean", "acc_std"), ("nmi_mean", "nmi_std"), ("ami_mean", "ami_std")]).alias("report"))

@@ -36,15 +36,15 @@ def _tfidf_data(spark, sf_dir):
 
 @register("kmeans")
 def q_kmeans(spark, sf_dir):
-    """ML-6 on TF-IDF documents, k = 4, one restart: every row sits at its nearest centre."""
+    """ML-6 on TF-IDF documents, k = 4, best of 10 restarts: every row sits at its nearest centre."""
     data, vocab = _tfidf_data(spark, sf_dir)
-    Cs, inertia, its = kmeans_runs(data, 4, 1, "doc_id", None, "idx", "val", len(vocab.terms), seed=0)
+    Cs, inertia, its = kmeans_runs(data, 4, 10, "doc_id", None, "idx", "val", len(vocab.terms), seed=0)
     from ..operators.kmeans_runs import assign_runs
-    pred = assign_runs(data, Cs, [0], "doc_id", None, "idx", "val", len(vocab.terms)).persist()
+    pred = assign_runs(data, Cs, [int(np.argmin(inertia))], "doc_id", None, "idx", "val", len(vocab.terms)).persist()
     n = pred.count()
     sizes = pred.groupBy("pred").count().collect()
     return _props(spark, [("rows", n), ("sizes_sum", sum(r["count"] for r in sizes)), ("clusters", len(sizes)),
-                          ("iterations", its), ("inertia", round(float(inertia[0]), 6))])
+                          ("iterations", its), ("inertia", round(float(inertia.min()), 6))])
 
 
 @register("kmeans_embeddings")
@@ -208,10 +208,10 @@ def q_dec_gradient(spark, sf_dir):
 
 @register("dec_refine")
 def q_dec_refine(spark, sf_dir):
-    """ML-14, 20 steps from the fixed centres: the BCE loss does not increase overall."""
+    """ML-14, up to 20 steps from k-means centres: the BCE loss does not increase overall."""
     f = fx.feat(spark, sf_dir).withColumnRenamed("vec_id", "id")
     m = []
-    DP.dec_refine(f, fx.fixed_centers(spark, sf_dir), max_steps=20, update_interval=10, tol=0.0, lr=1e-3, metrics=m)
+    DP.dec_refine(f, _kmeans_start(f, "x"), max_steps=20, update_interval=10, tol=1e-3, lr=1e-3, metrics=m)
     losses = [v for k, _, v in m if k == "bce_loss"]
     return _props(spark, [("steps", len(losses)), ("loss_first", round(losses[0], 9)), ("loss_last", round(losses[-1], 9)),
                           ("loss_not_increased", losses[-1] <= losses[0] + 1e-12)])
@@ -228,14 +228,13 @@ def q_ae_fit(spark, sf_dir):
 
 @register("idec_fit")
 def q_idec(spark, sf_dir):
-    """ML-15 (IDEC, use_ae) for 10 steps from the tiny network and its hidden label means."""
+    """ML-15 (IDEC, use_ae) for up to 10 steps from the tiny network and k-means on its codes."""
     f = fx.feat(spark, sf_dir).withColumnRenamed("vec_id", "id")
     net = _tiny_net()
-    h = DP.autoencoder_encode(f.select("id", "label", "x"), net, "x", "h", ["id", "label"])
-    c0 = C.centers_to_list(C.label_centroids(h, fx.N_LABELS, "h", "label"), fx.N_LABELS)
+    c0 = _kmeans_start(DP.autoencoder_encode(f.select("id", "x"), net, "x", "h", ["id"]), "h")
     m = []
     net2, c1 = DP.idec_fit(f, net, c0, max_steps=10, update_interval=5, lr=1e-3, metrics=m)
-    losses = [v for _, _, v in m]
+    losses = [v for k, _, v in m if k == "loss"]
     return _props(spark, [("steps", len(losses)), ("loss_not_increased", losses[-1] <= losses[0] + 1e-12)])
 
 
@@ -316,21 +315,32 @@ def q_stream_kmeans(spark, sf_dir):
     return spark.createDataFrame(rows, "center_id int, dim int, value double")
 
 
-def _hidden_start(spark, sf_dir):
+def _kmeans_start(h, x_col, n_init: int = 20):
+    """Centres of the best of ``n_init`` k-means restarts (no label is read)."""
+    Cs, inertia, _ = kmeans_runs(h.select("id", x_col), fx.N_LABELS, n_init, "id", x_col, seed=0)
+    return Cs[int(np.argmin(inertia))].tolist()
+
+
+def _hidden_start(spark, sf_dir, seeds=None):
+    """Features, network and centres: of k-means, or the seeds' own centroids."""
     f = fx.feat(spark, sf_dir).withColumnRenamed("vec_id", "id")
     net = DP.autoencoder([64, 32, 8], seed=0)
-    h = DP.autoencoder_encode(f.select("id", "label", "x"), net, "x", "h", ["id", "label"])
-    c0 = C.centers_to_list(C.label_centroids(h, fx.N_LABELS, "h", "label"), fx.N_LABELS)
-    return f, net, c0
+    h = DP.autoencoder_encode(f.select("id", "x"), net, "x", "h", ["id"])
+    if seeds is None:
+        return f, net, _kmeans_start(h, "h")
+    seeded = h.join(seeds.select("id", "label"), "id")
+    return f, net, C.centers_to_list(C.label_centroids(seeded, fx.N_LABELS, "h", "label"), fx.N_LABELS)
 
 
 def _dcn_props(spark, sf_dir, **kw):
-    f, net, c0 = _hidden_start(spark, sf_dir)
+    f, net, c0 = _hidden_start(spark, sf_dir, kw.get("seeds"))
     m = []
     net2, c1, pred = DP.dcn_fit(f, net, c0, epochs=4, lr=0.05, metrics=m, **kw)
     losses = [v for _, _, v in m]
     r = pred.agg(F.count(F.lit(1)).alias("n"), F.min("pred").alias("lo"), F.max("pred").alias("hi")).first()
-    return _props(spark, [("epochs", len(losses)), ("rows", r["n"]), ("pred_in_range", 0 <= r["lo"] and r["hi"] < fx.N_LABELS),
+    off = [] if kw.get("seeds") is None else [
+        ("seeds_off_label", pred.join(kw["seeds"], "id").where("pred <> label").count())]
+    return _props(spark, [*off, ("epochs", len(losses)), ("rows", r["n"]), ("pred_in_range", 0 <= r["lo"] and r["hi"] < fx.N_LABELS),
                           ("loss_first", round(losses[0], 9)), ("loss_last", round(losses[-1], 9))])
 
 

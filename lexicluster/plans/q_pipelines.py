@@ -1,4 +1,4 @@
-"""Queries: experiment compositions (PIPE-2, PIPE-4, PIPE-12, PIPE-15)."""
+"""Queries: experiment compositions (PIPE-2…4, PIPE-9, PIPE-12…15)."""
 from __future__ import annotations
 
 import numpy as np
@@ -8,15 +8,20 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import aggregates as A
 from ..operators import clustering as C
+from ..operators import features as feats
 from ..operators import metrics as M
 from ..operators import windows as W
 from ..operators.experiments import trial_summary
+from ..operators.explain import explain_by_count
+from ..operators.filters import lookup_run
 from ..operators.joins import token_vectors
 from ..operators.kmeans_runs import assign_runs, kmeans_runs
 from ..session import shared_path, table
 from ..sources import readers as R
 from ..sources import writers as S
 from . import fixtures as fx
+from .flagship import kmeans_trials
+from .q_features import MAX_FEATURES, _tfidf_sql
 from .q_sources import TRIM_SQL, _summary_rows, _summary_sql
 from .q_text import sql_clean_answers, sql_tokenize_rejoin
 from .registry import register
@@ -62,10 +67,19 @@ def q_result_report(spark, sf_dir):
 TRANSFORMS = {"i": V.identity_transform, "ln": V.layer_norm, "norm": V.l2_normalize}
 
 
+def _trials(d, k=4, n_trials=10, n_init=10):
+    """Summary row of ``n_trials`` k-means trials (best of ``n_init`` each) on (id, label, x)."""
+    preds = kmeans_trials(d, k, n_trials, n_init, "id", "x", seed=11)
+    s = trial_summary(M.cluster_scores(preds, by=["trial"]), []).first()
+    preds.unpersist()
+    d.unpersist()
+    return s
+
+
 @register("pooled_embedding_kmeans")
 def q_pooled_kmeans(spark, sf_dir):
     """PIPE-2: token vectors pooled per document (mean / max) × transform (identity / layer norm /
-    L2) → k-means (k = 4, 2 trials × 2 restarts, all runs in shared passes) → scores vs labels."""
+    L2) → k-means (k = 4, 10 trials × 10 restarts, all runs in shared passes) → scores vs labels."""
     tv = token_vectors(fx.token_rows(spark, sf_dir), fx.word_vectors(spark, sf_dir), "token", fx.VOCAB_SIZE)
     labels = fx.corpus(spark, sf_dir).select("doc_id", "label")
     out = []
@@ -73,10 +87,7 @@ def q_pooled_kmeans(spark, sf_dir):
         pooled = A.pool_tokens(tv, pool, "doc_id", "pos", "vec").join(labels, "doc_id").persist()
         for name, fn in TRANSFORMS.items():
             d = pooled.select(F.col("doc_id").alias("id"), "label", fn("vec").alias("x")).filter(F.col("x").isNotNull()).persist()
-            Cs, inertia, _ = kmeans_runs(d, 4, 4, "id", "x", seed=11)
-            best = [t * 2 + int(np.argmin(inertia[t * 2:(t + 1) * 2])) for t in range(2)]
-            preds = assign_runs(d, Cs[best], [0, 1], "id", "x", keep=["label"]).withColumnRenamed("run", "trial")
-            s = trial_summary(M.cluster_scores(preds, by=["trial"]), []).first()
+            s = _trials(d)
             out.append((pool, name, float(s["acc_mean"]), float(s["nmi_mean"]), float(s["ami_mean"])))
     return spark.createDataFrame(out, "pool string, transform string, acc_mean double, nmi_mean double, ami_mean double")
 
@@ -97,3 +108,76 @@ def q_pca_sweep(spark, sf_dir):
         p = assign_runs(d, Cs[[int(np.argmin(inertia))]], [0], "id", "z", keep=["label"])
         rows.append((n, True, float(M.normalized_mutual_information(p).first()["nmi"])))
     return spark.createDataFrame(rows, "n_components int, feasible boolean, nmi double")
+
+
+def _sentence_vectors(spark, sf_dir, docs=None):
+    """(doc_id, vec): mean of the sentence means of the word vectors (ML-4)."""
+    c = fx.corpus(spark, sf_dir) if docs is None else docs
+    sent = c.select("doc_id", F.posexplode(T.split_sentences("text")).alias("sent_no", "s"))
+    tok = sent.select("doc_id", "sent_no", F.posexplode(T.vectorizer_tokens("s")).alias("pos", "token"))
+    tv = token_vectors(tok, fx.word_vectors(spark, sf_dir), "token", fx.VOCAB_SIZE)
+    return A.pool_sentences(tv, "doc_id", "sent_no", "vec")
+
+
+def _sentence_trials(spark, sf_dir, docs):
+    pooled = _sentence_vectors(spark, sf_dir, docs).join(docs.select("doc_id", "label"), "doc_id").persist()
+    out = []
+    for name, fn in TRANSFORMS.items():
+        d = pooled.select(F.col("doc_id").alias("id"), "label", fn("vec").alias("x")).filter(F.col("x").isNotNull()).persist()
+        n = d.count()
+        s = _trials(d)
+        out.append((name, n, float(s["acc_mean"]), float(s["nmi_mean"]), float(s["ami_mean"]), float(s["best_acc"])))
+    pooled.unpersist()
+    return spark.createDataFrame(out, "transform string, rows long, acc_mean double, nmi_mean double, ami_mean double, best_acc double")
+
+
+@register("sentence_embedding_kmeans")
+def q_sentence_kmeans(spark, sf_dir):
+    """PIPE-3: sentence embeddings × transform → k-means (10 trials × 10 restarts) → scores."""
+    return _sentence_trials(spark, sf_dir, fx.corpus(spark, sf_dir))
+
+
+@register("unequal_class_kmeans")
+def q_unequal_kmeans(spark, sf_dir):
+    """PIPE-9: the sample with 50 + 25·c rows of class c (classes smaller than that give all their
+    rows) → the run of PIPE-3."""
+    sample = W.stratified_sample(fx.corpus(spark, sf_dir), "doc_id", "label", F.lit(50) + F.lit(25) * F.col("label"), seed=42, strict=False)
+    return _sentence_trials(spark, sf_dir, sample.persist())
+
+
+@register("feature_dump", _tfidf_sql)
+def q_feature_dump(spark, sf_dir):
+    """PIPE-13: TF-IDF fitted on the corpus, one dump for each half of the ids (train, test), read
+    back together."""
+    long = feats.tfidf_long(fx.tokens(spark, sf_dir), MAX_FEATURES)
+    p = shared_path(spark, "feature_dump")
+    for name, part in (("train", F.col("doc_id") % 2 == 0), ("test", F.col("doc_id") % 2 != 0)):
+        long.where(part).write.mode("overwrite").parquet(f"{p}/{name}")
+    back = spark.read.schema(long.schema).parquet(f"{p}/train", f"{p}/test")
+    return back.withColumn("tfidf", F.round("tfidf", 6))
+
+
+def _report_sql():
+    from .q_relational import _top_words_sql
+    from .sqlparts import explain_tokens_cte
+    return (with_(corpus_cte(), explain_tokens_cte(), _top_words_sql(10)) +
+            "SELECT 'embeddings' AS corpora, 'fixed' AS feat_name, cluster, array_to_string(list(word ORDER BY rank), ' ') AS words "
+            "FROM tw GROUP BY cluster")
+
+
+@register("explanation_report", _report_sql)
+def q_explanation_report(spark, sf_dir):
+    """PIPE-14 (count branch): the first stored run of a feature (FLT-8) → its clusters' 10 most
+    frequent words (EVAL-11) → SNK-7 → re-read."""
+    runs = shared_path(spark, "runs")
+    S.append_run_result(_summary_rows(spark, sf_dir), runs)
+    run = lookup_run(spark.read.schema(R.RESULT_SCHEMA.replace(", _corrupt_record STRING", "")).json(runs), "corpora", feat_name="fixed")
+    r = explain_by_count(fx.explain_tokens(spark, sf_dir), 10, "tokens", "label")
+    lists = r.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda s: s["word"]).alias("words"))
+    # One record a run: at most 10 words for each of the clusters.
+    rec = lists.agg(F.transform(F.array_sort(F.collect_list(F.struct("cluster", "words"))), lambda s: s["words"]).alias("result")) \
+        .withColumn("feat_name", F.lit("fixed")).join(run.select("corpora", "feat_name"), "feat_name").withColumn("label", F.lit("count"))
+    p = shared_path(spark, "report")
+    S.append_interpretation(rec, p)
+    return spark.read.parquet(p).select("corpora", "feat_name", F.posexplode("result").alias("cluster", "w")) \
+        .select("corpora", "feat_name", F.col("cluster").cast("int"), F.array_join("w", " ").alias("words"))

@@ -441,10 +441,10 @@ def q_densify(spark, sf_dir):
           "(SELECT source, row_number() OVER (ORDER BY source) - 1 AS idx FROM (SELECT DISTINCT source FROM documents)) m USING (source)")
 def q_map_topic(spark, sf_dir):
     """VEC-10: name → dense class index through the name→index map (a dimension of distinct names)."""
+    from ..operators.windows import global_index
     d = table(spark, sf_dir, "documents")
-    names = [r["source"] for r in d.select("source").distinct().orderBy("source").collect()]   # distinct names: a dimension
-    m = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
-    return d.select("doc_id", F.element_at(m, F.col("source")).cast("int").alias("source_idx"))
+    index = global_index(d.select("source").where("source IS NOT NULL").distinct(), ["source"], "idx")
+    return d.join(index, "source").select("doc_id", F.col("idx").cast("int").alias("source_idx"))
 
 
 @register("word_vector_doc_embedding", lambda: ORACLE_POOL_SENTENCES())

@@ -133,7 +133,7 @@ def _word_vectors(spark, sf_dir):
     vocab = feats.top_vocabulary(feats.term_statistics(tok), 2000)
     emb = fx.feat(spark, sf_dir)
     n = emb.count()
-    return vocab.join(F.broadcast(emb.select("vec_id", "x")), F.col("vec_id") == F.col("idx") % F.lit(n)) \
+    return vocab.join(emb.select("vec_id", "x"), F.col("vec_id") == F.col("idx") % F.lit(n)) \
                 .select(F.col("term").alias("word"), "idx", "x")
 
 
@@ -175,9 +175,9 @@ def q_scan_wv_top_k(spark, sf_dir):
 def _summary_rows(spark, sf_dir):
     from ..operators import metrics as M
     from ..operators.experiments import trial_summary
-    t = fx.trials(spark, sf_dir, 4, 10, 4).persist()
+    t = fx.trials(spark, sf_dir).persist()
     s = trial_summary(M.cluster_scores(t, by=["trial"]), [])
-    return s.select(F.lit("embeddings").alias("corpora"), F.lit("fixed").alias("feat_name"), F.lit(4).alias("n_topics"),
+    return s.select(F.lit("embeddings").alias("corpora"), F.lit("fixed").alias("feat_name"), F.lit(10).alias("n_topics"),
                     "best_acc", "best_nmi", F.col("best_ami").alias("best_ari"), "acc_mean", "acc_std",
                     "nmi_mean", "nmi_std", F.col("ami_mean").alias("ari_mean"), F.col("ami_std").alias("ari_std"))
 
@@ -185,7 +185,7 @@ def _summary_rows(spark, sf_dir):
 def _summary_sql():
     from .q_metrics import _trial_metrics_sql
     return with_(*_trial_metrics_sql()) + (
-        "SELECT 'embeddings' AS corpora, 'fixed' AS feat_name, 4 AS n_topics, round(max(acc), 6) AS best_acc, "
+        "SELECT 'embeddings' AS corpora, 'fixed' AS feat_name, 10 AS n_topics, round(max(acc), 6) AS best_acc, "
         "round(max(nmi), 6) AS best_nmi, round(max(ami), 6) AS best_ari FROM tm")
 
 

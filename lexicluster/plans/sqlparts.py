@@ -54,7 +54,7 @@ def pred_cte(max_label: int = 10, name: str = "pred", centers: str = "centers")
             f"FROM feat f, {centers} c WHERE f.label < {max_label}) GROUP BY vec_id, label, x)")
 
 
-def trials_cte(k: int = 4, n_trials: int = 10, max_label: int = 4) -> str:
+def trials_cte(k: int = 10, n_trials: int = 10, max_label: int = 10) -> str:
     return (f"tc AS (SELECT CAST((rn - 1) // {k} AS INTEGER) AS trial, CAST((rn - 1) % {k} AS INTEGER) AS center_id, x AS center "
             f"FROM (SELECT x, row_number() OVER (ORDER BY {shuffle_key('vec_id')}, vec_id) AS rn FROM feat "
             f"WHERE label < {max_label}) WHERE rn <= {k * n_trials}),\n"

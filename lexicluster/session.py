@@ -39,15 +39,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     cur = sc.getCheckpointDir()
     if cur:
         return cur
-    conf = sc.getConf().get("spark.checkpoint.dir", None)
-    base = conf or tempfile.mkdtemp(prefix="lexicluster-ckpt-")
+    base = sc.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="lexicluster-ckpt-")
     sc.setCheckpointDir(base)
     return sc.getCheckpointDir()
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared checkpoint directory (never a machine-local temp dir
-    unless the session itself was configured with one)."""
+    """A fresh path under the shared checkpoint directory."""
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/lexicluster/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -59,11 +61,5 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan one driver table.  A table that fits in fewer scan splits than the cluster has cores
-    (a single small file) is spread round-robin so CPU-bound text work is parallel; a large
-    table already has at least that many splits and is left exactly as scanned."""
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
-    return df
+    """Scan one driver table, split as the files are."""
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

@@ -7,6 +7,7 @@ is skipped, so the sink is idempotent; the stream's progress lives in its checkp
 """
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +19,11 @@ STATE_SCHEMA = "batch_id long, center_id int, n long, center array<double>"
 def _latest_state(spark: SparkSession, state_path: str, initial, counts):
     try:
         st = spark.read.schema(STATE_SCHEMA).parquet(state_path)
-        last = st.agg(F.max("batch_id")).first()[0]
-    except Exception:
-        last = None
+        last = st.agg(F.max("batch_id")).first()[0]           # a partition column: no file is read
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        last = None                                           # nothing has been written yet
     if last is None:
         return -1, [list(c) for c in initial], list(counts)
     rows = st.filter(F.col("batch_id") == last).collect()              # K rows
@@ -48,7 +51,7 @@ def online_kmeans_stream(spark: SparkSession, stream: DataFrame, initial, counts
                 rows.append((batch_id, k, n[k] + m, [(n[k] * c + s) / (n[k] + m) for c, s in zip(cur[k], sx)]))
             else:
                 rows.append((batch_id, k, n[k], cur[k]))
-        spark.createDataFrame(rows, STATE_SCHEMA).write.mode("append").parquet(state_path)
+        spark.createDataFrame(rows, STATE_SCHEMA).write.mode("append").partitionBy("batch_id").parquet(state_path)
 
     q = (stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint_path)
          .trigger(availableNow=True).start())
