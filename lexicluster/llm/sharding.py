@@ -57,7 +57,9 @@ def propagate(linked: DataFrame, quota: DataFrame, max_rounds: int = 40) -> Data
         best = held.join(F.broadcast(open_), "shard").groupBy("link").agg(
             F.max_by("shard", F.struct("n", F.xxhash64("link", "shard"))).alias("want"))
         spread = held.groupBy("link").agg(F.count("*").alias("parts")).where("parts > 1")
-        goal = best.join(spread, "link", "left_semi")
+        # Written, as ``many`` below: a join of two plain exchanges is one that Spark splits where a
+        # link has many documents.
+        goal = written(best.join(spread, "link", "left_semi"), "goals")
         full = F.broadcast(load.where("free <= 0").select(F.col("shard").alias("_full")))
         # A shard that is already full keeps what it has.
         wish = linked.join(goal, "link").where("shard <> want") \
@@ -87,7 +89,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     spark = docs.sparkSession
     quota = spark.range(shards).select(F.col("id").cast("int").alias("shard")) \
         .withColumn("quota", _quotas(n, shards).cast("long"))
-    many = rows.groupBy("link").agg(F.count("*").alias("n")).where("n > 1").select("link")
+    many = written(rows.groupBy("link").agg(F.count("*").alias("n")).where("n > 1").select("link"), "links")
     linked = rows.join(many, "link", "left_semi").select(
         "row", "link", "h", F.pmod("h", F.lit(shards)).cast("int").alias("shard"))
     linked = propagate(written(linked, "linked"), quota)
