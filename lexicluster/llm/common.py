@@ -45,7 +45,7 @@ def id_bucket(col: str, n: int = 5) -> Column:
 
 
 def map_rows(df: DataFrame, schema: str, rows: Callable[[Iterator[dict]], Iterator[dict]],
-             flush_rows: int = 4096, flush_bytes: int = 16 << 20) -> DataFrame:
+             flush_rows: int = 1024, flush_bytes: int = 8 << 20) -> DataFrame:
     """``mapInArrow`` with column dictionaries: ``rows`` takes an iterator of ``{column: list}``
     batches and yields ``{column: sequence}`` batches."""
     empty = df.sparkSession.createDataFrame([], schema)
