@@ -33,10 +33,14 @@ class Table:
         self.symbols, self.freq = symbols.astype(np.uint32), freq.astype(np.uint64)
         self.cum = np.concatenate([[0], np.cumsum(self.freq)[:-1]]).astype(np.uint64)
         self.at = np.repeat(np.arange(len(symbols), dtype=np.uint32), freq.astype(np.int64))
+        self.place = np.zeros(int(symbols.max()) + 1 if len(symbols) else 1, np.int32)
+        self.place[symbols] = np.arange(len(symbols), dtype=np.int32)
 
     @classmethod
     def of(cls, ids: np.ndarray) -> "Table":
-        symbols, counts = np.unique(ids, return_counts=True)
+        counts = np.bincount(ids)                                 # at most the vocabulary's size
+        symbols = np.flatnonzero(counts)
+        counts = counts[symbols]
         if len(symbols) > 1 << SCALE:
             raise ValueError(f"a file has {len(symbols)} symbols; the table has room for {1 << SCALE}")
         # Room beyond one slot a symbol is shared by count; the largest symbol takes what is left.
@@ -53,20 +57,23 @@ class Table:
 
 
 def encode_block(ids: np.ndarray, table: Table) -> dict:
-    sym = np.searchsorted(table.symbols, ids).astype(np.int64)
+    sym = table.place[ids]
+    freq, cum = table.freq[sym], table.cum[sym]
+    full_at = freq << np.uint64(63 - SCALE)
     lanes = int(min(LANES, max(1, len(ids) // 64)))
     steps = -(-len(ids) // lanes)
     x = np.full(lanes, _LOW, np.uint64)
     words, sizes, marks = [], np.zeros(steps, np.int64), []
     for s in range(steps - 1, -1, -1):
-        part = sym[s * lanes:(s + 1) * lanes]
-        f, c, y = table.freq[part], table.cum[part], x[:len(part)]
-        full = y >= (f << np.uint64(63 - SCALE))
+        part = slice(s * lanes, (s + 1) * lanes)
+        f, c = freq[part], cum[part]
+        y = x[:len(f)]
+        full = y >= full_at[part]
         words.append((y[full] & np.uint64(0xFFFFFFFF)).astype("<u4"))
         sizes[s] = len(words[-1])
         y = np.where(full, y >> _WORD, y)
         q = y // f
-        x[:len(part)] = (q << np.uint64(SCALE)) + (y - q * f) + c
+        x[:len(f)] = (q << np.uint64(SCALE)) + (y - q * f) + c
         if s % CHECKPOINT_STEPS == 0:
             marks.append((s, x.copy()))
     places = np.concatenate([[0], np.cumsum(sizes)])

@@ -18,6 +18,16 @@ import numpy as np
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _WORDS = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _SPACE = re.compile(f"[{_WS}]")
+# The same characters but for the space and the line end; those in ASCII come first.
+_ODD = "\t\x0b\x0c\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def even(text: str) -> bool:
+    """All white space is single spaces and single line ends between other characters."""
+    if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
+        return False
+    return not any(c in text for c in (_ODD[:4] if text.isascii() else _ODD))
+
 
 
 def worker_cache() -> dict:
@@ -60,7 +70,10 @@ class WordEncoder:
             self.pieces[i] = piece.encode() if piece in self.added else bytes(byte_of[c] for c in piece)
         self.opens = np.array([p[:1] == b" " and p.decode("utf-8", "replace") not in self.added for p in self.pieces])
         self.newline = vocab[chr(256 + rest.index(10))]
-        self.known: dict[str, bytes] = {}
+        self._batch = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
+        self.known: dict[str, bytes] = {}                        # ids of a word
+        self.led: dict[str, bytes] = {}                          # ids of a space and a word
+        self.line_end = self.encode(["\n"])[0].astype("<u4").tobytes()
 
     def split(self, text: str) -> list[str]:
         if self.added_re is None or not self.added_re.search(text):
@@ -80,12 +93,11 @@ class WordEncoder:
             kind = other if not body or w in self.added or (self.added_re and self.added_re.search(w)) or _SPACE.search(body) else led if body is not w else bare
             kind.append(i)
         ids = lambda s: np.array(self.tok.encode(s, add_special_tokens=False).ids, np.uint32)
-        for at in range(0, len(led), step):                      # each word opens with the only space in it
-            part = np.array(led[at:at + step])
-            got = ids("".join([words[i] for i in part]))
-            word = np.cumsum(self.opens[got]) - 1
-            counts[part] = np.bincount(word, minlength=len(part))
-            found.append((part, got))
+        if led:
+            got, n = self._led([words[i][1:] for i in led])
+            led = np.array(led)
+            counts[led] = n
+            found.append((led, got))
         for at in range(0, len(bare), step):                     # a line each
             part = np.array(bare[at:at + step])
             got = ids("\n".join([words[i] for i in part]))
@@ -103,18 +115,58 @@ class WordEncoder:
             out[gather(starts[part], counts[part])] = got
         return out, counts
 
-    def lines(self, texts: list[str], most: int = 300_000) -> list[bytes]:
-        """Ids of whole texts as little-endian uint32, through a table of known words that starts
-        anew when it has grown beyond ``most``."""
-        split = [self.split(t) for t in texts]
-        if len(self.known) > most:
-            self.known.clear()
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        ids, counts = self.encode(new)
+    def _led(self, words: list[str], step: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word) of words without white space, a space in front of each:
+        the piece that opens a word holds the only space in it."""
+        parts, counts = [], []
+        for at in range(0, len(words), step):
+            part = words[at:at + step]
+            got = np.array(self._batch([" " + " ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            counts.append(np.bincount(np.cumsum(self.opens[got]) - 1, minlength=len(part)))
+            parts.append(got)
+        return np.concatenate(parts or [np.zeros(0, np.uint32)]), np.concatenate(counts or [np.zeros(0, np.int64)])
+
+    @staticmethod
+    def _cut(ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
-        known.update(zip(new, [raw[a:b] for a, b in zip([0, *ends], ends)]))
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+    def lines(self, texts: list[str], most: int = 600_000) -> list[bytes]:
+        """Ids of whole texts as little-endian uint32, through tables of known words that start
+        anew when they have grown beyond ``most``.  Where white space is even, a line is cut at its
+        spaces alone."""
+        if len(self.known) + len(self.led) > most:
+            self.known.clear()
+            self.led.clear()
+        known, led = self.known, self.led
+        first: set[str] = set()
+        blank: list[tuple[list, int, str]] = []                   # ids that are still to be filled in
+        rows: list = []
+        for t in texts:
+            if not even(t) or (self.added_re is not None and self.added_re.search(t)):
+                words = self.split(t)
+                first.update([w for w in words if w not in known])
+                rows.append(words)
+                continue
+            lines = []
+            for line in t.split("\n"):
+                words = line.split(" ")
+                if words[0] not in known:
+                    first.add(words[0])
+                got = list(map(led.get, words))
+                got[0] = b""
+                if None in got:
+                    blank += [(got, i, words[i]) for i, x in enumerate(got) if x is None]
+                lines.append((words[0], got))
+            rows.append(lines)
+        new = list(first)
+        known.update(zip(new, self._cut(*self.encode(new))))
+        new = list({w for _, _, w in blank})
+        led.update(zip(new, self._cut(*self._led(new))))
+        for got, i, w in blank:
+            got[i] = led[w]
+        return [self.line_end.join([known[w] + b"".join(got) for w, got in r]) if r and type(r[0]) is tuple
+                else b"".join(map(known.__getitem__, r)) for r in rows]
 
 
 def gather(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
