@@ -131,7 +131,7 @@ class WordEncoder:
         raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
         return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
-    def lines(self, texts: list[str], most: int = 600_000) -> list[bytes]:
+    def lines(self, texts: list[str], most: int = 1_000_000) -> list[bytes]:
         """Ids of whole texts as little-endian uint32, through tables of known words that start
         anew when they have grown beyond ``most``.  Where white space is even, a line is cut at its
         spaces alone."""
