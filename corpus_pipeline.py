@@ -21,7 +21,8 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_model.keep_documents(docs, table(spark, sf_dir, "labels"), threshold=0.3)
+    # The rules leave hardly a document of label 0: the model is fitted on the whole table, with all labels.
+    return quality_model.keep_documents(docs, table(spark, sf_dir, "labels"), threshold=0.3, train=documents(spark, sf_dir), held=-1)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -165,7 +165,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "quality", folds: int = 5, held: int = 0) -> Network:
-    """Train on labelled documents whose crc32(id) mod ``folds`` is not ``held``."""
+    """Train on labelled documents whose crc32(id) mod ``folds`` is not ``held`` (-1: on all)."""
     known = labels.where((id_bucket(id_col, folds) != held) & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()) \
         .groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label_col).cast("double").alias("y"))
     known = known.join(docs.select(F.col(id_col).cast("long").alias("_id")).distinct(), "_id", "left_semi")
@@ -206,9 +206,12 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return map_rows(d, "id long, held_out boolean, score double", rows)
 
 
-def keep_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text_col: str = "text", **options) -> DataFrame:
-    """Documents with a score of at least ``threshold``, with the columns they came with."""
-    sent = docs.sparkSession.sparkContext.broadcast(model(docs, labels, text_col=text_col, **options))
+def keep_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text_col: str = "text",
+                   train: DataFrame | None = None, **options) -> DataFrame:
+    """Documents with a score of at least ``threshold``, with the columns they came with.  Vectors
+    and network are fitted on ``train`` (by default on ``docs``)."""
+    train = docs if train is None else train
+    sent = docs.sparkSession.sparkContext.broadcast(model(train, labels, text_col=text_col, **options))
     at = docs.columns.index(text_col)
 
     def run(batches):
