@@ -117,8 +117,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = fp.groupBy("fp").agg(F.min("id").alias("least"))
     edges = written(links(distinct.select("fp"), max_distance), "pairs")
     degree = edges.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
-    roots = components(edges).withColumnsRenamed({"v": "fp"}).join(degree, "fp")
-    named = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    # A root is no vertex of its own star: its links come by a join of their own.
+    roots = components(edges).withColumnsRenamed({"v": "fp"})
+    named = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")).join(degree, "fp", "left")
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     classes = named.join(least, "root").select("fp", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return fp.join(classes, "fp").select("id", "fp", "component", "n_links")

@@ -1,9 +1,10 @@
 """Cases of the second advice: whole jobs against brute force."""
+import collections
 import re
 
 from pyspark.sql import functions as F
 
-from lexicluster.llm import quality_model, quality_rules
+from lexicluster.llm import quality_model, quality_rules, simhash
 
 SF = "/root/testdata/sf0.01"
 
@@ -32,3 +33,16 @@ def test_pipeline_classifier_learns_from_the_whole_table(spark, tmp_path):
     assert one[0].doc_id in passed and scores[one[0].doc_id] < 0.3
     assert sorted(r.doc_id for r in got.collect()) == sorted(i for i in passed if scores[i] >= 0.3)
     assert got.columns == whole.columns
+
+
+def test_links_of_a_root(spark):
+    """``n_links`` of every fingerprint, the smallest of its component included."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    words = " ".join(f"w{i}" for i in range(80))
+    near = [(10 ** 6 + i, words + t) for i, t in enumerate(["", "", " a", " b", " c", " d", " e a"])]
+    got = simhash.near_duplicates(d.unionByName(spark.createDataFrame(near, d.schema))).collect()
+    fps = {r.fp & (2 ** 64 - 1) for r in got}
+    want = {a: sum(0 < (a ^ b).bit_count() <= 3 for b in fps) for a in fps}
+    assert all(r.n_links == want[r.fp & (2 ** 64 - 1)] for r in got)
+    linked = collections.Counter(r.component for r in got if r.n_links)
+    assert linked and min(want.values()) == 0 < max(want.values())
