@@ -139,9 +139,9 @@ def q_sentence_kmeans(spark, sf_dir):
 
 @register("unequal_class_kmeans")
 def q_unequal_kmeans(spark, sf_dir):
-    """PIPE-9: the sample with 50 + 25·c rows of class c (classes smaller than that give all their
+    """PIPE-9: the sample with 500 + 500·c rows of class c (classes smaller than that give all their
     rows) → the run of PIPE-3."""
-    sample = W.stratified_sample(fx.corpus(spark, sf_dir), "doc_id", "label", F.lit(50) + F.lit(25) * F.col("label"), seed=42, strict=False)
+    sample = W.stratified_sample(fx.corpus(spark, sf_dir), "doc_id", "label", F.lit(500) + F.lit(500) * F.col("label"), seed=42, strict=False)
     return _sentence_trials(spark, sf_dir, sample.persist())
 
 
