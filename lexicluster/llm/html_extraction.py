@@ -32,8 +32,11 @@ TRAIN_PAGES, TRAIN_CHARS, MADE_PAGES, SEED = 1000, 50_000, 1500, 3
 # Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp "
-                   "small span strike strong sub sup time tt u var wbr".split())
-UNSEEN = frozenset("head script style template noscript svg math iframe object canvas title textarea select option audio video".split())
+                   "small span strike strong sub sup time tt u var wbr "
+                   "math annotation annotation-xml maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom "
+                   "mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
+IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
+UNSEEN = frozenset("head script style template noscript svg iframe object canvas title textarea select option audio video".split())
 CLOSED_BY = {"p": frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr "
                             "main menu nav ol p pre section table ul li dd dt td th tr".split()),
              "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]),
@@ -82,6 +85,8 @@ class _Tree(HTMLParser):
         del self.stack[at:]
 
     def handle_starttag(self, tag, attrs):
+        if tag not in IN_HEAD and self.stack and self.stack[-1][0] == "head":    # an unclosed head
+            self._pop_to(len(self.stack) - 1)
         if tag in ("br", "hr"):
             self._text(" ")
         if tag in VOID:

@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from lexicluster.llm import quality_model, quality_rules, simhash
+from lexicluster.llm import html_extraction, quality_model, quality_rules, simhash
 
 SF = "/root/testdata/sf0.01"
 
@@ -56,3 +56,18 @@ def test_unequal_classes_follow_the_schedule(spark, monkeypatch):
     sizes = {r.label: r["count"] for r in fixtures.corpus(spark, sf).where("label IS NOT NULL").groupBy("label").count().collect()}
     got = {r.label: r["count"] for r in q_pipelines.q_unequal_kmeans(spark, sf).groupBy("label").count().collect()}
     assert len(sizes) == 4 and got == {c: min(500 + 500 * c, n) for c, n in sizes.items()}
+
+
+def test_html_open_head_and_math(spark):
+    """A head ends at the first tag that can't stand in it, and formulas are text of their block."""
+    body = ("<article><h1>A heading</h1><p>First paragraph of the main text, where <math><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow></math> "
+            "holds, with several words.</p><p>Second paragraph, with some more words as well.</p></article>")
+    want = ("A heading First paragraph of the main text, where x=2 holds, with several words. "
+            "Second paragraph, with some more words as well.")
+    head = "<head><title>T</title><meta name=a><style>p{}</style>"
+    pages = [f"<html>{head}</head><body>{body}</body></html>", f"<html>{head}{body}", f"{head}{body}</html>",
+             f"<html>{head}<img src=x>{body}"]
+    d = spark.createDataFrame([(i, "u", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    d = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html").withColumn("page_id", F.col("page_id") + 100).unionByName(d)
+    got = {r.page_id: r.text for r in html_extraction.extract(d).collect()}
+    assert [got[i] for i in range(len(pages))] == [want] * len(pages)
