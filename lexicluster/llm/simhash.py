@@ -16,9 +16,11 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import map_rows, text_bytes, written
 
@@ -109,42 +111,51 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select("u", F.col("v").alias("root")).withColumnRenamed("u", "v")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
-                    max_distance: int = 3) -> DataFrame:
-    """(id, fp, component, n_links): one row per document; ``component`` is the smallest id
-    reachable over links, ``n_links`` the number of other fingerprints linked to this one."""
-    fp = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+def _classes(fp: DataFrame, max_distance: int) -> DataFrame:
+    """(fp, least, root, n_links) of every distinct fingerprint: its smallest id, the smallest
+    fingerprint of its component and the number of fingerprints linked to it."""
     distinct = fp.groupBy("fp").agg(F.min("id").alias("least"))
     edges = written(links(distinct.select("fp"), max_distance), "pairs")
     degree = edges.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
     # A root is no vertex of its own star: its links come by a join of their own.
     roots = components(edges).withColumnsRenamed({"v": "fp"})
-    named = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")).join(degree, "fp", "left")
+    return distinct.join(roots, "fp", "left").join(degree, "fp", "left") \
+        .select("fp", "least", F.coalesce("root", "fp").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+                    max_distance: int = 3) -> DataFrame:
+    """(id, fp, component, n_links): one row per document; ``component`` is the smallest id
+    reachable over links, ``n_links`` the number of other fingerprints linked to this one."""
+    fp = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    named = _classes(fp, max_distance)
     least = named.groupBy("root").agg(F.min("least").alias("component"))
-    classes = named.join(least, "root").select("fp", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    classes = named.join(least, "root").select("fp", "component", "n_links")
     return fp.join(classes, "fp").select("id", "fp", "component", "n_links")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
              max_distance: int = 3) -> DataFrame:
-    """``docs`` with one row of each component: that of its smallest id (one of them, if that id
-    repeats).  Rows without an id stay only where their whole component has none."""
-    near = near_duplicates(docs, id_col, text_col, shingle, max_distance)
-    ids = near.groupBy("component").agg(F.min("fp").alias("f")).select(F.col("component").alias("_keep"), "f")
-    named = ids.where("_keep IS NOT NULL").select("_keep")
-    kept = docs.join(named, F.col(id_col).cast("long") == F.col("_keep"), "left_semi").dropDuplicates([id_col])
-    lone = docs.where(F.col(id_col).isNull())
-    if lone.isEmpty():
-        return kept
-    free = near.where("component IS NULL").select("fp").distinct().withColumnRenamed("fp", "_fp")
-    texts = lone.dropDuplicates([text_col])
-    return kept.unionByName(_first_by_fingerprint(texts, text_col, shingle).join(free, "_fp", "left_semi").drop("_fp"))
-
-
-def _first_by_fingerprint(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    def rows(batches):
+    """``docs`` with one row of each component: the first by (id, nulls last, then fingerprint); one
+    of them, if rows agree in both."""
+    fp = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("x")
+    # ``least`` is null only where all ids of a fingerprint are.
+    firsts = _classes(fp, max_distance).groupBy("root").agg(first).select(F.col("x.least").alias("__first_id"), F.col("x.fp").alias("__first_fp"))
+    tagged = _with_fingerprint(docs, text_col, shingle)
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__first_id")) & (F.col("__fp") == F.col("__first_fp"))
+    return tagged.join(firsts, same, "left_semi").dropDuplicates(["__fp"]).drop("__fp")
+
+
+def _with_fingerprint(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """``docs`` and the fingerprint ``__fp`` of each row."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
         for b in batches:
-            yield {"t": b["t"], "_fp": [fingerprint(t, shingle) for t in b["t"]]}
+            for i in range(0, b.num_rows, 512):
+                part = b.slice(i, 512)
+                fps = [fingerprint(str(t if t is not None else "").encode(), shingle) for t in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fps, pa.int64())], names=[*part.schema.names, "__fp"])
 
-    t = map_rows(docs.select(text_bytes(text_col).alias("t")).distinct(), "t binary, _fp long", rows)
-    return docs.join(t, text_bytes(text_col) == F.col("t")).drop("t").dropDuplicates(["_fp"])
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__fp", LongType())]))

@@ -71,3 +71,15 @@ def test_html_open_head_and_math(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html").withColumn("page_id", F.col("page_id") + 100).unionByName(d)
     got = {r.page_id: r.text for r in html_extraction.extract(d).collect()}
     assert [got[i] for i in range(len(pages))] == [want] * len(pages)
+
+
+def test_keep_one_keeps_a_row_of_each_component(spark):
+    """Ids that repeat in two components, and components without ids: one row of each stays."""
+    words = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, "one text here and more"), (1, "another text that is unlike it"), (2, "another text that is unlike it"),
+            (3, "one text here and more"), *[(None, words + t) for t in ["", " a", " b"]], (None, "quite alone")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in simhash.keep_one(d.repartition(3)).collect()), key=repr)
+    first = min((words + t for t in ["", " a", " b"]), key=lambda t: simhash.fingerprint(t.encode()))
+    want = [(1, "one text here and more"), (1, "another text that is unlike it"), (None, first), (None, "quite alone")]
+    assert got == sorted(want, key=repr)
