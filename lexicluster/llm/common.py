@@ -39,6 +39,34 @@ def text_bytes(col: str | Column = "text") -> Column:
     return F.coalesce(c.cast("string"), F.lit("")).cast("binary")
 
 
+def quantised(vectors: DataFrame, scale: int, clip: int, id_col: str, vec_col: str, *keep: Column) -> DataFrame:
+    """(id, v, kept columns): floor(scale * x) of the components in double precision, clipped at
+    +-``clip``, of the vectors that are neither null nor empty and hold finite components alone."""
+    x = F.col(vec_col).cast("array<double>")
+    finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    whole = F.transform(x, lambda c: F.floor(F.greatest(F.least(c * scale, F.lit(float(clip))), F.lit(float(-clip)))).cast("long"))
+    return vectors.where(x.isNotNull() & (F.size(x) > 0) & finite).select(F.col(id_col).cast("long").alias("id"), whole.alias("v"), *keep)
+
+
+def list_matrix(col) -> np.ndarray:
+    """Lists of one length as the rows of a matrix."""
+    if isinstance(col, pa.ChunkedArray):
+        col = pa.concat_arrays(col.chunks)
+    return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
+
+
+def usual_length(rows: DataFrame) -> int | None:
+    """The length that most ``v`` have (the smaller, if as many), None without rows."""
+    first = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
+    return first and first["d"]
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a table of this library's own that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def id_bucket(col: str, n: int = 5) -> Column:
     """crc32 of the id written as text, modulo ``n`` (a null id counts as the empty text)."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n
