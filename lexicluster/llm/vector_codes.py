@@ -34,6 +34,7 @@ from .common import list_matrix, quantised, removed, shared_path, usual_length
 
 CLIP = 1 << 26               # squared distances of 256 components fit a long
 GROUP_ENTRIES, CHUNK_ROWS = 16, 8192
+TOTALS, COPIES = 65_536, 16      # totals that are broadcast; copies of each, beyond
 EXACT = 1 << 53
 
 
@@ -237,13 +238,13 @@ def compress(vectors: DataFrame, parts: int = 4, entries: int = 256, rounds: int
 
 def with_totals(coded: DataFrame, key: Column, value: str, name: str) -> DataFrame:
     """``coded`` with the total of ``value`` over equal ``key`` (nulls together; null if it exceeds a
-    long).  Few totals are broadcast; many are joined, every one of them in 16 copies, so that a
-    key with a large share of the rows is spread."""
+    long).  Few totals are broadcast; many are joined, every one of them in ``COPIES`` copies, so
+    that a key with a large share of the rows is spread."""
     totals = coded.groupBy(key.alias("_key")).agg(F.try_sum(value).alias(name))
     rows = coded.withColumn("_key", key)
-    if totals.count() <= 65_536:
+    if totals.count() <= TOTALS:
         same = F.broadcast(totals.withColumnRenamed("_key", "_of"))
         return rows.join(same, F.col("_key").eqNullSafe(F.col("_of")), "left").drop("_key", "_of")
-    spread = totals.withColumnRenamed("_key", "_of").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("id", "code", "error"), F.lit(16)).cast("int"))
+    spread = totals.withColumnRenamed("_key", "_of").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("id", "code", "error"), F.lit(COPIES)).cast("int"))
     return rows.join(spread, F.col("_key").eqNullSafe(F.col("_of")) & (F.col("_salt") == F.col("_copy")), "left").drop("_key", "_of", "_salt", "_copy")
