@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import relative_position
 from ..functions.vectors import dot, l2_normalize
+from ..session import checkpoint
 from .aggregates import cluster_word_frequency, describe_values
 from .windows import top_k_per_group
 
@@ -96,13 +97,34 @@ def explain_by_weight(df: DataFrame, k: int, vocab, tokens_col: str = "tokens",
     return top_k_per_group(w, ["cluster"], [F.abs("weight").desc(), F.col("word").asc()], k)
 
 
+def word_positions(docs: DataFrame, words: DataFrame, tokens_col: str = "toks", class_col: str = "label",
+                   max_listed: int = 10_000) -> DataFrame:
+    """FLT-5 + TXT-11: (class, word, position) for every document of the class whose tokens contain
+    the word; the position is the word's first one, relative to the number of tokens.
+
+    Positions are taken inside the row, so no token array leaves it.  Up to ``max_listed`` words go
+    round as one list per class, and a row looks up only the words that it has; a longer list is
+    joined with the first positions of each document's distinct tokens, both sides shuffled."""
+    words = checkpoint(words.select(class_col, "word").distinct())
+    toks = F.col(tokens_col)
+    if words.count() <= max_listed:
+        lists = F.broadcast(words.groupBy(class_col).agg(F.collect_list("word").alias("_words")))
+        found = docs.select(class_col, toks.alias("_toks")).join(lists, class_col) \
+            .withColumn("_found", F.array_intersect("_toks", "_words"))
+        pairs = F.transform("_found", lambda w: F.struct(w.alias("word"), relative_position("_toks", w).alias("position")))
+        return found.select(class_col, F.explode(pairs).alias("_p")).select(class_col, "_p.word", "_p.position")
+    # Sorted by (token, place), the first of each token is its first position; the one-element array
+    # binds the sorted tokens, so that they are sorted once a row.
+    placed = F.array_sort(F.transform(toks, lambda t, i: F.struct(t.alias("word"), i.alias("place"))))
+    firsts = F.transform(F.array(placed), lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["word"] != x["word"])))[0]
+    each = docs.select(class_col, F.size(toks).alias("_n"), F.explode(firsts).alias("_p")) \
+        .select(class_col, F.col("_p.word").alias("word"), (F.col("_p.place") / F.col("_n")).alias("position"))
+    return each.join(words.hint("merge"), [class_col, "word"])
+
+
 def word_position_stats(docs: DataFrame, words: DataFrame, tokens_col: str = "toks", class_col: str = "label",
-                        max_words: int = 10_000) -> DataFrame:
-    """EVAL-12: for each (class, word): documents of that class whose whitespace tokens contain the
-    word → relative first position → describe → drop incomplete rows.  One join of the word list
-    with each document's distinct tokens instead of one scan per word."""
+                        max_listed: int = 10_000) -> DataFrame:
+    """EVAL-12: for each (class, word) the relative first positions of the word in the documents of the
+    class that contain it → describe → drop incomplete rows."""
     from .filters import drop_incomplete_rows
-    ex = docs.select(class_col, tokens_col, F.explode(F.array_distinct(tokens_col)).alias("word"))
-    hits = ex.join(words.select(class_col, "word"), [class_col, "word"])
-    pos = hits.withColumn("position", relative_position(tokens_col, F.col("word")))
-    return drop_incomplete_rows(describe_values(pos, [class_col, "word"], "position"))
+    return drop_incomplete_rows(describe_values(word_positions(docs, words, tokens_col, class_col, max_listed), [class_col, "word"], "position"))

@@ -200,9 +200,7 @@ def _positions(spark, sf_dir, drop_na):
     if drop_na:
         out = X.word_position_stats(et, words, "toks", "label")
     else:
-        ex = et.select("label", "toks", F.explode(F.array_distinct("toks")).alias("word"))
-        hits = ex.join(F.broadcast(words), ["label", "word"]).withColumn("position", T.relative_position("toks", F.col("word")))
-        out = A.describe_values(hits, ["label", "word"], "position")
+        out = A.describe_values(X.word_positions(et, words, "toks", "label"), ["label", "word"], "position")
     return out.select("label", "word", *[R6(F.col(f"`{c}`")).alias(c) for c in ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]])
 
 

@@ -16,7 +16,7 @@ def corpus_cte() -> str:
 
 
 def tokens_cte() -> str:
-    return (f"tokens AS (SELECT doc_id, label, list_filter(regexp_extract_all(lower(text), "
+    return (f"tokens AS MATERIALIZED (SELECT doc_id, label, list_filter(regexp_extract_all(lower(text), "
             f"'({WORD}{{2,}})', 1), lambda t: NOT list_contains({stop_list()}, t)) AS tokens FROM corpus)")
 
 
@@ -69,20 +69,20 @@ def long_form(id_cols: str, arr: str, src: str, value: str = "value") -> str:
 
 
 def vocab_ctes() -> list[str]:
-    return ["pairs AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS term FROM tokens) GROUP BY doc_id, term)",
+    return ["pairs AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS term FROM tokens) GROUP BY doc_id, term)",
             "stats AS (SELECT term, sum(tf) AS total FROM pairs GROUP BY term)",
-            "vocab AS (SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS idx FROM (SELECT * FROM stats ORDER BY total DESC, term LIMIT 2000))",
-            "wv AS (SELECT v.term AS word, v.idx, f.x AS vec FROM vocab v JOIN feat f ON f.vec_id = v.idx % (SELECT count(*) FROM embeddings))"]
+            "vocab AS MATERIALIZED (SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS idx FROM (SELECT * FROM stats ORDER BY total DESC, term LIMIT 2000))",
+            "wv AS MATERIALIZED (SELECT v.term AS word, v.idx, f.x AS vec FROM vocab v JOIN feat f ON f.vec_id = v.idx % (SELECT count(*) FROM embeddings))"]
 
 
 def wv_ctes() -> list[str]:
     return [corpus_cte(), tokens_cte(), feat_cte(), *vocab_ctes(),
-            "trows AS (SELECT doc_id, label, CAST(generate_subscripts(tokens, 1) - 1 AS INTEGER) AS pos, unnest(tokens) AS token FROM tokens)"]
+            "trows AS MATERIALIZED (SELECT doc_id, label, CAST(generate_subscripts(tokens, 1) - 1 AS INTEGER) AS pos, unnest(tokens) AS token FROM tokens)"]
 
 
 def cluster_words_ctes(k: int = 20) -> list[str]:
     return [*wv_ctes(),
-            "cw0 AS (SELECT label AS cluster, token AS word, count(*) AS count FROM trows WHERE token IN (SELECT word FROM wv) GROUP BY label, token)",
+            "cw0 AS MATERIALIZED (SELECT label AS cluster, token AS word, count(*) AS count FROM trows WHERE token IN (SELECT word FROM wv) GROUP BY label, token)",
             f"cw AS (SELECT c.cluster, c.word, c.count, w.vec FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY count DESC, word) AS rank "
             f"FROM cw0) c JOIN wv w USING (word) WHERE rank <= {k})"]
 
@@ -91,7 +91,7 @@ def explain_tokens_cte() -> str:
     from ..constants import PUNCTUATION
     ws = r"[ \t\n\r\f\x0B]+"
     excl = sql_string_list(list(english_stop_words()) + list(PUNCTUATION))
-    return ("et AS (SELECT doc_id, label, toks, list_filter(toks, lambda t: NOT list_contains(" + excl + ", t)) AS tokens FROM "
+    return ("et AS MATERIALIZED (SELECT doc_id, label, toks, list_filter(toks, lambda t: NOT list_contains(" + excl + ", t)) AS tokens FROM "
             f"(SELECT doc_id, label, list_filter(regexp_split_to_array(lower(text), '{ws}'), lambda t: t <> '') AS toks FROM corpus))")
 
 
