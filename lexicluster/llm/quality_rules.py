@@ -56,20 +56,26 @@ def _ratio(a: Column, b: Column) -> Column:
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, text and every measure.  Repeated three-word windows are found by
-    sorting the windows of a text with their positions, so equal windows become neighbours."""
+    sorting the hashes of a text's windows with their positions, so that equal windows become
+    neighbours, whose words are then compared.  (A repeat could be missed only where two different
+    windows of one text had the same 64-bit hash and stood between each other.)"""
     d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_raw"),
                     F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t"))
     d = d.select("*", F.filter(F.split("_t", r"[ \t-\r]+"), lambda w: w != "").alias("_w"),
+                 F.split(F.lower("_t"), r"[ \t-\r]+").alias("_low"),
                  F.filter(F.split("_t", "\n"), lambda x: F.translate(x, SPACES, "") != "").alias("_lines"))
     d = d.withColumn("_n", F.size("_w").cast("long"))
-    windows = F.when(F.col("_n") < 3, F.array().cast("array<struct<w:string,p:int>>")).otherwise(
+    windows = F.when(F.col("_n") < 3, F.array().cast("array<struct<h:bigint,p:int>>")).otherwise(
         F.transform(F.slice(F.col("_w"), F.lit(1), F.greatest(F.col("_n") - 2, F.lit(1)).cast("int")),
-                    lambda w, i: F.struct(F.concat_ws(" ", w, F.get("_w", i + 1), F.get("_w", i + 2)).alias("w"),
-                                          i.alias("p"))))
-    d = d.withColumn("_win", F.array_sort(windows))
-    same = lambda x, i: (x["w"] == F.get("_win", i - 1)["w"]) | (x["w"] == F.get("_win", i + 1)["w"])
-    d = d.withColumn("_pos", F.array_sort(F.transform(
-        F.filter("_win", lambda x, i: F.coalesce(same(x, i), F.lit(False))), lambda x: x["p"])))
+                    lambda w, i: F.struct(F.xxhash64(w, F.get("_w", i + 1), F.get("_w", i + 2)).alias("h"), i.alias("p"))))
+    d = d.withColumn("_win", F.sort_array(windows))
+
+    def equal(x, y):
+        words = [F.get("_w", x["p"] + k) == F.get("_w", y["p"] + k) for k in range(3)]
+        return F.coalesce((x["h"] == y["h"]) & words[0] & words[1] & words[2], F.lit(False))
+
+    d = d.withColumn("_pos", F.sort_array(F.transform(
+        F.filter("_win", lambda x, i: equal(x, F.get("_win", i - 1)) | equal(x, F.get("_win", i + 1))), lambda x: x["p"])))
     # A window at p covers p, p+1, p+2; up to the next found window it adds min(3, gap) words.
     covered = F.aggregate(F.transform("_pos", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("_pos", i + 1) - p, F.lit(3)))),
                           F.lit(0), lambda a, x: a + x)
@@ -81,8 +87,8 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         covered.cast("long").alias("n_repeat_words"),
         F.size("_lines").cast("long").alias("n_lines"),
         _removed(F.col("_t"), MARKS).alias("n_marks"),
-        F.size(F.filter("_w", lambda w: (w != F.lower(w)) & (w == F.upper(w)) & (F.length(w) > 1))).cast("long").alias("n_upper"),
-        F.size(F.filter("_w", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long").alias("n_stop"),
+        F.size(F.filter("_w", lambda w: (w == F.upper(w)) & (w != F.lower(w)) & (F.length(w) > 1))).cast("long").alias("n_upper"),
+        F.size(F.filter("_low", lambda w: w.isin(*STOP_WORDS))).cast("long").alias("n_stop"),
         F.size(F.filter("_lines", lambda x: F.ltrim(x).rlike("^[-*•]"))).cast("long").alias("n_bullets"),
         F.size(F.filter("_lines", lambda x: F.rtrim(x).rlike(r"(\.\.\.|…)$"))).cast("long").alias("n_ellipses"))
     n, lines = F.col("n_words"), F.col("n_lines")
