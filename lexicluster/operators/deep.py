@@ -142,7 +142,7 @@ def map_rows(df: DataFrame, x_col: str, state, fn, out_col: str, keep) -> DataFr
     """Row-wise NumPy transform ``fn(state, X) -> M`` (one pass, no shuffle)."""
     bc = df.sparkSession.sparkContext.broadcast(state)
     keep = list(keep)
-    sub = df.select(*keep, x_col)
+    sub = df.select(*dict.fromkeys([*keep, x_col]))
     schema = ", ".join(f"`{c}` {t}" for c, t in sub.dtypes if c in keep) + f", `{out_col}` array<double>"
 
     def go(it):
@@ -224,23 +224,6 @@ def autoencoder_fit(df: DataFrame, dims, epochs: int = 50, lr: float = 0.1, mome
     return net, losses
 
 
-def autoencoder_pretrain(df: DataFrame, dims, epochs: int = 20, lr: float = 0.1, momentum: float = 0.9,
-                         x_col: str = "x", id_col: str = "id", seed: int = 0, dropout: float = 0.2):
-    """ML-13 greedy stage-wise training: stage i trains a one-layer autoencoder on the frozen output
-    of the earlier layers (persisted once per stage), then the stacked network is fine-tuned."""
-    cur = df.select(id_col, x_col)
-    enc, dec = [], []
-    for i in range(len(dims) - 1):
-        net_i, _ = autoencoder_fit(cur, [dims[i], dims[i + 1]], epochs, lr, momentum, x_col, id_col, seed + i,
-                                   dropout if i > 0 else 0.0)
-        enc.append(net_i["enc"][0])
-        dec.insert(0, net_i["dec"][0])
-        nxt = map_rows(cur, x_col, net_i, lambda s, X: np.maximum(encode_matrix(s, X), 0.0)
-                       if i < len(dims) - 2 else encode_matrix(s, X), "_h", [id_col])
-        cur = nxt.withColumnRenamed("_h", x_col).persist()
-    return {"enc": enc, "dec": dec}
-
-
 def network_table(spark, net, stage: str = "final") -> DataFrame:
     """SNK-10 representation: (stage, part, layer, kind, rows, cols, values)."""
     rows = []
@@ -450,107 +433,7 @@ def constraint_loss(pairs: DataFrame, centers, x1: str = "x1", x2: str = "x2") -
     return q.select(F.explode(b).alias("b")).agg(F.avg("b").alias("constraint_bce"))
 
 
-# ---------------------------------------------------------------------- DCN family (ML-18 … ML-20)
-
-def _dcn_batch(state, X, ids, extra=None):
-    """recons_lam·MSE(x̂, x) + cluster_lam·MSE(h, c_assigned); seeded rows use their seed centre."""
-    net, C, n_total, recons_lam, cluster_lam = state
-    ea = _forward(net["enc"], X)
-    H = ea[-1]
-    j, _ = _nearest_np(H, C)
-    if extra is not None:
-        seed = extra["_seed"].to_numpy(dtype=float, na_value=np.nan)
-        j = np.where(np.isnan(seed), j, seed).astype(int)
-    da = _forward(net["dec"], H)
-    diff = da[-1] - X
-    dc = H - C[j]
-    D, Hd = X.shape[1], H.shape[1]
-    loss = recons_lam * float((diff ** 2).sum()) / (n_total * D) + cluster_lam * float((dc ** 2).sum()) / (n_total * Hd)
-    gdec, dH = _backward(net["dec"], da, recons_lam * 2.0 * diff / (n_total * D))
-    dH = dH + cluster_lam * 2.0 * dc / (n_total * Hd)
-    genc, _ = _backward(net["enc"], ea, dH)
-    return _flatten([a for (gw, gb) in genc for a in (gw, gb)] + [a for (gw, gb) in gdec for a in (gw, gb)]), loss
-
-
-def _nearest_np(H, C):
-    d = (H * H).sum(1)[:, None] - 2 * H @ C.T + (C * C).sum(1)[None, :]
-    j = d.argmin(1)
-    return j, d[np.arange(len(H)), j]
-
-
-def dcn_fit(df: DataFrame, net, centers, epochs: int = 5, lr: float = 0.01, momentum: float = 0.9,
-            recons_lam: float = 1.0, cluster_lam: float = 0.5, tol: float = 1e-3, init_num: int = 0,
-            seeds: DataFrame | None = None, x_col: str = "x", id_col: str = "id", metrics=None):
-    """ML-18 (DCN), ML-19 (``init_num``: prior centre counts; < 0 → current cluster sizes) and ML-20
-    (``seeds`` (id, label): seeded rows are pinned to their label in the loss, in every centre
-    update, in the Lloyd iterations and in the predictions).
-    Per epoch: one SGD-momentum step on the joint loss, the running-mean centre update on the new
-    hidden vectors (ML-16/17), Lloyd iterations from the current centres (ML-7), and a stop when the
-    share of changed assignments falls below ``tol``.  Returns (net, centres, predictions)."""
-    from . import clustering as CL
-    from .metrics import label_change_rate
-    data = df.select(id_col, x_col)
-    extra = []
-    if seeds is not None:
-        data = data.join(seeds.select(id_col, F.col("label").cast("int").alias("_seed")), id_col, "left")
-        extra = ["_seed"]
-    data = data.persist()
-    n = data.count()
-    C = np.asarray(centers, dtype=np.float64).copy()
-    vel = np.zeros(sum(p.size for p in _params(net)))
-    prev = None
-    pred = None
-    for ep in range(epochs):
-        g, loss, _ = distributed_gradient(data, x_col, (net, C, n, recons_lam, cluster_lam), _dcn_batch, id_col, extra)
-        vel = momentum * vel + lr * g
-        net = _apply_update(net, vel)
-        H = autoencoder_encode(data, net, x_col, "h", [id_col, *extra]).persist()
-        pin = extra[0] if extra else None
-        sizes = {r["pred"]: r["count"] for r in CL.assign_pinned(H, C.tolist(), "h", "pred", pin).groupBy("pred").count().collect()}
-        counts = [sizes.get(k, 0) if init_num < 0 else init_num for k in range(len(C))]
-        C, _ = CL.online_centroid_update(H, C.tolist(), counts, "h", pin)
-        C, _ = CL.kmeans_from_centers(H, C, "h", pinned_col=pin)
-        C = np.asarray(C)
-        from ..session import checkpoint
-        pred = checkpoint(CL.assign_pinned(H, C.tolist(), "h", "pred", pin).select(id_col, "pred"))
-        H.unpersist()
-        if metrics is not None:
-            metrics.append(("loss", ep, loss))
-        if prev is not None and label_change_rate(prev, pred, id_col, "pred").first()[0] < tol:
-            break
-        prev = pred
-    data.unpersist()
-    return net, C, pred
-
-
-# ---------------------------------------------------------------------- VAT (ML-22), pseudo labels (ML-23)
-
-def _vat_rows(state, X):
-    C, xi, ip, seed = state
-    _, _, q0 = soft_assign(X, C)
-    rng = np.random.default_rng(seed)
-    d = rng.normal(size=X.shape)
-    for _ in range(ip):
-        d = d / np.maximum(np.linalg.norm(d, axis=1, keepdims=True), 1e-12)
-        Xr = X + xi * d
-        u, s, q = soft_assign(Xr, C)
-        g = (q - q0) / np.clip(q * (1 - q), 1e-12, None)
-        coef = (g - (g * q).sum(1, keepdims=True)) / s * (-2.0) * u * u
-        d = coef @ C * -1.0 + coef.sum(1, keepdims=True) * Xr       # Σ_j coef_j (x + r − c_j)
-    d = d / np.maximum(np.linalg.norm(d, axis=1, keepdims=True), 1e-12)
-    _, _, qa = soft_assign(X + xi * d, C)
-    qa = np.clip(qa, 1e-12, 1 - 1e-12)
-    return -(q0 * np.log(qa) + (1 - q0) * np.log(1 - qa)).mean(1, keepdims=True)
-
-
-def virtual_adversarial_loss(df: DataFrame, centers, xi: float = 0.1, ip: int = 1, seed: int = 0,
-                             x_col: str = "x", id_col: str = "id") -> DataFrame:
-    """ML-22: perturb every row along its most sensitive direction (power iteration, ``ip`` steps)
-    and average BCE(q(x), q(x + ξ·d)).  Row-local; the random start direction is seeded per batch."""
-    C = np.asarray(centers, dtype=np.float64)
-    m = map_rows(df, x_col, (C, xi, ip, seed), _vat_rows, "b", [id_col])
-    return m.agg(F.avg(F.col("b")[0]).alias("vat_loss"))
-
+# ---------------------------------------------------------------------- pseudo labels (ML-23)
 
 def _pseudo_batch(state, X, ids, extra):
     """gamma·CE(softmax(head(h)), pseudo label) + MSE(x̂, x)."""

@@ -13,6 +13,7 @@ from ..functions.vectors import argmax, student_t_assignment
 from ..operators import clustering as C
 from ..operators import deep as DP
 from ..operators import features as feats
+from ..operators import training as TR
 from ..operators.common import literal_matrix
 from ..operators.kmeans_runs import kmeans_runs, sparse_parts
 from ..operators.topics import gsdmm
@@ -335,41 +336,87 @@ def _hidden_start(spark, sf_dir, seeds=None):
 def _dcn_props(spark, sf_dir, **kw):
     f, net, c0 = _hidden_start(spark, sf_dir, kw.get("seeds"))
     m = []
-    net2, c1, pred = DP.dcn_fit(f, net, c0, epochs=4, lr=0.05, metrics=m, **kw)
-    losses = [v for _, _, v in m]
+    net2, c1, pred = TR.dcn_fit(f, net, c0, epochs=4, lr=0.05, metrics=m, **kw)
+    losses = [v for k, _, v in m if k == "loss"]
     r = pred.agg(F.count(F.lit(1)).alias("n"), F.min("pred").alias("lo"), F.max("pred").alias("hi")).first()
     off = [] if kw.get("seeds") is None else [
         ("seeds_off_label", pred.join(kw["seeds"], "id").where("pred <> label").count())]
     return _props(spark, [*off, ("epochs", len(losses)), ("rows", r["n"]), ("pred_in_range", 0 <= r["lo"] and r["hi"] < fx.N_LABELS),
-                          ("loss_first", round(losses[0], 9)), ("loss_last", round(losses[-1], 9))])
+                          ("loss_first", round(losses[0], 9)), ("loss_last", round(losses[-1], 9)), ("loss_fell", losses[-1] < losses[0])])
 
 
 @register("dcn_fit")
 def q_dcn(spark, sf_dir):
-    """ML-18: DCN alternating network step, running-mean centre update and Lloyd refresh."""
+    """ML-18: mini-batches of 256 in id order, each with a network step and a running-mean centre
+    update; a Lloyd refresh per epoch."""
     return _dcn_props(spark, sf_dir)
 
 
 @register("dcn_fit_shuffled")
 def q_dcn_shuffled(spark, sf_dir):
-    """ML-19: centre counts start at the current cluster sizes (init_num < 0)."""
-    return _dcn_props(spark, sf_dir, init_num=-1)
+    """ML-19: a new permutation of the rows in each epoch; centre updates from epoch 1 on, with the
+    cluster sizes as counts (init_num < 0)."""
+    return _dcn_props(spark, sf_dir, shuffle=True, count_epoch=1, init_num=-1)
 
 
 @register("seeded_dcn_fit")
 def q_seeded_dcn(spark, sf_dir):
-    """ML-20: ten seeds per label pinned to their label during centre updates."""
+    """ML-20: ten seeds per label pinned to their label during centre updates, with the seed loss."""
     from ..operators import windows as W
     seeds = W.select_seeds(fx.feat(spark, sf_dir).select(F.col("vec_id").alias("id"), "label"), "id", "label", 10, 42)
-    return _dcn_props(spark, sf_dir, seeds=seeds)
+    return _dcn_props(spark, sf_dir, seeds=seeds, seed_lam=1.0)
 
 
 @register("virtual_adversarial_loss")
 def q_vat(spark, sf_dir):
-    """ML-22: VAT loss at the fixed label centres is finite and non-negative."""
+    """ML-22 through the encoder [64, 32, 8] at the label centres of its codes: one power iteration
+    raises the loss over that of the random directions it starts from."""
+    f = fx.feat(spark, sf_dir).withColumnRenamed("vec_id", "id")
+    net = DP.autoencoder([64, 32, 8], seed=0)
+    h = DP.autoencoder_encode(f, net, "x", "h", ["id", "label"])
+    centers = C.centers_to_list(C.label_centroids(h, fx.N_LABELS, "h", "label"), fx.N_LABELS)
+    start, after = (TR.virtual_adversarial_loss(f, centers, net, 0.1, ip, 0).first()[0] for ip in (0, 1))
+    return _props(spark, [("vat_loss", round(after, 9)), ("non_negative", after >= 0), ("above_random_direction", after >= start)])
+
+
+@register("constrained_fit")
+def q_constrained(spark, sf_dir):
+    """ML-21 training: pairs of seeds of one label, a third of the steps on pairs, VAT loss on the
+    others; the pairs agree better afterwards."""
+    from pyspark.sql.window import Window
+    from ..operators import windows as W
+    from ..operators.joins import constraint_pair_features
+    f, net, c0 = _hidden_start(spark, sf_dir)
+    s = W.select_seeds(f.select("id", "label"), "id", "label", 10, 42).withColumn("_h", W.hash_key("id", 42))
+    pairs = s.select(F.col("id").alias("id1"), F.lead("id").over(Window.partitionBy("label").orderBy("_h", "id")).alias("id2")) \
+        .where("id2 IS NOT NULL")
+
+    def agree(net, centers):
+        h = DP.autoencoder_encode(f, net, "x", "h", ["id"])
+        return DP.constraint_loss(constraint_pair_features(pairs, h, "id", "h"), np.asarray(centers).tolist()).first()[0]
+
+    m = []
+    net2, c1 = TR.constrained_fit(f, pairs, net, c0, max_steps=12, update_interval=6, tol=0.0, pair_share=0.35, use_vat=True, metrics=m)
+    return _props(spark, [("ordinary_steps", sum(k == "loss" for k, _, _ in m)), ("pair_steps", sum(k == "pair_loss" for k, _, _ in m)),
+                          ("pairs_agree_better", agree(net2, c1) < agree(net, c0))])
+
+
+@register("autoencoder_pretrain")
+def q_pretrain(spark, sf_dir):
+    """ML-13: stages [64, 32], [32, 8] and the final joint fit; the loss falls in each, and a second
+    run over the stored stages gives the same weights without training."""
+    from ..session import shared_path
     f = fx.feat(spark, sf_dir).withColumnRenamed("vec_id", "id")
-    v = DP.virtual_adversarial_loss(f, fx.fixed_centers(spark, sf_dir), 0.1, 1, 0).first()[0]
-    return _props(spark, [("vat_loss", round(v, 9)), ("non_negative", v >= 0)])
+    m, again, path = [], [], shared_path(spark, "pretraining")
+    fit = dict(epochs=5, final_epochs=6, lr=1.0, decay_every=4, path=path)
+    net = TR.autoencoder_pretrain(f, [64, 32, 8], metrics=m, **fit)
+    same = TR.autoencoder_pretrain(f, [64, 32, 8], metrics=again, **fit)
+    loss = {}
+    for k, _, v in m:
+        loss.setdefault(k, []).append(v)
+    return _props(spark, [("stages", len(loss)), *((f"{k}_fell", v[-1] < v[0]) for k, v in sorted(loss.items())),
+                          ("resumed_equal", all(np.array_equal(a, b) for a, b in zip(DP._params(net), DP._params(same)))),
+                          ("epochs_when_resumed", len(again))])
 
 
 @register("pseudo_label_finetune")

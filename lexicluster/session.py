@@ -54,6 +54,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/lexicluster/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def remove_table(spark: SparkSession, path: str) -> None:
+    """Delete a table of this library's own that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives executor loss and cuts lineage in iterative loops."""
     ensure_checkpoint_dir(df.sparkSession)
