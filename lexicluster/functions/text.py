@@ -27,28 +27,28 @@ def _valid_codepoint(num: Column) -> Column:
     return (num <= 0x10FFFF) & ~num.between(0xD800, 0xDFFF)
 
 
+_REFERENCE = r"&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]{1,7}|#x[0-9a-fA-F]{1,6});"
+
+
+def _decoded(ref: Column) -> Column:
+    """The character that a reference ``&…;`` stands for; one that is unknown stays as it is."""
+    body = F.substring(ref, F.lit(2), F.length(ref) - 2)
+    number = F.when(body.startswith("#x"), F.conv(F.substring(body, F.lit(3), F.length(body)), 16, 10)) \
+        .otherwise(F.substring(body, F.lit(2), F.length(body))).cast("int")
+    names = F.array(*[F.lit(n) for n, _ in named_entities()])
+    chars = F.array(*[F.lit(c) for _, c in named_entities()])
+    return F.when(body.startswith("#"), F.when(_valid_codepoint(number), _codepoint_to_char(number)).otherwise(ref)) \
+        .otherwise(F.coalesce(F.get(chars, (F.array_position(names, body) - 1).cast("int")), ref))
+
+
 def unescape_entities(col) -> Column:
-    """TXT-1: replace named, decimal and (lower-case x) hex character references; unknown
-    references stay as they are.  ``&amp;`` is replaced last so one pass never decodes twice."""
-    out = _c(col)
-    amp = None
-    for name, ch in named_entities():
-        if name == "amp":
-            amp = ch
-            continue
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(ch))
-    dec = F.array_distinct(F.regexp_extract_all(out, F.lit("&#([0-9]{1,7});"), 1))
-    out = F.aggregate(dec, out, lambda acc, n: F.when(
-        _valid_codepoint(n.cast("int")),
-        F.replace(acc, F.concat(F.lit("&#"), n, F.lit(";")), _codepoint_to_char(n.cast("int")))
-    ).otherwise(acc))
-    hx = F.array_distinct(F.regexp_extract_all(out, F.lit("&#x([0-9a-fA-F]{1,6});"), 1))
-    out = F.aggregate(hx, out, lambda acc, h: F.when(
-        _valid_codepoint(F.conv(h, 16, 10).cast("int")),
-        F.replace(acc, F.concat(F.lit("&#x"), h, F.lit(";")),
-                  _codepoint_to_char(F.conv(h, 16, 10).cast("int")))
-    ).otherwise(acc))
-    return F.replace(out, F.lit("&amp;"), F.lit(amp))
+    """TXT-1: replace named, decimal and (lower-case x) hex character references; unknown references
+    stay as they are.  The text is cut once into references and what lies between them, so that each
+    reference is looked up by itself and nothing is decoded twice."""
+    text = _c(col)
+    pieces = F.regexp_extract_all(text, F.lit(_REFERENCE + "|[^&]+|&"), 0)
+    decoded = F.transform(pieces, lambda p: F.when(p.startswith("&") & (F.length(p) > 1), _decoded(p)).otherwise(p))
+    return F.when(F.instr(text, "&") > 0, F.array_join(decoded, "")).otherwise(text)
 
 
 def strip_html(col, comments: bool = False) -> Column:

@@ -1,14 +1,16 @@
 """Clustering operators (JOIN-7/8, AGG-10/12, ML-5…9, ML-11, ML-16, ML-17, ML-24).
 
 Model state (centres K×D, topic-word counts, coefficients) is small and lives on the driver;
-every step over the rows is one distributed pass: row-local assignment with the centres as a
-literal, then one partial+final aggregation keyed by cluster (a cluster holding a third of the
+every step over the rows is one distributed pass: row-local assignment by a matrix product in Arrow
+batches, then one partial+final aggregation keyed by cluster (a cluster holding a third of the
 rows is pre-reduced in every task by the map-side combine).
 """
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import LDA, KMeans
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler
@@ -17,22 +19,49 @@ from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from ..functions.vectors import argmax, nearest_center
-from ..session import checkpoint
-from .common import literal_matrix
+from ..functions.vectors import argmax
 
 
 # ---------------------------------------------------------------- assignment / centres
 
+def nearest_rows(X: np.ndarray, C: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nearest centre, squared distance) of every row, ties → lowest centre id.  A matrix product finds
+    the centres that may be nearest within its rounding; the distances that decide are summed from the
+    differences themselves."""
+    approx = (X * X).sum(1)[:, None] - 2.0 * (X @ C.T) + (C * C).sum(1)[None, :]
+    slack = 1e-9 * ((X * X).sum(1) + (C * C).sum(1).max(initial=0.0)) + 1e-300
+    row, center = np.nonzero(approx <= (approx.min(1) + slack)[:, None])
+    d = np.concatenate([((X[row[a:a + 65_536]] - C[center[a:a + 65_536]]) ** 2).sum(1) for a in range(0, len(row), 65_536)] or [np.zeros(0)])
+    order = np.lexsort((center, d, row))
+    first = order[np.searchsorted(row[order], np.arange(len(X)))]
+    return center[first].astype(np.int32), d[first]
+
+
 def assign_nearest(df: DataFrame, centers: list[list[float]], x_col: str = "x", out_col: str = "pred",
                    with_distance: bool = False) -> DataFrame:
-    """JOIN-7: nearest centre per row, ties → lowest centre id; centres as a literal array."""
-    nc = nearest_center(F.col(x_col), literal_matrix(centers))
-    out = df.withColumn("_nc", nc).withColumn(out_col, F.col("_nc.center_id").cast("int"))
-    if with_distance:
-        out = out.withColumn("dist2", F.col("_nc.dist2"))
-    return out.drop("_nc")
+    """JOIN-7: nearest centre per row, ties → lowest centre id; a null vector has none.  The centres go
+    round as one matrix; the rows pass in Arrow batches, blocks of them through one matrix product."""
+    C = np.asarray(centers, dtype=np.float64)
+    new = [StructField(out_col, IntegerType())] + ([StructField("dist2", DoubleType())] if with_distance else [])
+    rest = df.drop(*[f.name for f in new])
+    at = rest.columns.index(x_col)
+
+    def run(batches):
+        block = max(1, 4_000_000 // max(1, C.size))
+        for whole in batches:
+            for a in range(0, whole.num_rows, block):
+                b = whole.slice(a, block)
+                x = b.column(at)
+                have = x.is_valid().to_numpy(zero_copy_only=False)
+                X = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(int(have.sum()), -1)
+                j, d = nearest_rows(X, C) if len(X) else (np.zeros(0, np.int32), np.zeros(0))
+                place = pa.array(np.where(have, np.cumsum(have) - 1, 0), mask=~have)
+                out = [pa.array(v).take(place) for v in ((j, d) if with_distance else (j,))]
+                yield pa.RecordBatch.from_arrays([*b.columns, *out], names=[*b.schema.names, *[f.name for f in new]])
+
+    return rest.mapInArrow(run, StructType([*rest.schema.fields, *new]))
 
 
 def assigned_center(df: DataFrame, centers: DataFrame, pred_col: str = "pred", n_clusters: int | None = None) -> DataFrame:

@@ -4,20 +4,24 @@
 Plan shape.  Term statistics are one aggregation keyed by term with map-side combine, so a
 term that holds a third of all tokens is pre-reduced in every task.  The vocabulary is bounded
 by ``max_features`` and is the only thing that reaches the driver.  Per-document vectors are
-built row-locally by ``CountVectorizerModel`` (a JVM hash map per row) — no shuffle at all —
-then re-weighted and normalised by JVM transformers.
+built row-locally, without a shuffle: as ML vectors by ``CountVectorizerModel`` and JVM transformers,
+as sparse cells by one vectorised lookup of all tokens of an Arrow batch.
 """
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
+
 
 def term_occurrences(df: DataFrame, doc_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
     """AGG-3 (long form): (doc, term, tf).  Pairs of one document are already in one task, so the
@@ -69,10 +73,12 @@ class Vocabulary:
 
 
 def fit_vocabulary(df: DataFrame, max_features: int, tokens_col: str = "tokens") -> Vocabulary:
-    """Distributed statistics → bounded vocabulary on the driver (≤ max_features rows)."""
-    stats = term_statistics(df, tokens_col)
-    rows = top_vocabulary(stats, max_features).orderBy("idx").collect()
-    n_docs = df.count()
+    """Distributed statistics → bounded vocabulary on the driver (≤ max_features rows).  The number of
+    documents comes from the same pass, as the document frequency of a null term."""
+    own = F.coalesce(F.col(tokens_col), F.array().cast("array<string>"))
+    stats = checkpoint(term_statistics(df.select(F.concat(F.filter(own, lambda t: t.isNotNull()), F.array(F.lit(None).cast("string"))).alias("_t")), "_t"))
+    n_docs = (stats.where("term IS NULL").first() or {"df": 0})["df"]
+    rows = top_vocabulary(stats.where("term IS NOT NULL"), max_features).orderBy("idx").collect()
     return Vocabulary([r["term"] for r in rows], [r["df"] for r in rows],
                       [r["total"] for r in rows], n_docs)
 
@@ -97,33 +103,77 @@ def tfidf_vectors(df: DataFrame, vocab: Vocabulary, tokens_col: str = "tokens",
     return out.drop("_tf")
 
 
-def sparse_entries(df: DataFrame, vec_col: str, vocab: Vocabulary, keep=("doc_id",),
-                   value_name: str = "value") -> DataFrame:
-    """Long form (doc, idx, term, value) of the non-zero entries of a vector column."""
-    arr = vector_to_array(F.col(vec_col))
-    nz = F.filter(F.transform(arr, lambda x, i: F.struct(i.alias("idx"), x.alias("v"))),
-                  lambda s: s["v"] != 0.0)
-    terms = F.array(*[F.lit(t) for t in vocab.terms])
-    return (df.select(*keep, F.explode(nz).alias("e"))
-              .select(*keep, F.col("e.idx").alias("idx"),
-                      F.element_at(terms, F.col("e.idx") + 1).alias("term"),
-                      F.col("e.v").alias(value_name)))
+def vocabulary_cells(tokens, terms) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, index, count) of the non-zero cells of an Arrow batch of token lists, by row and index."""
+    tokens = tokens.combine_chunks() if isinstance(tokens, pa.ChunkedArray) else tokens
+    lens = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+    at = pc.index_in(tokens.flatten(), value_set=terms)
+    row = np.repeat(np.arange(len(tokens)), lens)
+    known = at.is_valid().to_numpy(zero_copy_only=False)
+    cell, n = np.unique(row[known] * max(1, len(terms)) + pc.fill_null(at, 0).to_numpy(zero_copy_only=False)[known].astype(np.int64), return_counts=True)
+    return cell // max(1, len(terms)), cell % max(1, len(terms)), n
+
+
+def _cells(df: DataFrame, vocab: Vocabulary, keep, tokens_col: str, schema: str, fn) -> DataFrame:
+    """``fn(batch, row, index, count)`` gives the columns of ``schema`` for each Arrow batch; the tokens
+    of a batch are looked up in the vocabulary in one vectorised pass."""
+    keep, terms = list(keep), list(vocab.terms)
+    sub = df.select(*keep, tokens_col)
+    kinds = dict(sub.dtypes)
+    names = [*keep, *[f.split()[0] for f in schema.split(", ")]]
+
+    def run(batches):
+        listed = None
+        for b in batches:
+            col = b.column(len(keep))
+            if listed is None:
+                listed = pa.array(terms, col.type.value_type)
+            out = fn(b, *vocabulary_cells(col, listed), listed)
+            yield pa.RecordBatch.from_arrays(out, names=names)
+
+    return sub.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), schema]))
+
+
+def count_long(df: DataFrame, vocab: Vocabulary, tokens_col: str = "tokens", keep=("doc_id",), binary: bool = False) -> DataFrame:
+    """ML-1 / ML-2 in long form: (doc, idx, term, value) of the non-zero cells."""
+    def rows(b, row, idx, n, listed):
+        take = pa.array(row)
+        return [*(b.column(i).take(take) for i in range(b.num_columns - 1)), pa.array(idx.astype(np.int32)), listed.take(pa.array(idx)),
+                pa.array(np.ones(len(n)) if binary else n.astype(np.float64))]
+    return _cells(df, vocab, keep, tokens_col, "idx int, term string, value double", rows)
+
 
+def _tfidf(row, idx, n, idf, n_rows):
+    raw = n * idf[idx]
+    norm = np.sqrt(np.bincount(row, raw * raw, minlength=n_rows))
+    return raw / norm[row]
 
-def tfidf_long(df: DataFrame, max_features: int = 2000, tokens_col: str = "tokens",
-               doc_col: str = "doc_id") -> DataFrame:
-    """ML-3 in long form: (doc_id, term, tf, tfidf) for non-zero cells."""
+
+def tfidf_long(df: DataFrame, max_features: int = 2000, tokens_col: str = "tokens", doc_col: str = "doc_id") -> DataFrame:
+    """ML-3 in long form: (doc_id, term, tf, tfidf) of the non-zero cells."""
     vocab = fit_vocabulary(df, max_features, tokens_col)
-    cv = count_vectors(df.select(doc_col, tokens_col), vocab, tokens_col, "_tf")
-    ep = ElementwiseProduct(scalingVec=Vectors.dense(vocab.idf()), inputCol="_tf", outputCol="_w")
-    nm = Normalizer(p=2.0, inputCol="_w", outputCol="_n")
-    vec = nm.transform(ep.transform(cv))
-    tf = vector_to_array(F.col("_tf"))
-    nv = vector_to_array(F.col("_n"))
-    terms = F.array(*[F.lit(t) for t in vocab.terms])
-    cells = F.filter(F.transform(F.arrays_zip(tf.alias("tf"), nv.alias("w")),
-                                 lambda z, i: F.struct(i.alias("idx"), z["tf"].alias("tf"), z["w"].alias("w"))),
-                     lambda s: s["tf"] > 0)
-    return (vec.select(doc_col, F.explode(cells).alias("e"))
-               .select(F.col(doc_col), F.element_at(terms, F.col("e.idx") + 1).alias("term"),
-                       F.col("e.tf").cast("long").alias("tf"), F.col("e.w").alias("tfidf")))
+    idf = np.array(vocab.idf())
+
+    def rows(b, row, idx, n, listed):
+        return [b.column(0).take(pa.array(row)), listed.take(pa.array(idx)), pa.array(n), pa.array(_tfidf(row, idx, n, idf, b.num_rows))]
+    return _cells(df, vocab, [doc_col], tokens_col, "term string, tf bigint, tfidf double", rows)
+
+
+def tfidf_sparse(df: DataFrame, vocab: Vocabulary, keep=("doc_id",), tokens_col: str = "tokens") -> DataFrame:
+    """ML-3 as rows (keep…, idx, val): the indices and values of a document's non-zero cells."""
+    idf = np.array(vocab.idf())
+
+    def rows(b, row, idx, n, listed):
+        cuts = pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32))
+        val = _tfidf(row, idx, n, idf, b.num_rows)
+        return [*b.columns[:-1], pa.ListArray.from_arrays(cuts, pa.array(idx.astype(np.int32))), pa.ListArray.from_arrays(cuts, pa.array(val))]
+    return _cells(df, vocab, keep, tokens_col, "idx array<int>, val array<double>", rows)
+
+
+def word_indices(df: DataFrame, vocab: Vocabulary, keep=("doc_id",), tokens_col: str = "tokens", out_col: str = "words") -> DataFrame:
+    """Rows (keep…, words): the vocabulary indices of a document's known tokens, repeats included, in
+    index order."""
+    def rows(b, row, idx, n, listed):
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(row, n, minlength=b.num_rows))]).astype(np.int32)
+        return [*b.columns[:-1], pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.repeat(idx, n).astype(np.int32)))]
+    return _cells(df, vocab, keep, tokens_col, f"{out_col} array<int>", rows)

@@ -72,8 +72,7 @@ def _count_sql(binary: bool) -> str:
 def _count_query(spark, sf_dir, binary):
     tok = fx.tokens(spark, sf_dir)
     vocab = feats.fit_vocabulary(tok, MAX_FEATURES)
-    vec = feats.count_vectors(tok, vocab, binary=binary)
-    return feats.sparse_entries(vec, "counts", vocab)
+    return feats.count_long(tok, vocab, binary=binary)
 
 
 @register("count_features", lambda: _count_sql(False))

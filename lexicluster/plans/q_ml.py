@@ -15,7 +15,7 @@ from ..operators import deep as DP
 from ..operators import features as feats
 from ..operators import training as TR
 from ..operators.common import literal_matrix
-from ..operators.kmeans_runs import kmeans_runs, sparse_parts
+from ..operators.kmeans_runs import kmeans_runs
 from ..operators.topics import gsdmm
 from . import fixtures as fx
 from .registry import register
@@ -31,8 +31,7 @@ def _props(spark, items):
 def _tfidf_data(spark, sf_dir):
     tok = fx.tokens(spark, sf_dir)
     vocab = feats.fit_vocabulary(tok, 2000)
-    vec = feats.tfidf_vectors(tok, vocab).select("doc_id", "label", "features")
-    return sparse_parts(vec, "features").select("doc_id", "label", "idx", "val").persist(), vocab
+    return feats.tfidf_sparse(tok, vocab, ["doc_id", "label"]).persist(), vocab
 
 
 @register("kmeans")
@@ -122,8 +121,7 @@ def q_lda_kmeans(spark, sf_dir):
 def _gsdmm_docs(spark, sf_dir):
     tok = fx.tokens(spark, sf_dir)
     vocab = feats.fit_vocabulary(tok, 2000)
-    words = F.filter(F.transform("tokens", lambda t: F.array_position(F.array(*[F.lit(w) for w in vocab.terms]), t) - 1), lambda i: i >= 0)
-    return tok.select("doc_id", "label", words.cast("array<int>").alias("words")).filter(F.size("words") > 0), len(vocab.terms)
+    return feats.word_indices(tok, vocab, ["doc_id", "label"]).filter(F.size("words") > 0), len(vocab.terms)
 
 
 @register("gsdmm")
@@ -135,9 +133,37 @@ def q_gsdmm(spark, sf_dir):
     j = z.join(docs, "doc_id")
     r = j.agg(F.count(F.lit(1)).alias("d"), F.sum(F.size("words")).alias("w"), F.max("z").alias("zmax")).first()
     tot = docs.agg(F.count(F.lit(1)).alias("d"), F.sum(F.size("words")).alias("w")).first()
+    docs.unpersist()
     return _props(spark, [("docs_conserved", r["d"] == tot["d"]), ("words_conserved", r["w"] == tot["w"]), ("z_in_range", r["zmax"] < 8)])
 
 
+def _gsdmm_sweep_sql():
+    from .q_features import _pairs_sql, _vocab_sql
+    from .sqlparts import corpus_cte, tokens_cte
+    return (with_(corpus_cte(), tokens_cte(), _pairs_sql(), _vocab_sql(),
+                  "dw AS MATERIALIZED (SELECT p.doc_id, v.idx AS w, p.tf AS n, p.doc_id % 8 AS z FROM pairs p JOIN vocab v USING (term))",
+                  "d AS MATERIALIZED (SELECT doc_id, any_value(z) AS z, sum(n) AS len FROM dw GROUP BY doc_id)",
+                  "k AS (SELECT range AS k FROM range(8))",
+                  "mk AS (SELECT k, count(doc_id) AS m, coalesce(sum(len), 0) AS nk FROM k LEFT JOIN d ON d.z = k GROUP BY k)",
+                  "nkw AS MATERIALIZED (SELECT z AS k, w, sum(n) AS n FROM dw GROUP BY z, w)",
+                  "top AS (SELECT dw.doc_id, k.k, sum(list_sum(list_transform(range(dw.n::BIGINT), lambda j: ln(coalesce(nkw.n, 0) - "
+                  "CASE WHEN k.k = dw.z THEN dw.n ELSE 0 END + 0.1 + j)))) AS lp FROM dw CROSS JOIN k LEFT JOIN nkw ON nkw.k = k.k AND nkw.w = dw.w GROUP BY dw.doc_id, k.k)",
+                  "bot AS (SELECT d.doc_id, mk.k, ln(mk.m - CASE WHEN mk.k = d.z THEN 1 ELSE 0 END + 0.1) - list_sum(list_transform(range(d.len::BIGINT), "
+                  "lambda i: ln(mk.nk - CASE WHEN mk.k = d.z THEN d.len ELSE 0 END + vs.v * 0.1 + i))) AS lp FROM d, mk, (SELECT count(*) AS v FROM vocab) vs)",
+                  "p AS (SELECT doc_id, k, exp(top.lp + bot.lp - max(top.lp + bot.lp) OVER (PARTITION BY doc_id)) AS p FROM top JOIN bot USING (doc_id, k))",
+                  "c AS (SELECT doc_id, k, sum(p) OVER (PARTITION BY doc_id ORDER BY k) / sum(p) OVER (PARTITION BY doc_id) AS c, "
+                  "CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM p)")
+            + "SELECT doc_id, CAST(least(count(*) FILTER (c < u), 7) AS INTEGER) AS z FROM c GROUP BY doc_id")
+
+
+@register("gsdmm_sweep", _gsdmm_sweep_sql)
+def q_gsdmm_sweep(spark, sf_dir):
+    """ML-10, one sweep with fixed draws (from the md5 of the id) and the start doc_id mod 8."""
+    docs, V = _gsdmm_docs(spark, sf_dir)
+    u = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("double") / 4294967296.0
+    return gsdmm(docs.select("doc_id", "words"), 8, V, 0.1, 0.1, 1, start=(F.col("doc_id") % 8).cast("int"), draw=lambda sweep: u)
+
+
 def _tiny_net():
     net = DP.tiny_network([64, 8])
     dec = DP.tiny_network([8, 64])
