@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..functions.vectors import argmax
+from ..session import checkpoint
 
 
 # ---------------------------------------------------------------- assignment / centres
@@ -64,7 +65,7 @@ def assign_nearest(df: DataFrame, centers: list[list[float]], x_col: str = "x",
     return rest.mapInArrow(run, StructType([*rest.schema.fields, *new]))
 
 
-def assigned_center(df: DataFrame, centers: DataFrame, pred_col: str = "pred", n_clusters: int | None = None) -> DataFrame:
+def assigned_center(df: DataFrame, centers: DataFrame, pred_col: str = "pred") -> DataFrame:
     """JOIN-8: each row's assigned centre vector (equi-join; centres bounded by K)."""
     c = centers.select(F.col("center_id").alias(pred_col), F.col("center"))
     return df.join(c, pred_col)
@@ -231,12 +232,15 @@ def lda_cluster(df: DataFrame, n_topics: int, features_col: str = "counts", seed
     return out.withColumn(pred_col, argmax("theta")).drop("topics")
 
 
-def lda_kmeans_cluster(df: DataFrame, n_topics: int, k: int, features_col: str = "counts", seed: int = 0,
-                       n_init: int = 10) -> KMeansResult:
-    """ML-9: k-means on the LDA topic distributions."""
-    t = lda_cluster(df, n_topics, features_col, seed).withColumnRenamed("pred", "topic")
-    t = t.withColumn("_theta_v", array_to_vector(F.col("theta")))
-    return kmeans(t, k, n_init, seed, features_col="_theta_v")
+def lda_kmeans_cluster(df: DataFrame, n_topics: int, k: int, features_col: str = "counts", seed: int = 0, n_init: int = 10,
+                       max_iter: int = 50, id_col: str = "doc_id") -> DataFrame:
+    """ML-9: k-means (best of ``n_init`` restarts) on the LDA topic distributions: (id, theta, pred)."""
+    from .kmeans_runs import kmeans_runs
+    t = lda_cluster(df, n_topics, features_col, seed, max_iter).select(id_col, "theta").persist()
+    Cs, inertia, _ = kmeans_runs(t, k, n_init, id_col, "theta", seed=seed)
+    out = checkpoint(assign_nearest(t, Cs[int(np.argmin(inertia))].tolist(), "theta", "pred"))
+    t.unpersist()
+    return out
 
 
 def logistic_regression(df: DataFrame, features_col: str = "counts", label_col: str = "pred",

@@ -11,9 +11,8 @@ def project_columns(df: DataFrame, cols) -> DataFrame:
     return df.select(*cols)
 
 
-def seed_mask_and_label(df: DataFrame, seeds: DataFrame, id_col: str = "id", max_seeds: int | None = None) -> DataFrame:
-    """PRJ-2: per row a 0/1 seed mask and the seed label (0 when not seeded).  Seeds are a few per
-    class; broadcast only when their bound is known."""
+def seed_mask_and_label(df: DataFrame, seeds: DataFrame, id_col: str = "id") -> DataFrame:
+    """PRJ-2: per row a 0/1 seed mask and the seed label (0 when not seeded)."""
     s = seeds.select(F.col(id_col), F.col("label").alias("_seed_label"))
     j = df.join(s, id_col, "left")
     return (j.withColumn("mask", F.when(F.col("_seed_label").isNotNull(), 1).otherwise(0))
@@ -55,10 +54,10 @@ def drop_empty_docs(df: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     return df.filter(F.size(tokens_col) > 0)
 
 
-def docs_containing_tokens(df: DataFrame, words: DataFrame, tokens_col: str, max_words: int,
+def docs_containing_tokens(df: DataFrame, words: DataFrame, tokens_col: str,
                            word_col: str = "word") -> DataFrame:
-    """FLT-5 for a list of words at once: whole-token equality (not substring) via one broadcast
-    equi-join of each document's distinct tokens with the bounded word list."""
+    """FLT-5 for a list of words at once: whole-token equality (not substring) via one equi-join of each
+    document's distinct tokens with the word list."""
     ex = df.withColumn("_tok", F.explode(F.array_distinct(F.col(tokens_col))))
     w = words.select(F.col(word_col).alias("_tok")).distinct()
     return ex.join(w, "_tok").withColumnRenamed("_tok", word_col)

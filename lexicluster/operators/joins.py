@@ -14,13 +14,12 @@ def constraint_pair_features(pairs: DataFrame, feat: DataFrame, id_col: str = "i
                  .join(f.withColumnRenamed(id_col, "id2").withColumnRenamed(x_col, "x2"), "id2"))
 
 
-def seed_features(feat: DataFrame, seeds: DataFrame, id_col: str = "id", max_seeds: int | None = None) -> DataFrame:
-    """JOIN-2: features of the seed rows (seeds are bounded: seed_num per class)."""
-    s = seeds
-    return feat.join(s, id_col)
+def seed_features(feat: DataFrame, seeds: DataFrame, id_col: str = "id") -> DataFrame:
+    """JOIN-2: features of the seed rows."""
+    return feat.join(seeds, id_col)
 
 
-def known_tokens(tokens: DataFrame, word_vectors: DataFrame, token_col: str = "token", max_words: int | None = None) -> DataFrame:
+def known_tokens(tokens: DataFrame, word_vectors: DataFrame, token_col: str = "token") -> DataFrame:
     """JOIN-3: token rows that have a word vector (left semi-join)."""
     wv = word_vectors.select(F.col("word").alias(token_col))
     return tokens.join(wv, token_col, "left_semi")
@@ -56,11 +55,12 @@ def vocab_intersect(asked: DataFrame, available: DataFrame, word_col: str = "wor
     return asked.select(word_col).intersect(available.select(word_col))
 
 
-def token_vectors(tokens: DataFrame, word_vectors: DataFrame, token_col: str = "token", max_words: int | None = None) -> DataFrame:
-    """JOIN-5: token → vector, position kept.  The word table is broadcast when its size is bounded
-    (a vocabulary of max_words); otherwise a shuffle join with AQE skew handling for frequent words."""
+def token_vectors(tokens: DataFrame, word_vectors: DataFrame, token_col: str = "token", max_broadcast: int = 20_000) -> DataFrame:
+    """JOIN-5: token → vector, position kept.  A word table of at most ``max_broadcast`` words is
+    broadcast; a larger one is joined by a shuffle, where AQE splits frequent words."""
     wv = word_vectors.select(F.col("word").alias(token_col), F.col("vec"))
-    return tokens.join(wv, token_col)
+    few = wv.limit(max_broadcast + 1).count() <= max_broadcast
+    return tokens.join(F.broadcast(wv) if few else wv.hint("merge"), token_col)
 
 
 def feature_word_vectors(words: DataFrame, word_vectors: DataFrame, word_col: str = "word") -> DataFrame:

@@ -1,25 +1,31 @@
 """k-means with many restarts advanced together (ML-6 at scale).
 
 Every Lloyd iteration is ONE pass over the rows for all runs (trials × restarts): each task
-computes distances to the R·K broadcast centres with a NumPy matmul on an Arrow batch and emits
-per-(run, cluster) partial sums; one aggregation keyed by (run, cluster) finishes the step.
-Seeding is k-means++ for every run at once, K passes, each drawing one row per run with
-probability ∝ D² by the exponential-key method (min of −ln(u)/D², u a per-(seed, run, row, step)
-hash), so the draw is exact, distributed and reproducible.  Rows may be dense (ARRAY<DOUBLE>) or
-sparse (index / value arrays); sparse rows cross into Python as their non-zeros only.
+computes the distances to all R·K broadcast centres in one matrix product per block of rows and
+emits per-(run, cluster) partial sums; they are added up in two levels, by (run, cluster, salt) and
+by (run, cluster), so that no reducer meets a row of every task.
+
+Seeding is k-means|| for every run at once, in a number of passes that doesn't depend on K: after a
+first row, each of ``ROUNDS`` passes draws 2·K further rows per run with probability ∝ D² by the
+exponential-key method (the smallest −ln(u)/D², u a per-(seed, run, row, step) hash), so the draw
+is exact, distributed and reproducible; a last pass weighs the drawn rows by their neighbours, and
+weighted k-means++ on these few rows gives the centres to start from.  Rows may be dense
+(ARRAY<DOUBLE>) or sparse (index / value arrays); sparse rows cross into Python as their non-zeros only.
 """
 from __future__ import annotations
 
 import hashlib
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.functions import array_to_vector
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+ROUNDS, SALTS, CELLS = 3, 32, 1 << 21
+
 
 def sparse_parts(df: DataFrame, vec_col: str, idx_col: str = "idx", val_col: str = "val") -> DataFrame:
     """ML vector → non-zero (index, value) arrays, computed JVM-side once."""
@@ -39,25 +45,33 @@ def _uniform(seed: int, run: int, step: int, ids: np.ndarray) -> np.ndarray:
 
 
 class _Rows:
-    """An Arrow batch as a dense matrix, or as its non-zeros (row, column, value) for sparse rows;
-    the k-means kernels below never densify sparse rows."""
-
-    def __init__(self, x_col, idx_col, val_col, dim):
-        self.x_col, self.idx_col, self.val_col, self.dim = x_col, idx_col, val_col, dim
-
-    def load(self, pdf: pd.DataFrame):
-        n = len(pdf)
-        if self.x_col is not None:
-            X = np.vstack(pdf[self.x_col].to_numpy()).astype(np.float64) if n else np.zeros((0, self.dim))
-            return _Dense(X)
-        lens = pdf[self.idx_col].map(len).to_numpy()
-        r = np.repeat(np.arange(n), lens)
-        c = np.concatenate(pdf[self.idx_col].to_numpy()).astype(np.int64) if lens.sum() else np.zeros(0, np.int64)
-        v = np.concatenate(pdf[self.val_col].to_numpy()).astype(np.float64) if lens.sum() else np.zeros(0)
-        return _Sparse(n, self.dim, r, c, v)
-
-    def matrix(self, pdf: pd.DataFrame) -> np.ndarray:
-        return self.load(pdf).dense()
+    """Blocks of rows of Arrow batches: dense matrices of at most ``CELLS`` cells, or the non-zeros alone
+    where a block of dense rows would be a few rows only."""
+
+    def __init__(self, id_col, x_col, idx_col, val_col, dim):
+        self.dim, self.sparse = dim, x_col is None
+        self.cols = [id_col] + ([idx_col, val_col] if self.sparse else [x_col])
+
+    def blocks(self, batches):
+        """(ids, rows) of every block."""
+        for b in batches:
+            step = max(1, CELLS // self.dim) if self.dim <= CELLS >> 6 else 4096
+            for at in range(0, b.num_rows, step):
+                part = b.slice(at, step)
+                n, ids = part.num_rows, part.column(0).to_numpy(zero_copy_only=False)
+                if not self.sparse:
+                    yield ids, _Dense(part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1))
+                    continue
+                lens = np.diff(part.column(1).offsets.to_numpy())
+                row = np.repeat(np.arange(n), lens)
+                col = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                val = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                if self.dim <= CELLS >> 6:
+                    X = np.zeros((n, self.dim))
+                    X[row, col] = val
+                    yield ids, _Dense(X)
+                else:
+                    yield ids, _Sparse(n, self.dim, row, col, val)
 
 
 class _Dense:
@@ -70,13 +84,11 @@ class _Dense:
     def dot(self, C):
         return self.X @ C.T
 
-    def scatter(self, j, K):
-        onehot = np.zeros((self.n, K))
-        onehot[np.arange(self.n), j] = 1.0
-        return onehot.T @ self.X
-
-    def row(self, i):
-        return self.X[i]
+    def sums(self, j, K):
+        """Per (run, cluster) the sum of the rows: ``j`` holds the cluster of each row in each run."""
+        onehot = np.zeros((self.n, j.shape[1] * K))
+        onehot[np.arange(self.n)[:, None], j + np.arange(j.shape[1]) * K] = 1.0
+        return (onehot.T @ self.X).reshape(j.shape[1], K, -1)
 
     def colsum(self):
         return self.X.sum(0), (self.X * self.X).sum(0)
@@ -93,16 +105,10 @@ class _Sparse:
         return np.bincount(self.r, self.v * self.v, minlength=self.n)
 
     def dot(self, C):
-        return np.stack([np.bincount(self.r, C[k, self.c] * self.v, minlength=self.n) for k in range(C.shape[0])], 1)
+        return np.stack([np.bincount(self.r, row[self.c] * self.v, minlength=self.n) for row in C], 1)
 
-    def scatter(self, j, K):
-        return np.bincount(j[self.r] * self.d + self.c, self.v, minlength=K * self.d).reshape(K, self.d)
-
-    def row(self, i):
-        out = np.zeros(self.d)
-        m = self.r == i
-        out[self.c[m]] = self.v[m]
-        return out
+    def sums(self, j, K):
+        return np.stack([np.bincount(j[self.r, t] * self.d + self.c, self.v, minlength=K * self.d).reshape(K, self.d) for t in range(j.shape[1])])
 
     def colsum(self):
         return np.bincount(self.c, self.v, minlength=self.d), np.bincount(self.c, self.v * self.v, minlength=self.d)
@@ -113,127 +119,173 @@ class _Sparse:
         return out
 
 
-def _nearest(X, C, cnorm):
-    """argmin and min squared distance of rows X (n×D, dense or _Dense/_Sparse) to centres C (K×D)."""
-    if isinstance(X, np.ndarray):
-        X = _Dense(X)
-    d = X.sq()[:, None] - 2.0 * X.dot(C) + cnorm[None, :]
-    j = d.argmin(1)
-    return j, np.maximum(d[np.arange(X.n), j], 0.0)
+def _nearest(X, C):
+    """Of rows X to the centres C (runs × K × D) of each run: nearest centre and squared distance (n × runs)."""
+    R, K, D = C.shape
+    d = X.sq()[:, None] - 2.0 * X.dot(C.reshape(R * K, D)) + (C * C).sum(2).ravel()[None, :]
+    d = d.reshape(X.n, R, K)
+    j = d.argmin(2)
+    return j, np.maximum(np.take_along_axis(d, j[:, :, None], 2)[:, :, 0], 0.0)
+
+
+def _lists(M: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(M) + 1, dtype=np.int32) * M.shape[1]), pa.array(np.ascontiguousarray(M).ravel()))
+
+
+def _padded(cands: list[np.ndarray]) -> np.ndarray:
+    """Candidates of all runs as one array; a run with fewer repeats its first."""
+    most = max(len(c) for c in cands)
+    return np.stack([np.concatenate([c, np.repeat(c[:1], most - len(c), axis=0)]) for c in cands])
+
+
+def _seed(data: DataFrame, dec: _Rows, k: int, R: int, seed: int) -> np.ndarray:
+    """Centres to start from (runs × k × D)."""
+    spark, id_col = data.sparkSession, dec.cols[0]
+    kind = dict(data.dtypes)[id_col]
+    cands: list[np.ndarray] = [np.zeros((0, dec.dim))] * R
+
+    def drawn(step: int, take: int) -> None:
+        """Add ``take`` rows to the candidates of each run."""
+        sent = spark.sparkContext.broadcast(_padded(cands) if step else None)
+
+        def draw(batches):
+            best = None                                                      # per run the smallest keys and their ids
+            for ids, X in dec.blocks(batches):
+                u = np.stack([_uniform(seed, r, step, ids) for r in range(R)], 1)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    key = u if sent.value is None else -np.log(u) / _nearest(X, sent.value)[1]
+                key = np.where(np.isfinite(key), key, np.inf)
+                rid = np.repeat(ids[:, None], R, axis=1)
+                if best is not None:
+                    key, rid = np.concatenate([best[0], key]), np.concatenate([best[1], rid])
+                at = np.argsort(key, axis=0, kind="stable")[:take]
+                best = np.take_along_axis(key, at, 0), np.take_along_axis(rid, at, 0)
+            if best is not None:
+                i, run = np.nonzero(np.isfinite(best[0]))
+                yield pa.RecordBatch.from_arrays([pa.array(run.astype(np.int32)), pa.array(best[0][i, run]), pa.array(best[1][i, run])],
+                                                 names=["run", "key", "rid"])
+
+        rank = F.row_number().over(Window.partitionBy("run").orderBy("key", "rid"))
+        picks = data.mapInArrow(draw, f"run int, key double, rid {kind}").withColumn("_r", rank).where(F.col("_r") <= take).select("run", "rid").collect()
+        sent.destroy()
+        # At most R · take ids; their rows come by a broadcast join.
+        wanted = spark.createDataFrame([(p["rid"],) for p in picks], f"`{id_col}` {kind}").distinct()
+        found = data.join(F.broadcast(wanted), id_col).select(dec.cols).dropDuplicates([id_col]).toArrow()
+        rows = {}
+        for ids, X in dec.blocks(found.to_batches()):
+            rows |= dict(zip(ids.tolist(), X.dense()))
+        for p in sorted(picks):
+            cands[p["run"]] = np.concatenate([cands[p["run"]], rows[p["rid"]][None]])
+
+    drawn(0, 1)
+    for step in range(1, ROUNDS + 1 if k > 1 else 1):
+        drawn(step, 2 * k)
+    if not len(cands[0]):
+        return np.zeros((R, k, dec.dim))
+    every = _padded(cands)
+    sent = spark.sparkContext.broadcast(every)
+
+    def weigh(batches):
+        n = np.zeros(every.shape[:2], np.int64)
+        for _, X in dec.blocks(batches):
+            j, _ = _nearest(X, sent.value)
+            for r in range(R):
+                n[r] += np.bincount(j[:, r], minlength=n.shape[1])
+        r, c = np.nonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(n[r, c])], names=["run", "c", "n"])
+
+    weight = np.zeros(every.shape[:2])
+    for row in data.mapInArrow(weigh, "run int, c int, n long").groupBy("run", "c").agg(F.sum("n").alias("n")).collect():
+        weight[row["run"], row["c"]] = row["n"]
+    sent.destroy()
+    return np.stack([_weighted_start(every[r], weight[r], k, np.random.default_rng([seed, r])) for r in range(R)])
+
+
+def _weighted_start(X: np.ndarray, w: np.ndarray, k: int, rng, iterations: int = 20) -> np.ndarray:
+    """k centres of a few weighted rows: weighted k-means++ and Lloyd iterations."""
+    C = [X[rng.choice(len(X), p=w / w.sum())]]
+    d = ((X - C[0]) ** 2).sum(1)
+    while len(C) < k:
+        p = w * d
+        # Fewer distinct rows than centres: the last centre is repeated.
+        C.append(X[rng.choice(len(X), p=p / p.sum())] if p.sum() > 0 else C[-1])
+        d = np.minimum(d, ((X - C[-1]) ** 2).sum(1))
+    C = np.array(C)
+    for _ in range(iterations):
+        j = ((X * X).sum(1)[:, None] - 2 * X @ C.T + (C * C).sum(1)).argmin(1)
+        n = np.bincount(j, w, minlength=k)
+        total = np.zeros_like(C)
+        np.add.at(total, j, X * w[:, None])
+        new = np.where(n[:, None] > 0, total / np.maximum(n, 1e-300)[:, None], C)
+        if np.allclose(new, C):
+            break
+        C = new
+    return C
 
 
 def kmeans_runs(df: DataFrame, k: int, n_runs: int, id_col: str = "id", x_col: str | None = "x",
                 idx_col: str | None = None, val_col: str | None = None, dim: int | None = None,
                 seed: int = 0, max_iter: int = 300, tol: float = 1e-4):
-    """Run ``n_runs`` independent k-means (k-means++ seeding, Lloyd) over the same rows.
+    """Run ``n_runs`` independent k-means (k-means|| seeding, Lloyd) over the same rows.
     Returns (centres[R][K][D], inertia[R], iterations)."""
     spark = df.sparkSession
     cols = [id_col] + ([x_col] if x_col else [idx_col, val_col])
     data = df.select(*cols).persist()
     if dim is None:
         dim = data.select(F.size(x_col)).first()[0]
-    dec = _Rows(x_col, idx_col, val_col, dim)
+    dec = _Rows(id_col, x_col, idx_col, val_col, dim)
     R = n_runs
 
     # tolerance relative to the mean per-feature variance, as in the common k-means definition
-    def moments(it):
+    def moments(batches):
         s, s2, n = np.zeros(dim), np.zeros(dim), 0
-        for pdf in it:
-            X = dec.load(pdf)
+        for _, X in dec.blocks(batches):
             a, b = X.colsum()
-            s += a; s2 += b; n += X.n
-        yield pd.DataFrame({"s": [s.tolist()], "s2": [s2.tolist()], "n": [n]})
-    mom = data.mapInPandas(moments, "s array<double>, s2 array<double>, n long") \
+            s += a
+            s2 += b
+            n += X.n
+        yield pa.RecordBatch.from_arrays([_lists(s[None]), _lists(s2[None]), pa.array([n], pa.int64())], names=["s", "s2", "n"])
+    mom = data.mapInArrow(moments, "s array<double>, s2 array<double>, n long") \
         .select(array_to_vector("s").alias("s"), array_to_vector("s2").alias("s2"), "n") \
         .agg(Summarizer.sum(F.col("s")).alias("s"), Summarizer.sum(F.col("s2")).alias("s2"), F.sum("n").alias("n")).first()
     n_tot, s, s2 = mom["n"], mom["s"].toArray(), mom["s2"].toArray()
     var = s2 / max(n_tot, 1) - (s / max(n_tot, 1)) ** 2
     tol_abs = tol * float(np.mean(var))
 
-    # ---- k-means++ seeding for all runs at once: K passes
-    centers = [[] for _ in range(R)]
-    for step in range(k):
-        bc = spark.sparkContext.broadcast([np.array(c) for c in centers])
-
-        def draw(it, step=step, bc=bc):
-            cs = bc.value
-            best = {}
-            for pdf in it:
-                if pdf.empty:
-                    continue
-                X = dec.load(pdf)
-                ids = pdf[id_col].to_numpy()
-                for r in range(R):
-                    u = _uniform(seed, r, step, ids)
-                    if step == 0:
-                        key = u
-                    else:
-                        C = cs[r]
-                        _, d2 = _nearest(X, C, (C * C).sum(1))
-                        with np.errstate(divide="ignore"):
-                            key = np.where(d2 > 0, -np.log(u) / d2, np.inf)
-                    i = int(np.argmin(key))
-                    if np.isfinite(key[i]) and (r not in best or key[i] < best[r][0]):
-                        best[r] = (float(key[i]), int(ids[i]), X.row(i).tolist())
-            yield pd.DataFrame({"run": list(best), "key": [v[0] for v in best.values()],
-                                "rid": [v[1] for v in best.values()], "x": [v[2] for v in best.values()]})
-
-        picks = (data.mapInPandas(draw, "run int, key double, rid long, x array<double>")
-                     .groupBy("run").agg(F.min_by(F.struct("rid", "x"), F.struct("key", "rid")).alias("p"))
-                     .select("run", "p.x").collect())                       # ≤ R rows
-        got = {r["run"]: r["x"] for r in picks}
-        for r in range(R):
-            if r in got:
-                centers[r].append(list(got[r]))
-            else:                      # fewer distinct points than k: repeat the last centre
-                centers[r].append(list(centers[r][-1]) if centers[r] else [0.0] * dim)
-        bc.unpersist()
-
-    C = np.array(centers, dtype=np.float64)           # R × K × D
-    active = np.ones(R, dtype=bool)
+    C = _seed(data, dec, k, R, seed)                  # R × K × D
+    active = np.arange(R)
     inertia = np.zeros(R)
     it_done = 0
     for it_done in range(1, max_iter + 1):
-        bc = spark.sparkContext.broadcast((C, active))
-
-        def step_fn(it, bc=bc):
-            Cs, act = bc.value
-            sums = np.zeros_like(Cs)
-            cnt = np.zeros(Cs.shape[:2])
-            cost = np.zeros(Cs.shape[0])
-            cn = (Cs * Cs).sum(2)
-            for pdf in it:
-                if pdf.empty:
-                    continue
-                X = dec.load(pdf)
-                for r in range(Cs.shape[0]):
-                    if not act[r]:
-                        continue
-                    j, d2 = _nearest(X, Cs[r], cn[r])
-                    sums[r] += X.scatter(j, Cs.shape[1])
-                    cnt[r] += np.bincount(j, minlength=Cs.shape[1])
-                    cost[r] += d2.sum()
-            rr, kk = np.nonzero(cnt > 0)
-            yield pd.DataFrame({"run": rr.astype(np.int32), "c": kk.astype(np.int32), "n": cnt[rr, kk],
-                                "cost": [cost[r] if i == 0 or rr[i - 1] != r else 0.0 for i, r in enumerate(rr)],
-                                "s": [sums[r, c].tolist() for r, c in zip(rr, kk)]})
-
-        agg = (data.mapInPandas(step_fn, "run int, c int, n double, cost double, s array<double>")
-                   .withColumn("sv", array_to_vector("s"))
-                   .groupBy("run", "c").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"),
-                                            Summarizer.sum(F.col("sv")).alias("s"))
-                   .select("run", "c", "n", "cost", vector_to_array("s").alias("s")).collect())   # ≤ R·K rows
-        bc.unpersist()
-        newC = C.copy()
-        cost = np.zeros(R)
-        for r in agg:
-            newC[r["run"], r["c"]] = np.array(r["s"]) / r["n"]
-            cost[r["run"]] += r["cost"]
-        shift = ((newC - C) ** 2).sum((1, 2))
-        inertia = np.where(active, cost, inertia)
-        C = np.where(active[:, None, None], newC, C)
-        active = active & (shift > tol_abs)
-        if not active.any():
+        sent = spark.sparkContext.broadcast(C[active])
+
+        def step_fn(batches, sent=sent):
+            Cs = sent.value
+            sums, cnt, cost = np.zeros_like(Cs), np.zeros(Cs.shape[:2]), np.zeros(len(Cs))
+            for _, X in dec.blocks(batches):
+                j, d2 = _nearest(X, Cs)
+                sums += X.sums(j, k)
+                cnt += np.stack([np.bincount(j[:, r], minlength=k) for r in range(len(Cs))])
+                cost += d2.sum(0)
+            run, c = np.nonzero(cnt)
+            first = np.concatenate([[True], run[1:] != run[:-1]]) if len(run) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(run.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(cnt[run, c]),
+                                              pa.array(np.where(first, cost[run], 0.0)), _lists(sums[run, c])], names=["run", "c", "n", "cost", "s"])
+
+        total = data.mapInArrow(step_fn, "run int, c int, n double, cost double, s array<double>") \
+            .withColumn("s", array_to_vector("s")).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+        for keys in (["run", "c", "salt"], ["run", "c"]):
+            total = total.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), Summarizer.sum(F.col("s")).alias("s"))
+        rows = total.select("run", "c", "n", "cost", vector_to_array("s").alias("s")).toArrow().to_pydict()      # ≤ R·K rows
+        sent.destroy()
+        new, cost = C[active].copy(), np.zeros(len(active))
+        for run, c, n, x, v in zip(*(rows[f] for f in ("run", "c", "n", "cost", "s"))):
+            new[run, c] = np.array(v) / n
+            cost[run] += x
+        shift = ((new - C[active]) ** 2).sum((1, 2))
+        inertia[active], C[active] = cost, new
+        active = active[shift > tol_abs]
+        if not len(active):
             break
     data.unpersist()
     return C, inertia, it_done
@@ -241,29 +293,23 @@ def kmeans_runs(df: DataFrame, k: int, n_runs: int, id_col: str = "id", x_col: s
 
 def assign_runs(df: DataFrame, centers: np.ndarray, run_ids: list[int], id_col: str = "id", x_col: str | None = "x",
                 idx_col=None, val_col=None, dim: int | None = None, keep=()) -> DataFrame:
-    """(run, id, keep…, pred) for the given runs' centres: one pass, NumPy per Arrow batch."""
-    spark = df.sparkSession
-    dim = dim or centers.shape[2]
-    dec = _Rows(x_col, idx_col, val_col, dim)
-    bc = spark.sparkContext.broadcast((np.asarray(centers), list(run_ids)))
-    keep = list(keep)
-    cols = [id_col, *keep] + ([x_col] if x_col else [idx_col, val_col])
-    sub = df.select(*cols)
-    kschema = ", ".join(f"`{c}` {dict(sub.dtypes)[c]}" for c in keep)
-
-    def fn(it):
-        Cs, runs = bc.value
-        cn = (Cs * Cs).sum(2)
-        for pdf in it:
-            if pdf.empty:
-                continue
-            X = dec.load(pdf)
-            for i, r in enumerate(runs):
-                j, _ = _nearest(X, Cs[i], cn[i])
-                out = pd.DataFrame({"run": np.int32(r), id_col: pdf[id_col].to_numpy()})
-                for c in keep:
-                    out[c] = pdf[c].to_numpy()
-                out["pred"] = j.astype(np.int32)
-                yield out
-
-    return sub.mapInPandas(fn, f"run int, `{id_col}` {dict(sub.dtypes)[id_col]}" + (f", {kschema}" if keep else "") + ", pred int")
+    """(run, id, keep…, pred) for the given runs' centres: one pass, a matrix product per block of rows."""
+    centers, run_ids, keep = np.asarray(centers), list(run_ids), list(keep)
+    dec = _Rows(id_col, x_col, idx_col, val_col, dim or centers.shape[2])
+    sub = df.select(*dec.cols, *keep)
+    kinds = dict(sub.dtypes)
+    sent = df.sparkSession.sparkContext.broadcast(centers)
+
+    def fn(batches):
+        for b in batches:
+            at = 0
+            for ids, X in dec.blocks([b]):
+                part = b.slice(at, X.n)
+                at += X.n
+                j, _ = _nearest(X, sent.value)
+                for r, run in enumerate(run_ids):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(X.n, run, np.int32)), part.column(0), *part.columns[len(dec.cols):],
+                                                      pa.array(j[:, r].astype(np.int32))], names=["run", id_col, *keep, "pred"])
+
+    fields = ["run int", *(f"`{c}` {kinds[c]}" for c in (id_col, *keep)), "pred int"]
+    return sub.mapInArrow(fn, ", ".join(fields))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import LANG_LABELS
 from ..functions.text import vectorizer_tokens
-from ..session import table
+from ..session import checkpoint, table
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,9 +89,9 @@ def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocab = feats.top_vocabulary(feats.term_statistics(tokens(spark, sf_dir)), VOCAB_SIZE)
     emb = feat(spark, sf_dir)
     n = emb.count()
-    return (vocab.join(emb.select("vec_id", "x"),
-                       F.col("vec_id") == F.col("idx") % F.lit(n))
-                 .select(F.col("term").alias("word"), "idx", F.col("x").alias("vec")))
+    # At most VOCAB_SIZE rows, computed once however often they are used.
+    return checkpoint(vocab.join(emb.select("vec_id", "x"), F.col("vec_id") == F.col("idx") % F.lit(n))
+                      .select(F.col("term").alias("word"), "idx", F.col("x").alias("vec")))
 
 
 def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +106,7 @@ def cluster_words(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
     t = token_rows(spark, sf_dir).join(F.broadcast(wv.select(F.col("word").alias("token"))), "token", "left_semi")
     c = t.groupBy(F.col("label").alias("cluster"), F.col("token").alias("word")).agg(F.count(F.lit(1)).alias("count"))
     top = top_k_per_group(c, ["cluster"], [F.col("count").desc(), F.col("word").asc()], k)
-    return top.join(F.broadcast(wv.select("word", "vec")), "word")
+    return checkpoint(top.join(F.broadcast(wv.select("word", "vec")), "word"))          # k words a cluster
 
 
 def explain_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,24 +98,47 @@ def _count_data(spark, sf_dir):
     return feats.count_vectors(tok, vocab, "tokens", "counts"), vocab
 
 
+def _lda_data(spark, sf_dir):
+    from pyspark.ml.functions import vector_to_array
+    from ..functions.vectors import vsum
+    data, vocab = _count_data(spark, sf_dir)
+    return data.filter(vsum(vector_to_array("counts")) > 0), vocab          # FLT-4: documents with a known word
+
+
 @register("lda_cluster")
 def q_lda(spark, sf_dir):
-    """ML-8, 8 topics: each theta row sums to 1, clusters within range."""
-    from pyspark.ml.functions import vector_to_array
+    """ML-8, 30 topics, 50 iterations: each theta row sums to 1, clusters within range."""
     from ..functions.vectors import vsum
-    data, _ = _count_data(spark, sf_dir)
-    data = data.filter(vsum(vector_to_array("counts")) > 0)          # FLT-4: documents with a known word
-    out = C.lda_cluster(data.select("doc_id", "counts"), 8, "counts", seed=0, max_iter=10)
+    data, _ = _lda_data(spark, sf_dir)
+    out = C.lda_cluster(data.select("doc_id", "counts"), 30, "counts", seed=0, max_iter=50)
     r = out.agg(F.max(F.abs(vsum("theta") - 1)).alias("e"), F.min("pred").alias("lo"), F.max("pred").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    return _props(spark, [("rows", r["n"]), ("rows_sum_to_one", r["e"] < 1e-6), ("pred_in_range", 0 <= r["lo"] and r["hi"] < 8)])
+    return _props(spark, [("rows", r["n"]), ("rows_sum_to_one", r["e"] < 1e-6), ("pred_in_range", 0 <= r["lo"] and r["hi"] < 30)])
 
 
 @register("lda_kmeans_cluster")
 def q_lda_kmeans(spark, sf_dir):
-    data, _ = _count_data(spark, sf_dir)
-    t = C.lda_cluster(data.select("doc_id", "counts"), 8, "counts", seed=0, max_iter=10).withColumnRenamed("doc_id", "id")
-    Cs, inertia, _ = kmeans_runs(t.select("id", "theta"), 4, 4, "id", "theta", seed=0)
-    return _props(spark, [("restarts", 4), ("best_inertia_finite", np.isfinite(inertia.min()))])
+    """ML-9: k-means with k = 4, best of 10 restarts, on the distributions over 30 topics; every document
+    is at the centroid of its cluster or nearer to it than to any other."""
+    data, _ = _lda_data(spark, sf_dir)
+    out = C.lda_kmeans_cluster(data.select("doc_id", "counts"), 30, 4, n_init=10)
+    means = C.centers_to_list(C.label_centroids(out, 4, "theta", "pred"), 4)
+    off = C.assign_nearest(out.select("doc_id", "theta", F.col("pred").alias("was")), means, "theta", "pred").where("pred <> was").count()
+    n = out.count()
+    return _props(spark, [("rows", n), ("clusters", out.select("pred").distinct().count()), ("off_centre_share_small", off <= 0.01 * n)])
+
+
+@register("logistic_regression")
+def q_logistic(spark, sf_dir):
+    """ML-11: multinomial regression of the language on binary word features: one row of coefficients a
+    class, and a training accuracy above the largest class."""
+    et = fx.explain_tokens(spark, sf_dir)
+    vocab = feats.fit_vocabulary(et, 2000, "tokens")
+    v = feats.count_vectors(et.select("doc_id", "label", "tokens"), vocab, "tokens", "counts", binary=True).select("doc_id", "label", "counts").persist()
+    m = C.logistic_regression(v, "counts", "label")
+    r = m.transform(v.withColumn("label", F.col("label").cast("double"))).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("acc")).first()
+    largest = v.groupBy("label").count().agg(F.max("count")).first()[0] / v.count()
+    v.unpersist()
+    return _props(spark, [("classes", m.coefficientMatrix.numRows), ("terms", m.coefficientMatrix.numCols), ("above_largest_class", r["acc"] > largest)])
 
 
 def _gsdmm_docs(spark, sf_dir):

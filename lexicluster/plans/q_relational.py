@@ -46,13 +46,13 @@ def q_pair_features(spark, sf_dir):
 @register("seed_features", lambda: with_(feat_cte(), _seeds_sql()) +
           "SELECT f.vec_id, f.label, round(list_sum(f.x), 6) AS total FROM feat f JOIN seeds s USING (vec_id)")
 def q_seed_features(spark, sf_dir):
-    j = J.seed_features(fx.feat(spark, sf_dir), _seeds(spark, sf_dir).select("vec_id"), "vec_id", max_seeds=10 * 1000)
+    j = J.seed_features(fx.feat(spark, sf_dir), _seeds(spark, sf_dir).select("vec_id"), "vec_id")
     return j.select("vec_id", "label", R6(vsum("x")).alias("total"))
 
 
 @register("known_tokens", lambda: with_(*wv_ctes()) + "SELECT doc_id, pos, token FROM trows WHERE token IN (SELECT word FROM wv)")
 def q_known_tokens(spark, sf_dir):
-    return J.known_tokens(fx.token_rows(spark, sf_dir), fx.word_vectors(spark, sf_dir), "token", fx.VOCAB_SIZE).select(
+    return J.known_tokens(fx.token_rows(spark, sf_dir), fx.word_vectors(spark, sf_dir), "token").select(
         "doc_id", "pos", "token")
 
 
@@ -96,7 +96,7 @@ def _tok_vec_sql():
 
 
 def _tok_vec(spark, sf_dir):
-    return J.token_vectors(fx.token_rows(spark, sf_dir), fx.word_vectors(spark, sf_dir), "token", fx.VOCAB_SIZE)
+    return J.token_vectors(fx.token_rows(spark, sf_dir), fx.word_vectors(spark, sf_dir), "token")
 
 
 @register("token_vectors", lambda: with_(*wv_ctes(), _tok_vec_sql()) + "SELECT doc_id, pos, token, round(list_sum(vec), 6) AS total FROM tv")
@@ -248,7 +248,7 @@ for _m in ("max", "mean", "first", "last"):
 def q_pool_sentences(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.split_sentences("text")).alias("sent_no", "sentence"))
     toks = d.select("doc_id", "sent_no", F.explode(T.vectorizer_tokens("sentence")).alias("token"))
-    sv = J.token_vectors(toks, fx.word_vectors(spark, sf_dir), "token", fx.VOCAB_SIZE)
+    sv = J.token_vectors(toks, fx.word_vectors(spark, sf_dir), "token")
     p = A.pool_sentences(sv, "doc_id", "sent_no", "vec")
     return p.select("doc_id", F.posexplode("vec").alias("dim", "v")).select("doc_id", F.col("dim").cast("int"), R6(F.col("v")).alias("value"))
 
@@ -337,7 +337,7 @@ def q_project(spark, sf_dir):
           "SELECT f.vec_id, CASE WHEN s.label IS NULL THEN 0 ELSE 1 END AS mask, coalesce(s.label, 0) AS seed_label FROM feat f LEFT JOIN seeds s USING (vec_id)")
 def q_seed_mask(spark, sf_dir):
     s = _seeds(spark, sf_dir).withColumnRenamed("vec_id", "id")
-    r = FL.seed_mask_and_label(fx.feat(spark, sf_dir).withColumnRenamed("vec_id", "id"), s, "id", max_seeds=10 * 1000)
+    r = FL.seed_mask_and_label(fx.feat(spark, sf_dir).withColumnRenamed("vec_id", "id"), s, "id")
     return r.select(F.col("id").alias("vec_id"), "mask", "seed_label")
 
 
@@ -347,7 +347,7 @@ def q_seed_mask(spark, sf_dir):
 def q_override(spark, sf_dir):
     s = _seeds(spark, sf_dir).withColumnRenamed("vec_id", "id")
     p = fx.pred(spark, sf_dir).withColumnRenamed("vec_id", "id")
-    r = FL.override_with_seed(FL.seed_mask_and_label(p, s, "id", max_seeds=10 * 1000), "pred")
+    r = FL.override_with_seed(FL.seed_mask_and_label(p, s, "id"), "pred")
     return r.select(F.col("id").alias("vec_id"), F.col("pred").cast("int"))
 
 

@@ -21,7 +21,7 @@ TRIM_SQL = "regexp_replace({}, '^[ \\t\\n\\r\\f\\x0B]+|[ \\t\\n\\r\\f\\x0B]+$',
 def q_scan_labeled_csv(spark, sf_dir):
     p = shared_path(spark, "labeled_csv")
     S.write_labeled_csv(fx.corpus(spark, sf_dir), p)
-    return R.scan_labeled_csv(spark, p)
+    return R.scan_labeled_csv(spark, p, multiline=True)
 
 
 @register("write_labeled_csv", lambda: with_(corpus_cte()) + "SELECT label, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM corpus GROUP BY label")
@@ -39,7 +39,7 @@ def q_scan_raw(spark, sf_dir):
     c = fx.corpus(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
     p = shared_path(spark, "raw_class")
     S._csv(c.select((F.col("label") + 1).alias("c0"), "source", "text"), p)
-    return R.scan_raw_class_csv(spark, p, 3, mode="join")
+    return R.scan_raw_class_csv(spark, p, 3, mode="join", multiline=True)
 
 
 @register("scan_multi_column_corpus", "SELECT CAST(turn % 4 AS INTEGER) AS label, role || ' ' || text AS text FROM conversations")
@@ -47,7 +47,7 @@ def q_scan_multi(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     p = shared_path(spark, "multi_col")
     S._csv(c.select((F.col("turn") % 4).cast("int").alias("c0"), "role", "text"), p)
-    return R.scan_multi_column_corpus(spark, p, 3)
+    return R.scan_multi_column_corpus(spark, p, 3, multiline=True)
 
 
 @register("scan_json_corpus", lambda: with_(corpus_cte()) + "SELECT text, label AS cluster FROM corpus")

@@ -147,7 +147,7 @@ def q_docs_containing_token(spark, sf_dir):
     toks = d.select("doc_id", T.whitespace_tokens("text").alias("toks"))
     words = (toks.select(F.explode("toks").alias("token")).groupBy("token").count()
              .orderBy(F.col("count").desc(), "token").limit(20).select(F.col("token").alias("word")))
-    return docs_containing_tokens(toks, words, "toks", max_words=20).select("word", "doc_id")
+    return docs_containing_tokens(toks, words, "toks").select("word", "doc_id")
 
 
 @register("relative_position", lambda:
@@ -162,7 +162,7 @@ def q_relative_position(spark, sf_dir):
     toks = d.select("doc_id", T.whitespace_tokens("text").alias("toks"))
     words = (toks.select(F.explode("toks").alias("token")).groupBy("token").count()
              .orderBy(F.col("count").desc(), "token").limit(20).select(F.col("token").alias("word")))
-    hits = docs_containing_tokens(toks, words, "toks", max_words=20)
+    hits = docs_containing_tokens(toks, words, "toks")
     return hits.select("word", "doc_id", F.round(T.relative_position("toks", F.col("word")), 6).alias("rel_pos"))
 
 

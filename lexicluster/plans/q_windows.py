@@ -11,12 +11,12 @@ from .sqlparts import corpus_cte, feat_cte, shuffle_key, with_
 
 
 def _sample_size(label_col="label"):
-    return F.lit(50) + F.lit(25) * F.col(label_col)
+    return F.lit(500) + F.lit(500) * F.col(label_col)
 
 
 @register("stratified_sample", lambda: with_(corpus_cte()) +
           "SELECT doc_id, label FROM (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY "
-          f"{shuffle_key('doc_id')}, doc_id) AS rn FROM corpus) WHERE rn <= 50 + 25 * label")
+          f"{shuffle_key('doc_id')}, doc_id) AS rn FROM corpus) WHERE rn <= 500 + 500 * label")
 def q_stratified(spark, sf_dir):
     c = fx.corpus(spark, sf_dir).select("doc_id", "label")
     return W.stratified_sample(c, "doc_id", "label", _sample_size(), seed=42, strict=False)
@@ -24,7 +24,7 @@ def q_stratified(spark, sf_dir):
 
 @register("union_selections", lambda: with_(corpus_cte()) +
           "SELECT label, count(*) AS n FROM (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY "
-          f"{shuffle_key('doc_id')}, doc_id) AS rn FROM corpus) WHERE rn <= 50 + 25 * label GROUP BY label")
+          f"{shuffle_key('doc_id')}, doc_id) AS rn FROM corpus) WHERE rn <= 500 + 500 * label GROUP BY label")
 def q_union_selections(spark, sf_dir):
     """SET-4: per-class selections concatenated (one window plan gives the union directly)."""
     c = fx.corpus(spark, sf_dir).select("doc_id", "label")

@@ -20,7 +20,7 @@ def register(name: str, oracle: str | Callable[[], str] | None = None):
 
 
 def load_all() -> None:
-    from . import q_text, q_features, q_vectors, q_windows, q_metrics, q_sources, q_relational, q_ml, q_pipelines  # noqa: F401
+    from . import q_text, q_features, q_vectors, q_windows, q_metrics, q_sources, q_relational, q_ml, q_pipelines, q_sweeps  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:

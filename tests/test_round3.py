@@ -132,3 +132,68 @@ def test_gibbs_runs_share_passes_and_ignore_partitions(spark):
         assert pure > 0.9
     alone = {r.doc_id: r.z for r in topics.gsdmm(df, 3, 30, iters=8, seed=4).collect()}
     assert alone == {i: z[0] for i, z in runs[0].items()}
+
+
+def plus_plus(X, k, rng):
+    """Cost of Lloyd iterations from k-means++."""
+    c = [X[rng.integers(len(X))]]
+    while len(c) < k:
+        d = ((X[:, None] - np.array(c)[None]) ** 2).sum(2).min(1)
+        c.append(X[rng.choice(len(X), p=d / d.sum())])
+    c = np.array(c)
+    for _ in range(100):
+        j = ((X[:, None] - c[None]) ** 2).sum(2).argmin(1)
+        c = np.array([X[j == i].mean(0) if (j == i).any() else c[i] for i in range(k)])
+    return ((X[:, None] - c[None]) ** 2).sum(2).min(1).sum()
+
+
+def test_parallel_seeding_costs_no_more(spark):
+    from lexicluster.operators.kmeans_runs import assign_runs, kmeans_runs
+    rng = np.random.default_rng(7)
+    X = rng.normal(size=(900, 5)) + np.repeat(rng.normal(size=(12, 5)) * 4, 75, axis=0)
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(900), "x": list(X)}))
+    best = min(plus_plus(X, 12, rng) for _ in range(10))
+    runs = [kmeans_runs(df.repartition(n), 12, 10, "id", "x", seed=3) for n in (1, 6)]
+    assert runs[0][1].min() <= 1.02 * best
+    assert np.allclose(np.sort(runs[0][1]), np.sort(runs[1][1])) and np.allclose(runs[0][0], runs[1][0])
+    sparse = df.select("id", F.array(*[F.lit(i) for i in range(5)]).alias("i"), F.col("x").alias("v"))
+    again = kmeans_runs(sparse, 12, 10, "id", None, "i", "v", 5, seed=3)
+    assert np.allclose(again[0], runs[0][0])
+    high = kmeans_runs(sparse, 12, 2, "id", None, "i", "v", 50_000, seed=3)      # too wide for dense blocks
+    assert np.allclose(high[0][:, :, :5], runs[0][0][:2]) and not high[0][:, :, 5:].any()
+    pred = assign_runs(sparse, high[0], [0, 1], "id", None, "i", "v", 50_000)
+    assert pred.count() == 1800
+
+
+def test_fewer_rows_than_clusters(spark):
+    from lexicluster.operators.kmeans_runs import kmeans_runs
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [5.0, 5.0])], "id long, x array<double>")
+    C3, inertia, _ = kmeans_runs(df, 4, 3, "id", "x", seed=0)
+    assert C3.shape == (3, 4, 2) and np.allclose(inertia, 0)
+
+
+def test_first_lines_and_sentinels(spark, tmp_path):
+    from lexicluster.sources.readers import scan_word_vectors_top_k
+    for part, lines in enumerate([[f"w{i} {i} 0.5" for i in range(50)], ["</s> 7 7", "v 1 1", "<s> 8 8"]]):
+        (tmp_path / f"part-{part}.txt").write_text("\n".join(lines) + "\n")
+    got = {r.word: (r.line_no, r.vec) for r in scan_word_vectors_top_k(spark, str(tmp_path), 10).collect()}
+    assert got == {**{f"w{i}": (i, [float(i), 0.5]) for i in range(10)}, "</s>": (50, [7.0, 7.0]), "<s>": (52, [8.0, 8.0])}
+    every = scan_word_vectors_top_k(spark, str(tmp_path), 100).collect()
+    assert sorted(r.line_no for r in every) == list(range(53))
+
+
+def test_quoted_line_ends_need_multiline(spark, tmp_path):
+    from lexicluster.sources.readers import scan_labeled_csv
+    (tmp_path / "a.csv").write_text('1,"say ""hi"""\n2, plain \n')
+    assert [tuple(r) for r in scan_labeled_csv(spark, str(tmp_path / "a.csv")).collect()] == [(1, 'say "hi"'), (2, "plain")]
+    (tmp_path / "b.csv").write_text('1,"two\nlines"\n')
+    assert [tuple(r) for r in scan_labeled_csv(spark, str(tmp_path / "b.csv"), multiline=True).collect()] == [(1, "two\nlines")]
+
+
+def test_nearest_neighbour_lists_of_any_length(spark):
+    from lexicluster.operators.explain import compactness_nearest_neighbor
+    X = np.random.default_rng(0).normal(size=(1500, 4))
+    df = spark.createDataFrame(pd.DataFrame({"cluster": 1, "vec": list(X)}))
+    N = X / np.linalg.norm(X, axis=1, keepdims=True)
+    S = N @ N.T - 2 * np.eye(1500)
+    assert compactness_nearest_neighbor(df).first()["compactness"] == pytest.approx(S.max(1).sum())
