@@ -7,7 +7,9 @@ positions.  Decoding joins every id to its piece.
 
 The chunks are made twice by the same code over the same file splits, once for the words and once
 for the positions, so that nothing but compressed words, ids and positions is shuffled; the number
-and a checksum of a chunk's words guard the join.
+and a checksum of a chunk's words guard the join.  An input whose rows don't come straight from
+files is written first.  The tasks that encode grow with the splits of the input: every
+``SALT_PARTS`` splits have their own tasks for the buckets.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; a text longer than
 a chunk is a chunk of its own; repeated rows are rows of their own; an empty table gives an empty
@@ -26,9 +28,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
 from .tokens import gather, loaded, read_tokenizer
 
 BUCKETS, CHUNK_BYTES, TABLE_WORDS = 256, 16 << 20, 1 << 20
+#: Input splits whose chunks share the tables of the buckets; more splits get further tasks.
+SALT_PARTS = 64
 _PARTS = "chunk long, bucket int, blob binary"
 
 
@@ -142,9 +147,10 @@ def _chunks(docs: DataFrame, tokenizer, keep: list[str], text_col: str, heads: b
     return d.mapInArrow(run, _PARTS)
 
 
-def _encoded(parts: DataFrame, tokenizer) -> DataFrame:
-    """Word blobs to id blobs: in its bucket a distinct word is encoded once, as long as the
-    bucket's table has fewer than ``TABLE_WORDS`` words (it then starts anew)."""
+def _encoded(parts: DataFrame, tokenizer, salts: int) -> DataFrame:
+    """Word blobs to id blobs: in its bucket a distinct word is encoded once, as long as the bucket's
+    table has fewer than ``TABLE_WORDS`` words (it then starts anew).  ``salts`` deals the chunks of a
+    bucket out to more tasks, each of which has a table of its own."""
     def run(batches):
         enc = loaded(tokenizer.value)
         table: dict[bytes, bytes] = {}
@@ -153,21 +159,32 @@ def _encoded(parts: DataFrame, tokenizer) -> DataFrame:
         def out():
             nonlocal table, now
             for b in batches:
-                for chunk, bucket, blob in zip(*[b.column(i).to_pylist() for i in range(3)]):
-                    if bucket != now or len(table) > TABLE_WORDS:
-                        table, now = {}, bucket
-                    words = _read_words(blob)
-                    new = [w for w in words if w not in table]
+                rows = zip(*[b.column(i).to_pylist() for i in range(4)])
+                # The rows of one bucket in a batch are encoded together.
+                for key, group in itertools.groupby(rows, key=lambda r: (r[1], r[3])):
+                    if key != now or len(table) > TABLE_WORDS:
+                        table, now = {}, key
+                    group = [(chunk, bucket, _read_words(blob)) for chunk, bucket, blob, _ in group]
+                    new = list({w for _, _, words in group for w in words if w not in table})
                     ids, counts = enc.encode([w.decode() for w in new])
                     raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
                     table.update(zip(new, [raw[x:y] for x, y in zip([0, *ends], ends)]))
-                    got = [table[w] for w in words]
-                    yield chunk, bucket, _squeeze(_pack(np.array([len(x) // 4 for x in got], np.uint32)),
-                                                  _pack(np.frombuffer(b"".join(got), "<u4")))
+                    for chunk, bucket, words in group:
+                        got = [table[w] for w in words]
+                        yield chunk, bucket, _squeeze(_pack(np.array([len(x) // 4 for x in got], np.uint32)),
+                                                      _pack(np.frombuffer(b"".join(got), "<u4")))
         yield from _batches(out())
 
-    n = max(1, min(BUCKETS, int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return parts.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _PARTS)
+    tasks = min(BUCKETS, int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))) if salts == 1 else BUCKETS * salts
+    salted = parts.withColumn("salt", F.pmod(F.shiftright("chunk", 32), F.lit(salts)).cast("int"))
+    return salted.repartition(max(1, tasks), "bucket", "salt").sortWithinPartitions("bucket", "salt").mapInArrow(run, _PARTS)
+
+
+def _settled(docs: DataFrame) -> DataFrame:
+    """``docs``, written once if its rows come from a shuffle: the two passes over the texts must see the
+    same rows in the same places, which files guarantee."""
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    return written(docs, "texts") if any(x in plan for x in ("Exchange", "MapInArrow", "MapInPandas", "Python", "InMemoryTableScan")) else docs
 
 
 def encode(docs: DataFrame, tokenizer_path: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text",
@@ -177,7 +194,9 @@ def encode(docs: DataFrame, tokenizer_path: str, keep: tuple[str, ...] = ("doc_i
     spark = docs.sparkSession
     tokenizer = spark.sparkContext.broadcast(read_tokenizer(tokenizer_path))      # one vocabulary file
     keep = list(keep)
-    ids = _encoded(_chunks(docs, tokenizer, keep, text_col, False), tokenizer)
+    docs = _settled(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col])]))
+    last = docs.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0] or 0
+    ids = _encoded(_chunks(docs, tokenizer, keep, text_col, False), tokenizer, last // SALT_PARTS + 1)
     heads = _chunks(docs, tokenizer, keep, text_col, True)
     schema = docs.select(*keep).withColumn("token_ids", F.lit(None).cast("array<int>"))
     if decoded:

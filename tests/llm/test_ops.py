@@ -63,6 +63,16 @@ def test_bpe_small_chunks(spark, docs, monkeypatch):
         assert r.token_ids == tok.encode(r.text, add_special_tokens=False).ids
 
 
+def test_bpe_of_a_shuffled_input_and_many_splits(spark, docs, monkeypatch):
+    monkeypatch.setattr(bpe, "SALT_PARTS", 2)
+    tok = reference()
+    mixed = docs.withColumn("r", F.rand()).repartition(7, "r").orderBy("r").limit(150)
+    got = bpe.encode(mixed, TOK, keep=("doc_id", "text"), decoded=True).collect()
+    assert len(got) == 150 and len({r.doc_id for r in got}) == 150
+    for r in got:
+        assert r.token_ids == tok.encode(r.text, add_special_tokens=False).ids and r.decoded == r.text
+
+
 def test_token_files(spark, odd, docs, empty, monkeypatch):
     tok = reference()
     for d, small in ((odd, True), (docs, False), (empty, False)):
