@@ -291,14 +291,38 @@ def _adam(state, g, lr, b1=0.9, b2=0.999, eps=1e-8):
     return step, (m, v, t)
 
 
-def frozen_targets(data: DataFrame, q: DataFrame, id_col: str):
-    """(rows with their target p, predictions) of a refresh.  Both are written to the shared
-    directory, so the steps up to the next refresh read the same p by id."""
-    from ..functions.vectors import argmax
-    from ..session import checkpoint
-    mass = np.array(soft_cluster_mass(q, "q"))
-    p = map_rows(q, "q", mass, lambda m, Q: target_from_q(Q, m), "p", [id_col])
-    return checkpoint(data.join(p, id_col)), checkpoint(q.select(id_col, argmax("q").alias("pred")))
+class FrozenTargets:
+    """Rows (id, x, p, pred) of a refresh: target distribution and prediction of each row, written to the
+    shared folder, so that the steps up to the next refresh read the same p without a join.  A
+    refresh reads the rows and their earlier predictions from the table before, which it replaces."""
+
+    def __init__(self, data: DataFrame, x_col: str, id_col: str):
+        self.rows, self.x_col, self.id_col, self.path = data.select(id_col, x_col), x_col, id_col, None
+
+    def refresh(self, state, soft) -> float | None:
+        """Targets for ``soft(state, X)``, the soft assignment; the share of predictions that changed
+        (None the first time)."""
+        from ..session import remove_table, shared_path
+        spark, keep = self.rows.sparkSession, [self.id_col, self.x_col] + (["pred"] if self.path else [])
+        q = map_rows(self.rows.select(*keep), self.x_col, state, soft, "q", keep).persist()
+        mass = np.array(soft_cluster_mass(q, "q"))
+        k = len(mass)
+        both = map_rows(q, "q", mass, lambda m, Q: np.hstack([target_from_q(Q, m), Q.argmax(1)[:, None]]), "_p", keep)
+        last = F.col("pred") if self.path else F.lit(None).cast("int")
+        path, before = shared_path(spark, "targets"), self.path
+        both.select(self.id_col, self.x_col, F.slice("_p", 1, k).alias("p"), last.alias("last"),
+                    F.element_at("_p", k + 1).cast("int").alias("pred")).write.parquet(path)
+        q.unpersist()
+        self.rows, self.path = spark.read.parquet(path), path
+        if before is None:
+            return None
+        remove_table(spark, before)
+        return self.rows.agg(F.avg((F.col("pred") != F.col("last")).cast("double"))).first()[0]
+
+    def drop(self) -> None:
+        from ..session import remove_table
+        if self.path:
+            remove_table(self.rows.sparkSession, self.path)
 
 
 def dec_refine(df: DataFrame, centers, max_steps: int = 20, update_interval: int = 10, tol: float = 1e-3,
@@ -307,30 +331,24 @@ def dec_refine(df: DataFrame, centers, max_steps: int = 20, update_interval: int
     predictions) are refreshed every ``update_interval`` steps and stay as they are in between;
     stop when the share of changed predictions falls below ``tol``.  Every step is one distributed
     pass."""
-    data = df.select(id_col, x_col).persist()
-    n = data.count()
+    n = df.count()
     C = np.asarray(centers, dtype=np.float64).copy()
     adam = (np.zeros_like(C), np.zeros_like(C), 0)
-    prev = target = None
-    for step in range(max_steps):
+    target = FrozenTargets(df, x_col, id_col)
+    for step in range(max_steps if n else 0):
         if step % update_interval == 0:
-            qdf = map_rows(data, x_col, C, lambda Cs, X: soft_assign(X, Cs)[2], "q", [id_col]).persist()
-            target, cur = frozen_targets(data, qdf, id_col)
-            qdf.unpersist()
-            if prev is not None:
-                from .metrics import label_change_rate
-                rate = label_change_rate(prev, cur, id_col, "pred").first()[0]
+            rate = target.refresh(C, lambda Cs, X: soft_assign(X, Cs)[2])
+            if rate is not None:
                 if metrics is not None:
                     metrics.append(("change_rate", step, rate))
                 if rate < tol:
                     break
-            prev = cur
-        g, loss, _ = distributed_gradient(target, x_col, (C, None, n), _dec_batch, id_col, ["p"])
+        g, loss, _ = distributed_gradient(target.rows, x_col, (C, None, n), _dec_batch, id_col, ["p"])
         stepv, adam = _adam(adam, g.reshape(C.shape), lr)
         C = C - stepv
         if metrics is not None:
             metrics.append(("bce_loss", step, loss))
-    data.unpersist()
+    target.drop()
     return C
 
 
@@ -369,33 +387,27 @@ def idec_fit(df: DataFrame, net, centers, max_steps: int = 20, update_interval:
     """ML-15: joint training of encoder, decoder (use_ae) and centres with Adam; use_ae=False is DEC.
     p is frozen between refreshes; the share of predictions that a refresh changes is reported, and
     below ``tol`` it ends the training."""
-    data = df.select(id_col, x_col).persist()
-    n = data.count()
+    n = df.count()
     C = np.asarray(centers, dtype=np.float64).copy()
     params = _params(net) + [C]
     adam = (np.zeros(sum(p.size for p in params)), np.zeros(sum(p.size for p in params)), 0)
-    prev = target = None
-    for step in range(max_steps):
+    target = FrozenTargets(df, x_col, id_col)
+    for step in range(max_steps if n else 0):
         if step % update_interval == 0:
-            qdf = map_rows(data, x_col, (net, C), lambda s, X: soft_assign(encode_matrix(s[0], X), s[1])[2], "q", [id_col]).persist()
-            target, cur = frozen_targets(data, qdf, id_col)
-            qdf.unpersist()
-            if prev is not None:
-                from .metrics import label_change_rate
-                rate = label_change_rate(prev, cur, id_col, "pred").first()[0]
+            rate = target.refresh((net, C), lambda s, X: soft_assign(encode_matrix(s[0], X), s[1])[2])
+            if rate is not None:
                 if metrics is not None:
                     metrics.append(("change_rate", step, rate))
                 if rate < tol:
                     break
-            prev = cur
-        g, loss, _ = distributed_gradient(target, x_col, (net, C, n, gamma, use_ae), _idec_batch, id_col, ["p"])
+        g, loss, _ = distributed_gradient(target.rows, x_col, (net, C, n, gamma, use_ae), _idec_batch, id_col, ["p"])
         stepv, adam = _adam(adam, g, lr)
         nparam = sum(p.size for p in _params(net))
-        net = _apply_update(net, stepv[:nparam])
+        net = _apply_update(dict(net), stepv[:nparam])
         C = C - stepv[nparam:].reshape(C.shape)
         if metrics is not None:
             metrics.append(("loss", step, loss))
-    data.unpersist()
+    target.drop()
     return net, C
 
 
