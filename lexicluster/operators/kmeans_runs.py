@@ -247,7 +247,7 @@ def kmeans_runs(df: DataFrame, k: int, n_runs: int, id_col: str = "id", x_col: s
         yield pa.RecordBatch.from_arrays([_lists(s[None]), _lists(s2[None]), pa.array([n], pa.int64())], names=["s", "s2", "n"])
     mom = data.mapInArrow(moments, "s array<double>, s2 array<double>, n long") \
         .select(array_to_vector("s").alias("s"), array_to_vector("s2").alias("s2"), "n") \
-        .agg(Summarizer.sum(F.col("s")).alias("s"), Summarizer.sum(F.col("s2")).alias("s2"), F.sum("n").alias("n")).first()
+        .agg(Summarizer.sum(F.col("s")).alias("s"), Summarizer.sum(F.col("s2")).alias("s2"), F.sum("n").alias("n"), F.count("*").alias("tasks")).first()
     n_tot, s, s2 = mom["n"], mom["s"].toArray(), mom["s2"].toArray()
     var = s2 / max(n_tot, 1) - (s / max(n_tot, 1)) ** 2
     tol_abs = tol * float(np.mean(var))
@@ -274,7 +274,8 @@ def kmeans_runs(df: DataFrame, k: int, n_runs: int, id_col: str = "id", x_col: s
 
         total = data.mapInArrow(step_fn, "run int, c int, n double, cost double, s array<double>") \
             .withColumn("s", array_to_vector("s")).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-        for keys in (["run", "c", "salt"], ["run", "c"]):
+        # With few tasks a cluster's rows are as few, and one level is enough.
+        for keys in (["run", "c", "salt"], ["run", "c"]) if mom["tasks"] > SALTS else (["run", "c"],):
             total = total.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), Summarizer.sum(F.col("s")).alias("s"))
         rows = total.select("run", "c", "n", "cost", vector_to_array("s").alias("s")).toArrow().to_pydict()      # ≤ R·K rows
         sent.destroy()

@@ -323,7 +323,7 @@ def q_medoid(spark, sf_dir):
           f"pc AS (SELECT a.cluster, a.word AS w1, {sdot(norm_expr('a.vec'), norm_expr('b.vec'))} AS cos FROM cw a JOIN cw b ON a.cluster = b.cluster AND a.word <> b.word)") +
           "SELECT cluster, round(sum(m), 6) AS compactness FROM (SELECT cluster, w1, max(cos) AS m FROM pc GROUP BY cluster, w1) GROUP BY cluster")
 def q_compact4(spark, sf_dir):
-    return X.compactness_nearest_neighbor(_cw(spark, sf_dir), max_list=20).select("cluster", R6(F.col("compactness")).alias("compactness"))
+    return X.compactness_nearest_neighbor(_cw(spark, sf_dir)).select("cluster", R6(F.col("compactness")).alias("compactness"))
 
 
 # ------------------------------------------------------------------ projections and filters

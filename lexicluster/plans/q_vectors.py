@@ -72,7 +72,7 @@ def q_assigned_center(spark, sf_dir):
     spark_ = spark
     p = fx.pred(spark_, sf_dir)
     cdf = C.label_centroids(fx.feat(spark_, sf_dir), fx.N_LABELS)
-    j = C.assigned_center(p, cdf, "pred", n_clusters=fx.N_LABELS)
+    j = C.assigned_center(p, cdf, "pred")
     return _long(j.select("vec_id", "center"), ["vec_id"], "center")
 
 
