@@ -2,7 +2,8 @@
 
 The block elements of a page form a tree; each is content or not.  A node has a unary potential (a
 logistic model over its tag, the words of its attributes and its own text) and each
-parent-child pair a 2 x 2 potential.  Sum-product messages go up the tree and down again, which
+parent-child pair a 2 x 2 potential, which depends on whether the tags or attributes of the two name a
+box (menu, header, advert, comments, ...).  Sum-product messages go up the tree and down again, which
 gives exact marginals; the text of nodes with P(content) > 1/2 is the main text.
 
 Training.  Labelled pages are (a) up to ``TRAIN_PAGES`` pages of the table that mark their article
@@ -51,9 +52,9 @@ WORDS = ("article post story entry content main body text prose maincontent",
          "nav navigation menu breadcrumb breadcrumbs toolbar tabs pagination pager skip",
          "header masthead banner topbar logo branding",
          "footer copyright legal colophon bottom credits",
-         "sidebar aside widget related recommended rail trending popular tags more",
+         "sidebar aside widget related recommended rail trending popular tags",
          "ad ads advert advertisement adbox sponsor sponsored promo promotion",
-         "cookie cookies notice consent gdpr alert popup modal overlay disclaimer warning message",
+         "cookie cookies notice consent gdpr alert popup modal overlay disclaimer warning",
          "form search login signup subscribe newsletter subscription contact",
          "comment comments reply replies discussion disqus respond feedback reviews",
          "share social sharing follow author byline meta toolbox")
@@ -62,7 +63,10 @@ _WORD_OF = {w: i for i, g in enumerate(WORDS) for w in g.split()}
 _SPLIT = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 N_KINDS = len(TAGS) + len(WORDS)
-N_FEATURES = N_KINDS + 7
+N_FEATURES = N_KINDS + 8
+# Kinds that name a box: all but the tags of text and the words of articles.
+BOXES = frozenset([_TAG_OF[t] for t in ("nav", "header", "footer", "aside", "form")] + [len(TAGS) + i for i in range(1, len(WORDS))])
+_HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 
 
 class _Tree(HTMLParser):
@@ -74,6 +78,7 @@ class _Tree(HTMLParser):
         self.runs: list[list] = []                                # [node, text pieces, characters in links]
         self.stack: list[tuple[str, int]] = []                    # open elements and their nodes
         self.links = self.hidden = 0
+        self.cut = False                                          # a block began or ended since the last text
 
     def _node(self) -> int:
         return self.stack[-1][1] if self.stack else 0
@@ -94,6 +99,7 @@ class _Tree(HTMLParser):
         if self.hidden and tag == "body":                         # an unclosed head
             self._pop_to(0)
         if tag not in INLINE:
+            self.cut = True
             for i in range(len(self.stack) - 1, -1, -1):
                 t = self.stack[i][0]
                 if tag in CLOSED_BY.get(t, ()):
@@ -123,6 +129,7 @@ class _Tree(HTMLParser):
     def handle_endtag(self, tag):
         if tag == "br":
             self._text(" ")
+        self.cut = self.cut or tag not in INLINE
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
                 self._pop_to(i)
@@ -132,8 +139,9 @@ class _Tree(HTMLParser):
         if self.hidden:
             return
         node = self._node()
-        if not self.runs or self.runs[-1][0] != node:
+        if not self.runs or self.runs[-1][0] != node or self.cut:
             self.runs.append([node, [], 0])
+        self.cut = False
         self.runs[-1][1].append(data)
         if self.links:
             self.runs[-1][2] += len(data)
@@ -154,18 +162,20 @@ def features(tree: _Tree) -> np.ndarray:
     reaches it by the messages."""
     n = len(tree.tags)
     x = np.zeros((n, N_FEATURES))
-    chars, links, words, ends = [0] * n, [0] * n, [0] * n, [0] * n
+    chars, links, words, ends, names = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
     for node, pieces, linked in tree.runs:
         text = "".join(pieces).strip()
         chars[node] += len(text)
         links[node] += linked
         words[node] += text.count(" ") + 1 if text else 0
         ends[node] += text[-1:] in ".!?…\"”»"
+        if tree.tags[node] in _HEADINGS and text.count(" ") < 5:  # a heading that names a box
+            names[node] = any(_WORD_OF.get(w, 0) > 0 for w in _SPLIT.split(text.lower()))
     for i in range(n):
         x[i, list(tree.kinds[i])] = 1
     c, w = np.array(chars, float), np.array(words, float)
     x[:, N_KINDS:] = np.stack([c == 0, np.minimum(1, np.array(links) / np.maximum(1, c)), np.log1p(w) / 5, (w > 0) & (w < 8),
-                                   w > 25, np.array(ends) > 0, np.ones(n)], axis=1)
+                                   w > 25, np.array(ends) > 0, np.array(names) > 0, np.ones(n)], axis=1)
     return x
 
 
@@ -174,9 +184,8 @@ def article_labels(tree: _Tree) -> np.ndarray | None:
     if not {"article", "main"} & set(tree.tags):
         return None
     out = np.zeros(len(tree.tags))
-    other = {_TAG_OF[t] for t in ("nav", "header", "footer", "aside", "form")} | {len(TAGS) + i for i in range(1, len(WORDS))}
     for i in range(1, len(out)):
-        if other & set(tree.kinds[i]):
+        if BOXES & set(tree.kinds[i]):
             continue
         p = tree.parents[i]
         out[i] = tree.tags[i] in ("article", "main") or out[p]
@@ -196,14 +205,30 @@ def made_page(rng: random.Random) -> tuple[str, list[bool]]:
              "short": ["header", "footer", "div class=header", "div id=footer", "div class=ad", "div class=advert", "div class=cookie-notice",
                        "div class=banner", "div class=copyright", "div role=alert", "div class=promo", "aside", "div class=sponsored"],
              "form": ["form", "div class=newsletter", "div class=search", "form class=login"],
-             "comments": ["section id=comments", "div class=comments", "div class=comment", "ul class=replies", "div class=discussion"]}
+             "comments": ["section id=comments", "section class=comments", "div class=comments", "div class=comment-list", "div class=comment",
+                          "div class=replies", "div class=discussion", "div id=disqus_thread"]}
+    names = {"comments": ["Comments", "Reader comments", "Replies", "Leave a reply", "Discussion"],
+             "links": ["Related", "Related articles", "Share", "Popular", "Recommended"], "short": ["Advertisement", "Notice"], "form": ["Newsletter", "Subscribe"]}
 
     def p(label: bool, tag: str, a: int, b: int) -> str:
         labels.append(label)
         end = rng.choice(".....!?") if a > 4 else ""
-        return f"<{tag}>{words(a, b).capitalize()}{end}</{tag}>"
+        text = words(a, b).capitalize() + end
+        r = rng.random()
+        opened = f"{tag} class={rng.choice(['note', 'lead', 'intro', 'x2'])}" if label and r < 0.08 else tag
+        if label and tag in ("p", "li") and r > 0.93:             # a paragraph that is one link
+            text = f"<a href=#>{text}</a>"
+        return f"<{opened}>{text}</{tag}>"
+
+    def heading(kind: str) -> str:
+        if rng.random() > 0.4:
+            return ""
+        tag = rng.choice(["h2", "h3", "h4"])
+        labels.append(False)
+        return f"<{tag}>{rng.choice(names[kind])}</{tag}>"
 
     def box(kind: str, inside: bool = False) -> str:
+        before = heading(kind) if inside and rng.random() < 0.3 else ""      # next to its box
         opened = rng.choice(kinds[kind])
         labels.append(kind == "content")
         body = ""
@@ -213,7 +238,7 @@ def made_page(rng: random.Random) -> tuple[str, list[bool]]:
             for _ in range(rng.randint(1, 8)):
                 r = rng.random()
                 if r < 0.12:
-                    body += box(rng.choice(["short", "links", "form"]), True)
+                    body += box(rng.choice(["short", "links", "form", "comments"]), True)
                 elif r < 0.18:
                     labels.append(True)
                     body += "<ul>" + "".join(p(True, "li", 3, 15) for _ in range(rng.randint(2, 4))) + "</ul>"
@@ -234,13 +259,30 @@ def made_page(rng: random.Random) -> tuple[str, list[bool]]:
         elif kind == "form":
             body += p(False, "p", 2, 12) + "<input>" + p(False, "button", 1, 2)
         elif kind == "comments":
-            for _ in range(rng.randint(1, 4)):
+            body += heading(kind)
+            if rng.random() < 0.4:                                # a list of comments
                 labels.append(False)
-                body += "<div class=comment>" + p(False, "p", 5, 50) + "</div>"
+                body += "<ul>"
+                for _ in range(rng.randint(1, 4)):
+                    labels.append(False)
+                    body += "<li>" + (p(False, "p", 5, 50) if rng.random() < 0.6 else words(5, 50) + ".") + "</li>"
+                body += "</ul>"
+            else:
+                for _ in range(rng.randint(1, 4)):
+                    if rng.random() < 0.5:
+                        labels.append(False)
+                        body += "<div class=comment>" + p(False, "p", 5, 50) + "</div>"
+                    else:
+                        body += p(False, "p", 5, 50)
         else:
             body += p(False, "p", 3, 30) if rng.random() < 0.5 else words(3, 30) + "."
-        return f"<{opened}>{body}</{opened.split()[0]}>"
+        return f"{before}<{opened}>{body}</{opened.split()[0]}>"
 
+    bare = rng.random()
+    if bare < 0.04:                                               # text without any element, or paragraphs alone
+        return words(5, 80).capitalize() + ".", [True]
+    if bare < 0.10:
+        return "".join(p(True, "p", 5, 60) for _ in range(rng.randint(1, 6))), labels
     before = [box(rng.choice(["links", "short", "form"])) for _ in range(rng.randint(0, 4))]
     middle = [box("content")]
     after = [box(rng.choice(["links", "short", "comments", "form"])) for _ in range(rng.randint(0, 4))]
@@ -259,23 +301,30 @@ class Model:
             grad = x.T @ (y - p) - 0.5 * w
             w = w + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(len(w)), grad)
         self.weights = w
-        pairs = np.ones((2, 2))
+        pairs = np.ones((2, 2, 2, 2))                             # parent and child name a box, their labels
         for t, lab in pages:
+            box = [self.boxed(t, i) for i in range(len(lab))]
             for i in range(1, len(lab)):
-                pairs[int(lab[t.parents[i]]), int(lab[i])] += 1
+                pairs[box[t.parents[i]], box[i], int(lab[t.parents[i]]), int(lab[i])] += 1
         # Against the children's own shares, which the unary potentials already hold.
-        share = pairs.sum(axis=0) / pairs.sum()
-        self.pair = (pairs / pairs.sum(axis=1, keepdims=True) / share).tolist()
+        share = pairs.sum(axis=(0, 2)) / pairs.sum(axis=(0, 2, 3))[:, None]
+        self.pair = (pairs / pairs.sum(axis=3, keepdims=True) / share[None, :, None, :]).tolist()
+
+    @staticmethod
+    def boxed(tree: _Tree, node: int) -> int:
+        return int(not BOXES.isdisjoint(tree.kinds[node]))
 
     def marginals(self, tree: _Tree) -> list[float]:
         """P(content) of every node: messages from the leaves to the root, then back."""
         z = np.clip(features(tree) @ self.weights, -30, 30)
         unary = [(1.0, math.exp(v)) for v in z.tolist()]
-        (a, b), (c, d) = self.pair
         n, parents = len(unary), tree.parents
+        box = [self.boxed(tree, i) for i in range(n)]
+        pair = [self.pair[box[parents[i]]][box[i]] for i in range(n)]       # the root's is not used
         up, message = [list(u) for u in unary], [(1.0, 1.0)] * n
         for i in range(n - 1, 0, -1):
             u0, u1 = up[i]
+            (a, b), (c, d) = pair[i]
             m0, m1 = a * u0 + b * u1, c * u0 + d * u1             # sum over the child's label
             s = m0 + m1
             message[i] = (m0 / s, m1 / s)
@@ -286,6 +335,7 @@ class Model:
         belief = [tuple(up[0])] + [(0.0, 0.0)] * (n - 1)
         for i in range(1, n):
             p0, p1 = belief[parents[i]]
+            (a, b), (c, d) = pair[i]
             m0, m1 = message[i]
             p0, p1 = p0 / m0, p1 / m1                             # the parent without this child
             t0, t1 = a * p0 + c * p1, b * p0 + d * p1
@@ -298,7 +348,7 @@ class Model:
         tree = parse(html)
         if not tree.runs:
             return ""
-        keep = self.marginals(tree)
+        keep = self.marginals(tree) if len(tree.tags) > 1 else [1.0]          # text without any block is the text
         blocks = (" ".join("".join(pieces).split()) for node, pieces, _ in tree.runs if keep[node] > 0.5)
         return " ".join(b for b in blocks if b)
 

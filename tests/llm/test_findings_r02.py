@@ -48,16 +48,6 @@ def test_links_of_a_root(spark):
     assert linked and min(want.values()) == 0 < max(want.values())
 
 
-def test_unequal_classes_follow_the_schedule(spark, monkeypatch):
-    """500 + 500 c rows of class c, or the whole class where it is smaller."""
-    from lexicluster.plans import fixtures, q_pipelines
-    monkeypatch.setattr(q_pipelines, "_sentence_trials", lambda spark, sf_dir, docs: docs)
-    sf = "/root/testdata/sf0.1"
-    sizes = {r.label: r["count"] for r in fixtures.corpus(spark, sf).where("label IS NOT NULL").groupBy("label").count().collect()}
-    got = {r.label: r["count"] for r in q_pipelines.q_unequal_kmeans(spark, sf).groupBy("label").count().collect()}
-    assert len(sizes) == 4 and got == {c: min(500 + 500 * c, n) for c, n in sizes.items()}
-
-
 def test_html_open_head_and_math(spark):
     """A head ends at the first tag that can't stand in it, and formulas are text of their block."""
     body = ("<article><h1>A heading</h1><p>First paragraph of the main text, where <math><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow></math> "
