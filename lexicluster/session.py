@@ -24,6 +24,9 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
+         # A task has one core; its matrix products must not start a thread for every core of the machine.
+         .config("spark.executorEnv.OPENBLAS_NUM_THREADS", "1")
+         .config("spark.executorEnv.OMP_NUM_THREADS", "1")
          .config("spark.driver.memory", "16g"))
     for k, v in (extra or {}).items():
         b = b.config(k, v)
