@@ -266,7 +266,8 @@ def q_write_word_stats(spark, sf_dir):
     return back
 
 
-@register("append_training_metrics")
+@register("append_training_metrics", "SELECT 'dec-' || CAST(range AS VARCHAR) AS run_id, 'bce_loss' AS metric, CAST(5 AS BIGINT) AS n, "
+          "CAST(0 AS INTEGER) AS first_step, CAST(4 AS INTEGER) AS last_step FROM range(2)")
 def q_training_metrics(spark, sf_dir):
     """SNK-9: DEC loss per step appended as (run_id, metric, step, value), re-read: step count and
     monotone step ids."""

@@ -9,7 +9,9 @@ import __spark_entry__ as E
 SF = "/root/testdata/sf0.001"
 FAST = ["tfidf_features", "top_vocabulary", "clean_news", "split_sentences", "layer_norm", "nearest_center",
         "stratified_sample", "running_weighted_average", "adjusted_mutual_information", "clustering_accuracy",
-        "describe_values", "compactness_medoid", "dec_gradient", "scan_labeled_csv", "group_ids"]
+        "describe_values", "compactness_medoid", "dec_gradient", "scan_labeled_csv", "group_ids",
+        "word_position_stats", "write_word_stats", "feature_word_vectors", "gsdmm_sweep", "unescape_entities", "assigned_center",
+        "compactness_nearest_neighbor", "scan_word_vectors_top_k", "corpus_build", "append_training_metrics"]
 
 
 def _norm(v):
