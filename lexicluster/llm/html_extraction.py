@@ -235,7 +235,7 @@ def made_page(rng: random.Random) -> tuple[str, list[bool]]:
         if kind == "content":
             if rng.random() < 0.8:
                 body += p(True, rng.choice(["h1", "h2"]), 2, 10)
-            for _ in range(rng.randint(1, 8)):
+            for _ in range(rng.randint(1, 12)):
                 r = rng.random()
                 if r < 0.12:
                     body += box(rng.choice(["short", "links", "form", "comments"]), True)
@@ -245,7 +245,7 @@ def made_page(rng: random.Random) -> tuple[str, list[bool]]:
                 elif r < 0.26:
                     body += p(True, rng.choice(["h2", "h3", "blockquote", "pre"]), 2, 12)
                 else:
-                    body += p(True, "p", rng.choice([1, 5, 15]), 60)
+                    body += p(True, "p", *rng.choice([(1, 4), (2, 8), (1, 60), (5, 60), (15, 60)]))
         elif kind == "links":
             if rng.random() < 0.5:
                 labels.append(False)

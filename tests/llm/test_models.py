@@ -153,7 +153,8 @@ def test_marginals_match_enumeration():
         y = [s >> i & 1 for i in range(n)]
         w = math.exp(sum(z[i] for i in range(n) if y[i]))
         for i in range(1, n):
-            w *= model.pair[y[tree.parents[i]]][y[i]]
+            up = tree.parents[i]
+            w *= model.pair[model.boxed(tree, up)][model.boxed(tree, i)][y[up]][y[i]]
         total += w
         on += w * np.array(y)
     assert model.marginals(tree) == pytest.approx((on / total).tolist())
