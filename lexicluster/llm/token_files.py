@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .tokens import loaded, read_tokenizer, worker_cache
 
-SCALE, LANES, BLOCK_IDS, FILE_IDS, CHECKPOINT_STEPS, SLICE_BYTES = 18, 1024, 1 << 18, 1 << 21, 64, 8 << 20
+SCALE, LANES, BLOCK_IDS, FILE_IDS, CHECKPOINT_STEPS, SLICE_BYTES = 18, 1024, 1 << 18, 1 << 21, 64, 2 << 20
 _LOW, _WORD = np.uint64(1 << 31), np.uint64(32)
 
 
@@ -145,7 +145,7 @@ def write_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0
             rows = max(1, int(b.num_rows * SLICE_BYTES / max(1, b.nbytes)))
             for at in range(0, b.num_rows, rows):
                 piece = b.slice(at, rows)
-                for doc, raw in zip(piece.column(0).to_pylist(), enc.lines(piece.column(1).to_pylist())):
+                for doc, raw in zip(piece.column(0).to_pylist(), enc.lines(piece.column(1).to_pylist(), SLICE_BYTES)):
                     if filled >= BLOCK_IDS:
                         if held >= FILE_IDS:
                             yield flush()
@@ -155,6 +155,7 @@ def write_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0
                     blocks[-1][1].append(raw + end)
                     filled += len(raw) // 4 + 1
                     held += len(raw) // 4 + 1
+                pa.default_memory_pool().release_unused()
         if held:
             yield flush()
 
