@@ -1,17 +1,18 @@
 """Language-model scores by prediction by partial matching over bytes.
 
 Model.  A text is its words (ASCII lower case), each followed by one space, and an end symbol.
-Each symbol is predicted from the bytes before it, up to ``order`` of them and not beyond the space
-in front of its word.  The longest context that the training words have seen predicts first; an
-unseen symbol escapes to the context without its oldest byte, with the escape mass of method C
-(distinct symbols against occurrences), and symbols that a longer context has already offered are
-excluded below it.  After the empty context all other symbols are equally likely.
-
-Since no context crosses a space, the code length of a word depends on the word alone.  The trie
-lives in tables: windows (context and symbol packed into a long), cells (every suffix of a
-window's context, with counts) and context totals.  A distinct word is scored once.  Documents add
-up their words: frequent words from a broadcast table of at most ``HOT_WORDS`` entries, all others
-by a join.
+Each symbol is predicted from the ``order`` bytes of the running text before it, across spaces and
+words; only the start of the text, a space, bounds them.  The longest context that the training texts
+have seen predicts first; an unseen symbol escapes to the context without its oldest byte, with the
+escape mass of method C (distinct symbols against occurrences), and symbols that a longer context
+has already offered are excluded below it.  After the empty context all other symbols are equally
+likely.
+
+The trie lives in tables: windows (context and symbol packed into a long) of all texts, counted in
+every task first, cells (every suffix of a window's context, with counts) and context totals.  A
+distinct window is scored once.  Documents add up the windows of their running text: frequent ones
+from a broadcast table of at most ``HOT_WINDOWS`` entries, all others by a join, which also brings
+the counts of the words that aren't among the ``HOT_WORDS`` broadcast ones.
 
 Defined results: a null or empty text is the end symbol alone; a null id counts as the empty text
 in the hold-out rule; repeated rows are rows of their own; without training documents every symbol
@@ -22,6 +23,7 @@ from __future__ import annotations
 import math
 import struct
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,26 +31,36 @@ from pyspark.sql import functions as F
 
 from .common import count_cut, id_bucket, map_rows, text_bytes, written
 
-ORDER, HOT_WORDS, HOT_WINDOWS, HOT_WORD_BYTES, TABLE_WORDS = 5, 1 << 17, 1 << 20, 64, 250_000
+ORDER, HOT_WORDS, HOT_WINDOWS, HOT_WORD_BYTES, TABLE_WORDS, TABLE_WINDOWS = 5, 1 << 17, 1 << 20, 64, 250_000, 1 << 20
 #: 250 bytes that can be in a word, the space and the end.
 ALPHABET = 252
-END_WINDOW = (1 << 16) | 0x200A                                   # after a space: the end
-
-
-def windows_of(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(window, context length, number of the word) for every symbol of the words.  A window is
-    the context's bytes and the symbol's, most significant first, behind a byte 1."""
-    buf = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
-    lens = np.array([len(w) + 1 for w in words], np.int64)
-    word = np.repeat(np.arange(len(words)), lens)
-    at = np.arange(1, len(buf))
-    inside = at - 1 - np.repeat(np.cumsum(lens) - lens, lens)     # place in its word
-    depth = np.minimum(inside + 1, order)
-    key = buf[at].astype(np.int64)
-    for j in range(1, order + 1):
-        back = np.where(depth >= j, buf[np.maximum(at - j, 0)], 0).astype(np.int64)
-        key |= back << (8 * j)
-    return key | (np.int64(1) << (8 * (depth + 1))), depth, word
+#: Symbols that are packed at once, however long a text is.
+PIECE = 1 << 17
+
+
+def running_text(words: list[bytes]) -> bytes:
+    """A space, the words, each followed by a space, and the end."""
+    return b" ".join([b"", *words, b"\n"])
+
+
+def windows_of(texts: list[list[bytes]], order: int, piece: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(window, context length, number of the text) for every symbol of the running texts (lists of
+    words), ``piece`` symbols at a time.  A window is the context's bytes and the symbol's, most
+    significant first, behind a byte 1; the context is what precedes the symbol in its text."""
+    texts = [running_text(words) for words in texts]
+    bounds = np.cumsum([0, *map(len, texts)])
+    buf = np.frombuffer(b"\0" * order + b"".join(texts), np.uint8)
+    for lo in range(0, int(bounds[-1]), piece):
+        hi = min(lo + piece, int(bounds[-1]))
+        text = np.repeat(np.arange(len(texts)), np.diff(np.clip(bounds, lo, hi)))
+        place = np.arange(lo, hi) - bounds[text]
+        key = np.zeros(hi - lo, np.int64)
+        for j in range(order + 1):
+            key |= buf[lo + order - j:hi + order - j].astype(np.int64) << (8 * j)
+        depth = np.minimum(place, order)
+        top = np.int64(1) << (8 * (depth + 1))
+        symbol = place > 0                                        # the first space is context alone
+        yield ((key & (top - 1)) | top)[symbol], depth[symbol], text[symbol]
 
 
 def count_words(docs: DataFrame, held_out, text_col: str = "text") -> DataFrame:
@@ -73,18 +85,45 @@ def count_words(docs: DataFrame, held_out, text_col: str = "text") -> DataFrame:
     return parts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
 
 
-def count_windows(vocabulary: DataFrame, ends: int, order: int = ORDER) -> DataFrame:
-    """(win, m, n, k): windows of all words with their context lengths and occurrences."""
+def _summed(keys: np.ndarray, *counts: np.ndarray) -> list[np.ndarray]:
+    distinct, at = np.unique(keys, return_inverse=True)
+    return [distinct, *[np.bincount(at, weights=c, minlength=len(distinct)).astype(np.int64) for c in counts]]
+
+
+def count_windows(docs: DataFrame, held_out, order: int = ORDER, text_col: str = "text") -> DataFrame:
+    """(win, m, n, k): windows of all running texts with their context lengths and occurrences, in all
+    documents and in the training documents."""
     def rows(batches):
+        parts: list[list[np.ndarray]] = []
+
+        def out():
+            win, n, k = _summed(*map(np.concatenate, zip(*parts)))
+            if len(win) <= TABLE_WINDOWS * 3 // 4:
+                parts[:] = [[win, n, k]]
+                return
+            parts.clear()
+            yield from tables(win, n, k)
+
+        def tables(win, n, k):
+            for at in range(0, len(win), 1 << 16):
+                w = win[at:at + (1 << 16)]
+                # Windows of m + 2 bytes, the first of which is 1: exact in double precision.
+                yield {"win": w, "m": (np.frexp(w.astype(np.float64))[1] - 1) // 8 - 1, "n": n[at:at + (1 << 16)], "k": k[at:at + (1 << 16)]}
+
         for b in batches:
-            win, m, word = windows_of(b["word"], order)
-            keys, first, at = np.unique(win, return_index=True, return_inverse=True)
-            sums = [np.bincount(at, weights=np.array(b[c], np.float64)[word]).astype(np.int64) for c in ("n", "k")]
-            yield {"win": keys, "m": m[first], "n": sums[0], "k": sums[1]}
+            held = np.array(b["h"], bool)
+            for win, _, text in windows_of([t.lower().split() for t in b["t"]], order):
+                out_of = held[text]
+                for trained, w in ((True, win[~out_of]), (False, win[out_of])):
+                    w, n = np.unique(w, return_counts=True)
+                    parts.append([w, n, n if trained else np.zeros(len(w), np.int64)])
+                if sum(len(p[0]) for p in parts) > TABLE_WINDOWS:
+                    yield from out()
+        if parts:
+            yield from tables(*_summed(*map(np.concatenate, zip(*parts))))
 
-    end = vocabulary.sparkSession.createDataFrame([(END_WINDOW, 1, ends, ends)], "win long, m int, n long, k long")
-    return map_rows(vocabulary.select("word", "n", "k"), "win long, m int, n long, k long", rows, flush_rows=8192).unionByName(end) \
-        .groupBy("win", "m").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    parts = map_rows(docs.select(text_bytes(text_col).alias("t"), held_out.alias("h")), "win long, m int, n long, k long", rows)
+    return parts.groupBy("win", "m").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
 
 
 def _levels(windows: DataFrame) -> DataFrame:
@@ -108,8 +147,12 @@ def trie(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def score_windows(windows: DataFrame, cells: DataFrame, contexts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(win, n, lp): the log10 probability of every window's symbol after its context."""
-    each = _levels(windows.select("win", "m", "n")).withColumn("ctx", F.shiftright("cell", 8))
+    """(win, n, lp): the log10 probability of every window's symbol after its context.  A window of the
+    training texts is a hit in its longest context; only the others escape downward."""
+    trained = windows.where("k > 0").withColumn("ctx", F.shiftright("win", 8)) \
+        .join(cells.select(F.col("cell").alias("win"), "c"), "win").join(contexts.select("ctx", "t", "d"), "ctx") \
+        .select("win", "n", F.log10(F.col("c") / (F.col("t") + F.col("d"))).alias("lp"))
+    each = _levels(windows.where("k = 0").select("win", "m", "n")).withColumn("ctx", F.shiftright("cell", 8))
     each = each.join(cells.select("cell", "c"), "cell", "left").join(contexts, "ctx", "left")
     wide = each.groupBy("win", "n").agg(*[F.max(F.when(F.col("j") == j, F.col(c)).cast("double")).alias(f"{c}{j}")
                                           for j in range(order + 1) for c in "ctde"])
@@ -132,36 +175,40 @@ def score_windows(windows: DataFrame, cells: DataFrame, contexts: DataFrame, ord
             lp[open_] -= np.log10(np.maximum(1, ALPHABET - gone[open_]))
             yield {"win": b["win"], "n": b["n"], "lp": lp}
 
-    return map_rows(wide, "win long, n long, lp double", rows, flush_rows=8192)
-
-
-def score_words(vocabulary: DataFrame, scored: DataFrame, order: int = ORDER) -> DataFrame:
-    """(word, n, k, lp) of every distinct word.  The most frequent windows (at most
-    ``HOT_WINDOWS``, 16 bytes each) are broadcast, the others joined."""
-    hot = scored.where(F.col("n") >= count_cut(scored, "n", HOT_WINDOWS)).select("win", "lp").toArrow()
-    at = np.argsort(hot["win"].to_numpy())
-    table = vocabulary.sparkSession.sparkContext.broadcast((hot["win"].to_numpy()[at], hot["lp"].to_numpy()[at]))
-
-    def rows(batches):
-        keys, lps = table.value
-        for b in batches:
-            win, _, word = windows_of(b["word"], order)
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, win), len(keys) - 1)
-                known = keys[at] == win
-                lp = np.where(known, lps[at], 0.0)
-            else:
-                known, lp = np.zeros(len(win), bool), np.zeros(len(win))
-            cold: list[list[int]] = [[] for _ in b["word"]]
-            for i in np.flatnonzero(~known):
-                cold[word[i]].append(int(win[i]))
-            yield {"word": b["word"], "n": b["n"], "k": b["k"], "cold": cold,
-                   "lp": np.bincount(word, weights=lp, minlength=len(cold))}
-
-    w = written(map_rows(vocabulary.select("word", "n", "k"), "word binary, n long, k long, lp double, cold array<long>", rows, flush_rows=8192), "words")
-    more = w.select("word", F.explode("cold").alias("win")).join(scored.select("win", F.col("lp").alias("more")), "win") \
-        .groupBy("word").agg(F.sum("more").alias("more"))
-    return w.join(more, "word", "left").select("word", "n", "k", (F.col("lp") + F.coalesce("more", F.lit(0.0))).alias("lp"))
+    return trained.unionByName(map_rows(wide, "win long, n long, lp double", rows, flush_rows=8192))
+
+
+class WindowTable:
+    """Windows and their values, found by multiplicative hashing: a slot holds one window, and what
+    finds its slot taken goes to a further table under another multiplier."""
+
+    def __init__(self, win: np.ndarray, lp: np.ndarray):
+        self.levels, multiplier = [], 0x9E3779B97F4A7C15
+        while len(win):
+            shift = 64 - max(4, int(2 * len(win)).bit_length())
+            slot = self.slots(win, multiplier, shift)
+            _, first = np.unique(slot, return_index=True)
+            keys, values = np.zeros(1 << (64 - shift), np.int64), np.zeros(1 << (64 - shift))
+            keys[slot[first]], values[slot[first]] = win[first], lp[first]
+            self.levels.append((multiplier, shift, keys, values))
+            rest = np.ones(len(win), bool)
+            rest[first] = False
+            win, lp, multiplier = win[rest], lp[rest], (multiplier * 0xD1342543DE82EF95 + 2) % (1 << 64)
+
+    @staticmethod
+    def slots(win: np.ndarray, multiplier: int, shift: int) -> np.ndarray:
+        return ((win.astype(np.uint64) * np.uint64(multiplier)) >> np.uint64(shift)).astype(np.int64)
+
+    def find(self, win: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values (0 where unknown) and the places of the unknown windows."""
+        lp, todo = np.zeros(len(win)), np.arange(len(win))
+        for multiplier, shift, keys, values in self.levels:
+            sought = win[todo]
+            slot = self.slots(sought, multiplier, shift)
+            hit = keys[slot] == sought
+            lp[todo[hit]] = values[slot[hit]]
+            todo = todo[~hit]
+        return lp, todo
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1,
@@ -177,51 +224,63 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     ends = docs.where(~held_out).count()
     r = vocabulary.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), F.count_if(F.col("k") > 0).alias("v")).first()
     tokens, distinct = r["n"] + ends, r["v"] + (ends > 0)
-    windows = written(count_windows(vocabulary, ends, order), "windows")
+    windows = written(count_windows(docs, held_out, order, text_col), "windows")
     cells, contexts = trie(windows)
     scored = written(score_windows(windows, cells, contexts, order), "window-scores")
-    words = written(score_words(vocabulary, scored, order), "word-scores")
-    end_lp = scored.where(F.col("win") == END_WINDOW).first()["lp"]
     share = tokens + 0.5 * (distinct + 1)
     base = lambda c: math.log10((c + 0.5) / share)
     end_base = base(ends)
 
-    # At most HOT_WORDS words of at most HOT_WORD_BYTES bytes.
-    short = words.where(F.octet_length("word") <= HOT_WORD_BYTES)
-    hot = short.where(F.col("n") >= count_cut(short, "n", HOT_WORDS)).select("word", "k", "lp").toArrow().to_pydict()
-    table = spark.sparkContext.broadcast({w: (lp, base(k), k > 0) for w, k, lp in zip(hot["word"], hot["k"], hot["lp"])})
+    # At most HOT_WORDS words of at most HOT_WORD_BYTES bytes, and at most HOT_WINDOWS windows.
+    short = vocabulary.where(F.octet_length("word") <= HOT_WORD_BYTES)
+    hot = short.where(F.col("n") >= count_cut(short, "n", HOT_WORDS)).select("word", "k").toArrow().to_pydict()
+    table = spark.sparkContext.broadcast({w: (base(k), k > 0) for w, k in zip(hot["word"], hot["k"])})
+    often = count_cut(scored, "n", HOT_WINDOWS)
+    hot = scored.where(F.col("n") >= often).select("win", "lp").toArrow()
+    window_table = spark.sparkContext.broadcast(WindowTable(hot["win"].to_numpy(), hot["lp"].to_numpy()))
 
     def rows(batches):
-        frequent = table.value
-        names = ("rid", "word", "c", "doc_id", "held_out", "n_tokens", "n_known", "base", "lp")
+        frequent, known_windows = table.value, window_table.value
+        names = ("rid", "key", "c", "doc_id", "held_out", "n_tokens", "n_known", "base", "lp")
         for b in batches:
+            texts = [t.lower().split() for t in b["t"]]
+            lps, rid = np.zeros(len(texts)), np.array(b["rid"], np.int64)
+            for win, _, text in windows_of(texts, order):
+                lp, cold = known_windows.find(win)
+                lps += np.bincount(text, weights=lp, minlength=len(texts))
+                if len(cold):
+                    packed, none = win[cold].astype(">i8").tobytes(), [None] * len(cold)
+                    yield {"rid": rid[text[cold]], "key": [b" " + packed[i:i + 8] for i in range(0, len(packed), 8)], "c": np.ones(len(cold), np.int64),
+                           **dict.fromkeys(names[3:], none)}
             out: list[tuple] = []
-            for t, rid, doc, h in zip(b["t"], b["rid"], b["doc_id"], b["h"]):
-                text = t.lower().split()
-                lp, low, known = end_lp, end_base, int(ends > 0)
+            for text, r, doc, h, lp in zip(texts, b["rid"], b["doc_id"], b["h"], lps.tolist()):
+                low, known = end_base, int(ends > 0)
                 for w, c in Counter(text).items():
                     x = frequent.get(w)
                     if x is None:
-                        out.append((rid, w, c, None, None, None, None, None, None))
+                        out.append((r, w, c, None, None, None, None, None, None))
                     else:
-                        lp, low, known = lp + c * x[0], low + c * x[1], known + c * x[2]
-                # A document's own row goes through the join under a key that is no word.
-                out.append((rid, b" " + struct.pack(">q", rid), 0, doc, h, len(text) + 1, known, low, lp))
+                        low, known = low + c * x[0], known + c * x[1]
+                # A document's own row goes through the join under a key that is neither word nor window.
+                out.append((r, b"  " + struct.pack(">q", r), 0, doc, h, len(text) + 1, known, low, lp))
             if out:
                 yield dict(zip(names, zip(*out)))
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("t"), held_out.alias("h"),
                     F.monotonically_increasing_id().alias("rid"))
-    parts = map_rows(d, "rid long, word binary, c long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, lp double", rows)
-    rare = words.select("word", "k", F.col("lp").alias("wlp"))
-    joined = parts.join(rare, "word", "left")
+    parts = map_rows(d, "rid long, key binary, c long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, lp double", rows)
+    # The other words bring their base score, the other windows their probability.
+    packed = F.concat(F.lit(bytearray(b" ")), F.unhex(F.lpad(F.hex("win"), 16, "0")))
+    rare = vocabulary.select(F.col("word").alias("key"), (F.col("k") > 0).cast("long").alias("known"),
+                             F.log10((F.col("k") + 0.5) / F.lit(float(share))).alias("low"), F.lit(0.0).alias("wlp"))
+    rare = rare.unionByName(scored.where(F.col("n") < often).select(packed.alias("key"), F.lit(0).cast("long").alias("known"),
+                                                                     F.lit(0.0).alias("low"), F.col("lp").alias("wlp")))
     c = F.col("c")
-    low = F.log10((F.col("k") + 0.5) / F.lit(float(share)))
-    return joined.groupBy("rid").agg(
+    return parts.join(rare, "key", "left").groupBy("rid").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-        F.sum(F.coalesce("n_known", F.when(F.col("k") > 0, c).otherwise(F.lit(0)))).alias("n_known"),
+        F.sum(F.coalesce("n_known", c * F.col("known"))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
-        F.sum(F.coalesce("base", c * low)).alias("base_score"), F.sum(F.coalesce("lp", c * F.col("wlp"))).alias("score")).drop("rid")
+        F.sum(F.coalesce("base", c * F.col("low"))).alias("base_score"), F.sum(F.coalesce("lp", c * F.col("wlp"))).alias("score")).drop("rid")
 
 
 class AdaptiveTrie:
@@ -231,11 +290,9 @@ class AdaptiveTrie:
         self.order, self.counts = order, {}
 
     def symbols(self, words: list[bytes]):
-        for w in words:
-            s = b" " + w + b" "
-            for i in range(1, len(s)):
-                yield s[max(0, i - self.order):i], s[i]
-        yield b" ", 10
+        s = running_text(words)
+        for i in range(1, len(s)):
+            yield s[max(0, i - self.order):i], s[i]
 
     def lp(self, context: bytes, symbol: int) -> float:
         lp, gone = 0.0, set()
