@@ -171,3 +171,21 @@ def test_gibbs_runs_share_the_turns_of_words(K):
             p.append(lp)
         c = np.cumsum(np.exp(np.array(p) - max(p)))
         assert got[d] == min((c / c[-1] < u[d]).sum(), K - 1)
+
+
+def test_few_partial_sums_need_no_shuffle(spark, monkeypatch):
+    """A k-means pass whose partial sums are few has no aggregation, and gives what one with it gives."""
+    from lexicluster.operators import kmeans_runs as K
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=3) + 4 * (i % 3)).tolist()) for i in range(300)]
+    d = spark.createDataFrame(rows, "id long, x array<double>").repartition(3).persist()
+    calls, real = [], K.Summarizer.sum
+    monkeypatch.setattr(K.Summarizer, "sum", lambda *a: calls.append(1) or real(*a))
+    C, inertia, n = K.kmeans_runs(d, 3, 4, seed=2)
+    assert n > 1 and len(calls) == 2                                    # the moments alone
+    monkeypatch.setattr(K, "COLLECTED", 0)
+    C2, inertia2, n2 = K.kmeans_runs(d, 3, 4, seed=2)
+    assert n2 == n and len(calls) > 4
+    np.testing.assert_allclose(C, C2, rtol=1e-9)
+    np.testing.assert_allclose(inertia, inertia2, rtol=1e-9)
+    d.unpersist()
