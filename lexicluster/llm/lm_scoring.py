@@ -178,37 +178,38 @@ def score_windows(windows: DataFrame, cells: DataFrame, contexts: DataFrame, ord
     return trained.unionByName(map_rows(wide, "win long, n long, lp double", rows, flush_rows=8192))
 
 
-class WindowTable:
-    """Windows and their values, found by multiplicative hashing: a slot holds one window, and what
-    finds its slot taken goes to a further table under another multiplier."""
-
-    def __init__(self, win: np.ndarray, lp: np.ndarray):
-        self.levels, multiplier = [], 0x9E3779B97F4A7C15
-        while len(win):
-            shift = 64 - max(4, int(2 * len(win)).bit_length())
-            slot = self.slots(win, multiplier, shift)
-            _, first = np.unique(slot, return_index=True)
-            keys, values = np.zeros(1 << (64 - shift), np.int64), np.zeros(1 << (64 - shift))
-            keys[slot[first]], values[slot[first]] = win[first], lp[first]
-            self.levels.append((multiplier, shift, keys, values))
-            rest = np.ones(len(win), bool)
-            rest[first] = False
-            win, lp, multiplier = win[rest], lp[rest], (multiplier * 0xD1342543DE82EF95 + 2) % (1 << 64)
-
-    @staticmethod
-    def slots(win: np.ndarray, multiplier: int, shift: int) -> np.ndarray:
-        return ((win.astype(np.uint64) * np.uint64(multiplier)) >> np.uint64(shift)).astype(np.int64)
-
-    def find(self, win: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Values (0 where unknown) and the places of the unknown windows."""
-        lp, todo = np.zeros(len(win)), np.arange(len(win))
-        for multiplier, shift, keys, values in self.levels:
-            sought = win[todo]
-            slot = self.slots(sought, multiplier, shift)
-            hit = keys[slot] == sought
-            lp[todo[hit]] = values[slot[hit]]
-            todo = todo[~hit]
-        return lp, todo
+def _slots(win: np.ndarray, multiplier: int, shift: int) -> np.ndarray:
+    return ((win.astype(np.uint64) * np.uint64(multiplier)) >> np.uint64(shift)).astype(np.int64)
+
+
+def window_table(win: np.ndarray, lp: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Windows and their values for ``find_windows``, by multiplicative hashing: a slot holds one
+    window, and what finds its slot taken goes to a further table under another multiplier.  Plain
+    tuples, as a broadcast's classes are pickled by name, which executors may not have."""
+    levels, multiplier = [], 0x9E3779B97F4A7C15
+    while len(win):
+        shift = 64 - max(4, int(2 * len(win)).bit_length())
+        slot = _slots(win, multiplier, shift)
+        _, first = np.unique(slot, return_index=True)
+        keys, values = np.zeros(1 << (64 - shift), np.int64), np.zeros(1 << (64 - shift))
+        keys[slot[first]], values[slot[first]] = win[first], lp[first]
+        levels.append((multiplier, shift, keys, values))
+        rest = np.ones(len(win), bool)
+        rest[first] = False
+        win, lp, multiplier = win[rest], lp[rest], (multiplier * 0xD1342543DE82EF95 + 2) % (1 << 64)
+    return levels
+
+
+def find_windows(levels: list[tuple[int, int, np.ndarray, np.ndarray]], win: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values (0 where unknown) and the places of the unknown windows."""
+    lp, todo = np.zeros(len(win)), np.arange(len(win))
+    for multiplier, shift, keys, values in levels:
+        sought = win[todo]
+        slot = _slots(sought, multiplier, shift)
+        hit = keys[slot] == sought
+        lp[todo[hit]] = values[slot[hit]]
+        todo = todo[~hit]
+    return lp, todo
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1,
@@ -237,16 +238,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     table = spark.sparkContext.broadcast({w: (base(k), k > 0) for w, k in zip(hot["word"], hot["k"])})
     often = count_cut(scored, "n", HOT_WINDOWS)
     hot = scored.where(F.col("n") >= often).select("win", "lp").toArrow()
-    window_table = spark.sparkContext.broadcast(WindowTable(hot["win"].to_numpy(), hot["lp"].to_numpy()))
+    sent = spark.sparkContext.broadcast(window_table(hot["win"].to_numpy(), hot["lp"].to_numpy()))
 
     def rows(batches):
-        frequent, known_windows = table.value, window_table.value
+        frequent, known_windows = table.value, sent.value
         names = ("rid", "key", "c", "doc_id", "held_out", "n_tokens", "n_known", "base", "lp")
         for b in batches:
             texts = [t.lower().split() for t in b["t"]]
             lps, rid = np.zeros(len(texts)), np.array(b["rid"], np.int64)
             for win, _, text in windows_of(texts, order):
-                lp, cold = known_windows.find(win)
+                lp, cold = find_windows(known_windows, win)
                 lps += np.bincount(text, weights=lp, minlength=len(texts))
                 if len(cold):
                     packed, none = win[cold].astype(">i8").tobytes(), [None] * len(cold)

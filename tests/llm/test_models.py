@@ -211,3 +211,14 @@ def test_lm_windows_of_long_texts():
         assert all((a == b).all() for a, b in zip(whole, got))
     want = [int.from_bytes(b"\1" + c + bytes([s]), "big") for w in texts for c, s in lm_scoring.AdaptiveTrie(5).symbols(w)]
     assert whole[0].tolist() == want
+
+
+def test_lm_window_table_needs_no_package():
+    """Broadcasts are pickled plainly: executors without the package must be able to read them."""
+    import pickle
+    rng = np.random.default_rng(3)
+    win, lp = np.unique(rng.integers(1, 1 << 56, 5000)), rng.normal(size=5000)
+    table = lm_scoring.window_table(win[::2], lp[:len(win)][::2])
+    assert b"lexicluster" not in pickle.dumps(table)
+    got, cold = lm_scoring.find_windows(table, win)
+    assert (cold == np.arange(1, len(win), 2)).all() and (got[::2] == lp[:len(win)][::2]).all()
